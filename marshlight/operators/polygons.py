@@ -11,21 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
-from .sequence import positions
+from .sequence import positions, with_next
 
 RING = ["region", "part", "ring"]
 
 
 def edges(vertices: DataFrame) -> DataFrame:
-    """Edges ``(x1, y1) -> (x2, y2)`` of every ring, closed."""
-    at = positions(vertices, RING, "seq")
-    size = at.groupBy(*RING).agg(F.count(F.lit(1)).alias("n"))
-    start = at.join(size, RING).select(
-        *RING, "pos", F.col("lon").alias("x1"), F.col("lat").alias("y1"),
-        F.pmod(F.col("pos") + 1, F.col("n")).alias("_next"),
+    """Edges ``(x1, y1) -> (x2, y2)`` of every ring, closed, with their position."""
+    start = positions(vertices, RING, "seq").select(
+        *RING, "pos", "n", F.col("lon").alias("x1"), F.col("lat").alias("y1")
     )
-    stop = at.select(*RING, F.col("pos").alias("_next"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    return start.join(stop, [*RING, "_next"]).drop("_next")
+    return with_next(start, RING, {"x2": "x1", "y2": "y1"}, wrap=True).drop("n")
 
 
 def projected(vertices: DataFrame) -> DataFrame:

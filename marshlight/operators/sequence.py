@@ -1,8 +1,8 @@
 """Order-dependent operators that never put a whole key into one task.
 
 A long sequence is cut into chunks of its order column. Ranks and running sums are taken inside
-each chunk and shifted by the totals of the earlier chunks (one small row per chunk); neighbours
-are reached by an equi-join on the position; time-range frames copy a halo into the next chunk.
+each chunk and shifted by the totals of the earlier chunks (one small row per chunk); the first row
+of a chunk is lent to the chunk before it, and time-range frames copy a halo into the next chunk.
 """
 
 from __future__ import annotations
@@ -20,19 +20,42 @@ def _offsets(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataF
     return per.select(*keys, "_chunk", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in totals])
 
 
-def positions(df: DataFrame, keys: list[str], order: str, size: int = CHUNK, name: str = "pos") -> DataFrame:
-    """Contiguous 0-based position per key, by an integer order column with any gaps."""
+def positions(df: DataFrame, keys: list[str], order: str, size: int = CHUNK) -> DataFrame:
+    """Add the contiguous 0-based ``pos`` and the length ``n`` per key; the order column may have gaps."""
     cut = df.withColumn("_chunk", F.floor(F.col(order) / size))
-    shift = _offsets(cut, keys, {"_start": F.count(F.lit(1))})
+    per = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = per.select(
+        *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("n"),
+    )
     within = Window.partitionBy(*keys, "_chunk").orderBy(order)
     return (
         cut.withColumn("_rn", F.row_number().over(within) - 1)
         .join(shift, [*keys, "_chunk"])
-        .withColumn(name, (F.col("_rn") + F.col("_start")).cast("long"))
+        .withColumn("pos", (F.col("_rn") + F.col("_start")).cast("long"))
         .drop("_rn", "_start", "_chunk")
     )
 
 
+def with_next(df: DataFrame, keys: list[str], columns: dict[str, str], wrap: bool, size: int = CHUNK) -> DataFrame:
+    """Add ``{new: column}`` values of the next position (needs ``pos`` and ``n``).
+
+    The first row of every chunk is also copied to the end of the chunk before it; with ``wrap``
+    the first row of the key follows its last one.
+    """
+    pos, n = F.col("pos"), F.col("n")
+    own = F.struct(F.floor(pos / size).alias("chunk"), pos.alias("at"), F.lit(True).alias("own"))
+    guest = F.struct(
+        F.floor(F.when(pos == 0, n - 1).otherwise(pos - 1) / size).alias("chunk"),
+        F.when(pos == 0, n).otherwise(pos).alias("at"), F.lit(False).alias("own"),
+    )
+    lends = (pos % size == 0) & (F.lit(wrap) | (pos > 0))
+    copies = df.withColumn("_c", F.explode(F.when(lends, F.array(own, guest)).otherwise(F.array(own))))
+    order = Window.partitionBy(*keys, "_c.chunk").orderBy("_c.at")
+    return copies.withColumns({new: F.lead(c).over(order) for new, c in columns.items()}).where("_c.own").drop("_c")
+
+
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], size: int = CHUNK) -> DataFrame:
     """Add inclusive running sums ``{new: column}`` per key, by an integer order column."""
     cut = df.withColumn("_chunk", F.floor(F.col(order) / size))
@@ -45,14 +68,6 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str
     )
 
 
-def neighbour(df: DataFrame, keys: list[str], columns: list[str], offset: int, prefix: str, pos: str = "pos") -> DataFrame:
-    """Values of the row ``offset`` positions ahead (negative: behind), by equi-join; null outside."""
-    other = df.select(
-        *keys, (F.col(pos) - offset).alias(pos), *[F.col(c).alias(f"{prefix}{c}") for c in columns]
-    )
-    return df.join(other, [*keys, pos], "left")
-
-
 def trailing_frame(
     df: DataFrame, keys: list[str], seconds: str, width: int, aggs: dict[str, Column], chunk: int | None = None,
 ) -> DataFrame:
