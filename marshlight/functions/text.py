@@ -41,14 +41,14 @@ def split_label(ident, part, was_split) -> Column:
 
 
 def day_in_name(c) -> Column:
-    """Date written in a name as YYYY-MM-DD, YYYY_MM_DD or YYYYMMDD; impossible dates are null."""
-    got = F.regexp_extract(_col(c), r"((?:19|20)\d{2})[-_]?(\d{2})[-_]?(\d{2})", 0)
+    """First date written in a name as YYYY-MM-DD, YYYY_MM_DD or YYYYMMDD; impossible ones are null."""
+    got = F.regexp_extract(_col(c), r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", 0)
     return F.try_to_date(F.regexp_replace(got, "[-_]", ""), "yyyyMMdd")
 
 
 def month_in_name(c) -> Column:
-    """First day of the month written in a name as YYYY-MM, YYYY_MM or YYYYMM."""
-    got = F.regexp_extract(_col(c), r"((?:19|20)\d{2})[-_]?(\d{2})", 0)
+    """First day of the month written in a name as YYYY-MM or YYYY_MM."""
+    got = F.regexp_extract(_col(c), r"(\d{4})[-_](\d{2})", 0)
     return F.try_to_date(F.concat(F.regexp_replace(got, "[-_]", ""), F.lit("01")), "yyyyMMdd")
 
 
