@@ -56,6 +56,24 @@ def with_next(df: DataFrame, keys: list[str], columns: dict[str, str], wrap: boo
     return copies.withColumns({new: F.lead(c).over(order) for new, c in columns.items()}).where("_c.own").drop("_c")
 
 
+def with_neighbours(df: DataFrame, keys: list[str], columns: list[str], size: int = CHUNK) -> DataFrame:
+    """Add ``prev_*`` and ``next_*`` of the columns by ``pos``; null at the two ends of a key."""
+    pos = F.col("pos")
+    place = lambda chunk, own: F.struct(chunk.alias("chunk"), F.lit(own).alias("own"))
+    home = F.floor(pos / size)
+    spots = F.filter(
+        F.array(
+            place(home, True),
+            F.when((pos % size == 0) & (pos > 0), place(home - 1, False)),
+            F.when(pos % size == size - 1, place(home + 1, False)),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    order = Window.partitionBy(*keys, "_c.chunk").orderBy("pos")
+    made = {f"prev_{c}": F.lag(c).over(order) for c in columns} | {f"next_{c}": F.lead(c).over(order) for c in columns}
+    return df.withColumn("_c", F.explode(spots)).withColumns(made).where("_c.own").drop("_c")
+
+
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], size: int = CHUNK) -> DataFrame:
     """Add inclusive running sums ``{new: column}`` per key, by an integer order column."""
     cut = df.withColumn("_chunk", F.floor(F.col(order) / size))

@@ -164,16 +164,28 @@ def z_scored(df: DataFrame, keys: list[str], value: str, train: Column, epsilon:
     return df.join(stats, keys).withColumn("z", (F.col(value) - F.col("_m")) / (F.col("_s") + epsilon)).drop("_m", "_s")
 
 
-def exp_reservoir(series: DataFrame, keys: list[str], value: str, taus: list[float], month: str = "month") -> DataFrame:
-    """Exponential reservoir r = a x + (1 - a) r_before, r_before of the first row zero, per tau.
+def exp_reservoir(series: DataFrame, keys: list[str], value: str, taus: list[float], month: str = "month", block: int = 64) -> DataFrame:
+    """Exponential reservoir r = a x + (1 - a) r_before with nothing stored at the start, per tau.
 
-    The history of one key is an array of months, folded once per row and tau: for calendars.
+    A key is cut into blocks of rows: arrays never exceed a block, or the list of block ends. The
+    state entering a block decays into its rows in closed form.
     """
-    order = Window.partitionBy(*keys).orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
-    past = series.withColumn("_xs", F.collect_list(F.coalesce(value, F.lit(0.0))).over(order))
-    past = past.withColumn("tau", F.explode(F.array(*[F.lit(float(x)) for x in taus])))
+    order = Window.partitionBy(*keys).orderBy(month)
+    past = Window.partitionBy(*keys, "_b").orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
     a = 1 - F.exp(-1 / F.col("tau"))
-    return past.withColumn("reservoir", F.aggregate("_xs", F.lit(0.0), lambda r, x: a * x + (1 - a) * r)).drop("_xs")
+    keep = F.exp(-1 / F.col("tau"))
+    rows = series.withColumn("_k", F.row_number().over(order) - 1)
+    rows = rows.withColumn("_b", F.floor(F.col("_k") / block)).withColumn("_xs", F.collect_list(F.coalesce(value, F.lit(0.0))).over(past))
+    rows = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(x)) for x in taus])))
+    rows = rows.withColumn("_r", F.aggregate("_xs", F.lit(0.0), lambda r, x: a * x + (1 - a) * r))
+    ends = rows.groupBy(*keys, "tau", "_b").agg(F.max_by("_r", "_k").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys, "tau").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_es", F.collect_list(F.struct("_r", "_n")).over(before))
+    carry = F.aggregate("_es", F.lit(0.0), lambda r, e: e["_r"] + r * F.pow(keep, e["_n"]))
+    carried = ends.select(*keys, "tau", "_b", carry.alias("_carry"))
+    out = rows.join(carried, [*keys, "tau", "_b"])
+    step = F.col("_k") - F.col("_b") * block + 1
+    return out.withColumn("reservoir", F.col("_r") + F.col("_carry") * F.pow(keep, step)).drop("_k", "_b", "_xs", "_r", "_carry")
 
 
 def water_year_peaks(df: DataFrame, keys: list[str], value: str, start_month: int = 10, month: str = "month") -> DataFrame:
