@@ -32,3 +32,9 @@ def dissolve(polygons: DataFrame, label: str) -> DataFrame:
     return polygons.select(
         F.col(label).alias("region"), F.struct("region", "part").alias("part"), "ring", "seq", "lon", "lat"
     )
+
+
+def edge_alignment(boxes: DataFrame, keys: list[str], edge: str = "east", tolerance: float = 1e-6) -> DataFrame:
+    """Outermost edge of each group of rectangles, the spread of the edges, and whether they line up."""
+    spread = F.max(edge) - F.min(edge)
+    return boxes.groupBy(*keys).agg(F.max(edge).alias(edge), spread.alias("spread"), (spread <= tolerance).alias("aligned"))

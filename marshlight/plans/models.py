@@ -260,6 +260,32 @@ def _(t):
     return _cv(t)
 
 
+# One predictor: the standardised ridge has a closed form, so the folds can be written out in SQL.
+_FOLDS = """
+WITH o AS (SELECT station, q AS y, mm AS x, row_number() OVER (PARTITION BY station ORDER BY s.month) - 1 AS pos, count(*) OVER (PARTITION BY station) AS n
+           FROM r_station s JOIN r_rain r ON r.month = s.month),
+f AS (SELECT *, n - (6 - fold) * (n // 6) AS a FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS fold) WHERE n >= 10),
+tr AS (SELECT station, fold, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy, count(*) AS n FROM f WHERE pos < a GROUP BY ALL),
+te AS (SELECT f.station, f.fold, y, my + (n2 * cxy / sx) / (n2 + {0}e0) * (x - mx) / sx AS p FROM f JOIN (SELECT *, n AS n2 FROM tr) tr ON tr.station = f.station AND tr.fold = f.fold WHERE pos >= a AND pos < a + f.n // 6),
+sc AS (SELECT station, fold, avg((y - p) * (y - p)) AS mse, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2, count(*) AS n_test FROM te GROUP BY ALL)"""
+
+
+@query("st_09b_cv_one_predictor", "station:i fold:i n_test:i r2:f mse:f", _FOLDS.format("1") + " SELECT station, fold, n_test, r2, mse FROM sc")
+def _(t):
+    return M.ridge_cv(t.station.join(t.rain, "month"), ["station"], ["mm"], "q", "month")
+
+
+@query(
+    "st_10c_strength_one_predictor",
+    "station:i alpha:f cv_mse:f",
+    "SELECT station, arg_min(alpha, struct_pack(a := round(mse, 9), b := alpha)) AS alpha, min(mse) AS cv_mse FROM ("
+    + " UNION ALL ".join(f"SELECT station, {a}e0 AS alpha, avg(mse) AS mse FROM ({_FOLDS.format(a)} SELECT * FROM sc) GROUP BY station" for a in (0.1, 1, 10, 100))
+    + ") GROUP BY station",
+)
+def _(t):
+    return M.best_strength(M.ridge_cv(t.station.join(t.rain, "month"), ["station"], ["mm"], "q", "month", alphas=[0.1, 1, 10, 100]), ["station"])
+
+
 @query("st_10_ridge_strength", "station:i alpha:f cv_mse:f")
 def _(t):
     scores = M.ridge_cv(_features(t), ["station"], _SETS["both"], "q", "month", folds=4, alphas=[0.1, 0.3, 1, 3, 10, 30, 100], standardise=False)

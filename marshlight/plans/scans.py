@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import text as T
 from ..operators import polygons as P
+from ..operators.materialise import checkpoint_dir
 from ..sources import gauges as S
 from ..sources import tiles as X
 from .registry import query
 
 
+def _scratch(t) -> str:
+    return f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+
+
 def _gauge_lines(t):
     """One text file per user: four header lines, the column line, one line per event."""
     ev = t.table("events").select(
@@ -193,3 +200,44 @@ def _(t):
     text = F.concat(F.lit("POLYGON ("), F.array_join(F.transform("rs", lambda s: s["r"]), ", "), F.lit(")"))
     broken = F.when(F.col("region") % 5 == 1, F.regexp_replace(text, "2", "x")).otherwise(text)
     return P.measures(X.polygon_vertices(polygons.select("region", broken.alias("wkt")))).select("region", "area")
+
+
+@query("src_11_series_csv", "month:d dataset:s mm:f", "SELECT month, dataset, mm FROM r_et")
+def _(t):
+    path = _scratch(t)
+    X.write_series(t.et, path)
+    return X.read_series_csv(t.spark, path, "month DATE, dataset STRING, mm DOUBLE")
+
+
+@query("snk_01_series_sink", "station:i month:d q:f", "SELECT station, month, q FROM r_station")
+def _(t):
+    path = _scratch(t)
+    X.write_series(t.station, path, "parquet")
+    return t.spark.read.parquet(path)
+
+
+@query(
+    "snk_02_cropped_sink",
+    "year:i month:i iy:i ix:i value:f",
+    """SELECT year, month, iy, ix, CAST(CAST(CASE WHEN cls > 0 THEN value END AS FLOAT) AS DOUBLE) AS value FROM r_grid WHERE lat BETWEEN -19.5e0 AND -18.25e0 AND lon BETWEEN 22e0 AND 23.5e0""",
+)
+def _(t):
+    path = _scratch(t)
+    cells = t.grid.join(t.classes, ["time", "iy", "ix"]).withColumn("value", F.when(F.col("cls") > 0, F.col("value")))
+    X.write_cropped(cells, path, 22.0, -19.5, 23.5, -18.25)
+    return X.read_cropped(t.spark, path)
+
+
+@query(
+    "snk_03_region_table_sink",
+    "region:i month:d value:f",
+    "SELECT region, time AS month, avg(value) AS value FROM r_grid g JOIN r_mask m ON g.iy = m.iy AND g.ix = m.ix GROUP BY region, time",
+)
+def _(t):
+    from ..operators import zonal as Z
+
+    path = _scratch(t)
+    rows, _cols = Z.axes(t.grid)
+    tagged = P.cells_in_regions(t.grid, P.row_spans(P.edges(t.basins), rows))
+    X.write_region_table(Z.zonal_monthly(tagged), path)
+    return t.spark.read.parquet(path)

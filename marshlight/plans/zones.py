@@ -89,27 +89,27 @@ def _(t):
 @query(
     "ag_01_weighted_mean",
     "time:d mean:f",
-    """SELECT time, sum(value * cos(radians(g.lat))) / (SELECT sum(cos(radians(lat))) FROM (SELECT DISTINCT iy, ix, lat FROM r_grid WHERE iy < 6)) AS mean
+    """SELECT time, sum(value * 31.7e0 * cos(radians(g.lat))) / (SELECT sum(cos(radians(lat))) FROM (SELECT DISTINCT iy, ix, lat FROM r_grid WHERE iy < 6)) AS mean
        FROM r_grid g WHERE iy < 6 GROUP BY time""",
 )
 def _(t):
     cells = t.grid.where("iy < 6").select("iy", "ix", "lat").distinct()
-    return Z.weighted_mean(t.grid, cells)
+    return Z.weighted_mean(_depth(t.grid), cells)
 
 
 @query(
     "ag_02_region_means",
     "time:d region:i mean:f mean_valid:f",
-    """SELECT g.time, m.region, sum(value * cos(radians(m.lat))) / any_value(w.full_w) AS mean,
-              sum(value * cos(radians(m.lat))) / sum(cos(radians(m.lat))) AS mean_valid
+    """SELECT g.time, m.region, sum(value * 31.7e0 * cos(radians(m.lat))) / any_value(w.full_w) AS mean,
+              sum(value * 31.7e0 * cos(radians(m.lat))) / sum(cos(radians(m.lat))) AS mean_valid
        FROM r_grid g JOIN r_mask m ON g.iy = m.iy AND g.ix = m.ix
        JOIN (SELECT region, sum(cos(radians(lat))) AS full_w FROM r_mask GROUP BY region) w ON w.region = m.region
        GROUP BY ALL""",
 )
 def _(t):
     mask = _mask(t)
-    a = Z.weighted_region_means(t.grid, mask)
-    b = Z.weighted_region_means(t.grid, mask, valid_only=True).withColumnRenamed("mean", "mean_valid")
+    a = Z.weighted_region_means(_depth(t.grid), mask)
+    b = Z.weighted_region_means(_depth(t.grid), mask, valid_only=True).withColumnRenamed("mean", "mean_valid")
     return a.join(b, ["time", "region"])
 
 
@@ -162,9 +162,17 @@ def _(t):
     return mean.join(median, ["region", "month"])
 
 
+# A depth in mm: weighted means of it do not fall on exact rounding ties, as plain fractions may.
+_MM = 31.7
+
+
+def _depth(df):
+    return df.withColumn("value", F.col("value") * _MM)
+
+
 def _volume_sql(area: str) -> str:
     a = area.format("m.")
-    return f"""SELECT g.time, m.region, sum(value / 1e6 * {a}) AS km3, sum(value / 1e6 * {a}) * 1e6 / any_value(w.total) AS mm
+    return f"""SELECT g.time, m.region, sum(value * {_MM}e0 / 1e6 * {a}) AS km3, sum(value * {_MM}e0 / 1e6 * {a}) * 1e6 / any_value(w.total) AS mm
        FROM r_grid g JOIN r_mask m ON g.iy = m.iy AND g.ix = m.ix
        JOIN (SELECT region, sum({area.format('')}) AS total FROM r_mask GROUP BY region) w ON w.region = m.region
        GROUP BY ALL"""
@@ -172,7 +180,7 @@ def _volume_sql(area: str) -> str:
 
 @query("ag_09_zonal_volume", "time:d region:i km3:f mm:f", _volume_sql(_AREA))
 def _(t):
-    return Z.zonal_volume(_tagged(t), O.with_cell_area(_mask(t)))
+    return Z.zonal_volume(_depth(_tagged(t)), O.with_cell_area(_mask(t)))
 
 
 @query(
@@ -182,7 +190,7 @@ def _(t):
 )
 def _(t):
     window = _tagged(t).where((F.col("time") >= "1996-01-01") & (F.col("time") < "2000-01-01"))
-    return Z.zonal_volume(window, O.with_cell_area(_mask(t), "band"))
+    return Z.zonal_volume(_depth(window), O.with_cell_area(_mask(t), "band"))
 
 
 @query("ag_11_wet_pixels", "time:d wet:i", "SELECT time, sum(CASE WHEN cls > 0 THEN 1 ELSE 0 END) AS wet FROM r_grid GROUP BY time")
@@ -272,6 +280,19 @@ def _(t):
     return covered.join(whole, "region").withColumn("fraction", F.col("covered_deg2") / F.col("area"))
 
 
+@query(
+    "ag_32b_east_edges",
+    "group:i east:f spread:f aligned:b",
+    """SELECT region % 5 AS "group", max(east) AS east, max(east) - min(east) AS spread, max(east) - min(east) <= 0.5e0 AS aligned
+       FROM (SELECT region, max(lon) AS east FROM r_lakes GROUP BY region) GROUP BY region % 5""",
+)
+def _(t):
+    from ..operators.regions import edge_alignment
+
+    boxes = P.measures(t.lakes).select((F.col("region") % 5).alias("group"), "east")
+    return edge_alignment(boxes, ["group"], tolerance=0.5)
+
+
 _MEASURE = """
 SELECT region, min(west) AS west, min(south) AS south, max(east) AS east, max(north) AS north,
        sum(a * turn) AS area, sum(mx * turn) / sum(a * turn) AS cx, sum(my * turn) / sum(a * turn) AS cy

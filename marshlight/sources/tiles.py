@@ -105,6 +105,12 @@ def write_series(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def write_region_table(df: DataFrame, path: str, month: str = "month") -> None:
+    """Region-by-month table, one folder per year so that later reads prune."""
+    out = df.withColumn("year", F.year(month))
+    out.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+
+
 def write_cropped(grid: DataFrame, path: str, west: float, south: float, east: float, north: float) -> None:
     """Crop and write by year and month, single precision, missing cells as the fill value.
 
