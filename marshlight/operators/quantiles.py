@@ -1,9 +1,8 @@
 """Exact quantiles of groups of any size.
 
-``percentile`` keeps all distinct values of a group in one task. Here each group is narrowed by
-two rounds of counting in bins: only bin counts (bounded by ``bins`` per group) meet in one place,
-and rows are re-read for the bins that hold a wanted rank. The result equals linear interpolation
-between order statistics.
+``percentile`` keeps all distinct values of a group in one task. Here a mergeable sketch first
+brackets each wanted rank; then rows below the bracket are only counted, and the few values inside
+it are ranked. The result equals linear interpolation between order statistics.
 """
 
 from __future__ import annotations
@@ -11,83 +10,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
+ACCURACY = 4096
 
 
-def _binned(rows: DataFrame, at: str, bins: int) -> DataFrame:
-    width = F.col("_hi") - F.col("_lo")
-    pos = F.floor((F.col("_v") - F.col("_lo")) / width * bins)
-    inside = F.greatest(F.lit(0), F.least(pos, F.lit(bins - 1))).cast("int")
-    return rows.withColumn(at, F.when(width > 0, inside).otherwise(F.lit(0)))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group with a column per entry of ``probs``; nulls are left out.
 
-
-def _ranked(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Add ``_below``: the number of rows in the group before this bin or value."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = BINS) -> DataFrame:
-    """One row per group with a column per entry of ``probs``; nulls are left out."""
-    keys = list(keys)
+    The sketch misses a rank by at most one part in ``accuracy``, the bracket is three parts wide
+    on either side. Groups below four times ``accuracy`` rows are ranked whole. Should a rank fall
+    outside its bracket the query fails instead of returning a neighbour.
+    """
+    gk = list(keys) or ["_all"]
     anchor = [] if keys else [F.lit(0).alias("_all")]
-    gk = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull()).select(*keys, *anchor, F.col(value).cast("double").alias("_v"))
-    ends = rows.groupBy(*gk).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total")
-    )
-    first = _binned(rows.join(ends, gk), "_b1", bins)
-    coarse = _ranked(
-        first.groupBy(*gk, "_b1").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        ),
-        gk, "_b1",
+    margin = 3.0 / accuracy
+    marks = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)]
+    sketch = rows.groupBy(*gk).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", marks, accuracy).alias("_marks"),
     )
-    # Wanted ranks: both neighbours of every position, one row each.
-    wanted = ends.select(
-        *gk,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        F.lit(side).alias("side"),
-                        (F.col("_total") - 1).alias("last"),
-                        ((F.col("_total") - 1) * F.lit(p)).alias("pos"),
-                    )
-                    for name, p in probs.items()
-                    for side in (0, 1)
-                ]
+    small = F.col("_total") < 4 * accuracy
+    bracket = lambda i, end: F.when(small, F.col(end)).otherwise(F.get("_marks", i))
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"), bracket(2 * i, "_min").alias("lo"), bracket(2 * i + 1, "_max").alias("hi"),
+                ((F.col("_total") - 1) * F.lit(p)).alias("pos"), (F.col("_total") - 1).alias("last"),
             )
-        ).alias("_w"),
-    ).select(
-        *gk,
-        F.col("_w.name").alias("_name"),
-        F.col("_w.side").alias("_side"),
-        F.col("_w.pos").alias("_pos"),
-        F.least(F.floor("_w.pos") + F.col("_w.side"), F.col("_w.last")).alias("_rank"),
+            for i, (name, p) in enumerate(probs.items())
+        ]
     )
-
-    def locate(targets: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
-        hit = cells.join(targets, on).where(
-            (F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_n"))
-        )
-        return hit.withColumn("_rank", F.col("_rank") - F.col("_below")).drop("_below", "_n")
-
-    t1 = locate(wanted, coarse, gk)
-    spans = t1.select(*gk, "_b1", "_lo", "_hi").distinct()
-    second = _binned(first.drop("_lo", "_hi", "_total").join(spans, gk + ["_b1"]), "_b2", bins)
-    fine = _ranked(second.groupBy(*gk, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n")), gk + ["_b1"], "_b2")
-    t2 = locate(t1.drop("_lo", "_hi"), fine, gk + ["_b1"])
-    picked = t2.select(*gk, "_b1", "_b2").distinct()
-    values = _ranked(
-        second.join(picked, gk + ["_b1", "_b2"]).groupBy(*gk, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_n")),
-        gk + ["_b1", "_b2"], "_v",
+    brackets = sketch.select(*gk, F.explode(wanted).alias("_w"))
+    near = rows.join(brackets, gk).where(F.col("_v") <= F.col("_w.hi"))
+    # All rows below the bracket collapse into one counted row before the shuffle.
+    inside = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))
+    counts = near.groupBy(*gk, "_w", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*gk, "_w.name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(order))
+    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")) & F.col("_v").isNotNull()
+    low = F.floor("_w.pos")
+    high = F.least(low + 1, F.col("_w.last"))
+    found = ranked.groupBy(*gk, F.col("_w.name").alias("_name"), F.col("_w.pos").alias("_pos")).agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b")
+    )
+    lost = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
+    exact = F.when(F.col("_a").isNull() | F.col("_b").isNull(), lost).otherwise(
+        F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
     )
-    t3 = locate(t2, values, gk + ["_b1", "_b2"])
-    side = lambda n, s: F.max(F.when((F.col("_name") == n) & (F.col("_side") == s), F.col("_v")))
-    frac = lambda n: F.max(F.when(F.col("_name") == n, F.col("_pos") - F.floor("_pos")))
-    out = t3.groupBy(*gk).agg(
-        *[(side(n, 0) + (side(n, 1) - side(n, 0)) * frac(n)).alias(n) for n in probs]
+    out = found.withColumn("_q", exact).groupBy(*gk).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs]
     )
     return out if keys else out.drop("_all")
