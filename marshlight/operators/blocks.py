@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import grid as O
 from . import polygons as P
+from .bands import axis_band
 from .order import global_rank
 
 # Compass names of a 3 x 3 neighbourhood, north row first.
@@ -107,12 +108,13 @@ def adjacent_block(blocks: DataFrame, target_quadrant: str, candidate_quadrant:
     return rows.agg(F.min_by(F.struct("block_id", "score"), F.struct(score, F.col("block_id"))).alias("b")).select("b.*")
 
 
-def nearest_index(points: DataFrame, axis: DataFrame, index: str, coord: str, band: float = 1.0) -> DataFrame:
+def nearest_index(points: DataFrame, axis: DataFrame, index: str, coord: str) -> DataFrame:
     """Nearest axis entry per point (of two equally near ones the larger coordinate).
 
     The axis is turned into half-open cells between midpoints; points are clamped to the axis and
     meet the cells by an equi-join on coordinate bands.
     """
+    band = axis_band(axis, coord)
     order = Window.orderBy(coord)  # an axis is as long as one side of the grid
     lo = (F.lag(coord).over(order) + F.col(coord)) / 2
     hi = (F.lead(coord).over(order) + F.col(coord)) / 2

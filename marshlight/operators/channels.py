@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
+from .bands import axis_band
 from .materialise import materialise
 from .quantiles import exact_quantiles
 from .sequence import positions, running_sums, with_neighbours, with_next
@@ -101,11 +102,12 @@ def channel_samples(lines: DataFrame, step_m: float, apex: tuple[float, float] |
     return orient_outward(samples, *apex) if apex else samples
 
 
-def _bracket(points: DataFrame, axis: DataFrame, index: str, coord: str, band: float) -> DataFrame:
+def _bracket(points: DataFrame, axis: DataFrame, index: str, coord: str) -> DataFrame:
     """Axis interval ``(c_i, c_i+1]`` that holds each point; points outside get none.
 
     A point on the lowest coordinate is outside.
     """
+    band = axis_band(axis, coord)
     order = Window.orderBy(coord)
     pairs = axis.select(
         F.col(index).alias(f"{index}0"), F.lead(index).over(order).alias(f"{index}1"),
@@ -117,7 +119,7 @@ def _bracket(points: DataFrame, axis: DataFrame, index: str, coord: str, band: f
     return p.join(pairs, "_band").where((F.col(coord) > F.col(f"{coord}0")) & (F.col(coord) <= F.col(f"{coord}1"))).drop("_band")
 
 
-def sample_field(points: DataFrame, field: DataFrame, ident: list[str], values: list[str], masks: list[str] = (), band: float = 1.0) -> DataFrame:
+def sample_field(points: DataFrame, field: DataFrame, ident: list[str], values: list[str], masks: list[str] = ()) -> DataFrame:
     """Bilinear values and nearest masks of a field ``(iy, ix, lat, lon, ...)`` at points.
 
     Outside the grid, or with any corner missing, a value is null and a mask false. The four
@@ -126,7 +128,7 @@ def sample_field(points: DataFrame, field: DataFrame, ident: list[str], values:
     masks = list(masks)
     rows = field.groupBy("iy").agg(F.max("lat").alias("lat"))
     cols = field.groupBy("ix").agg(F.max("lon").alias("lon"))
-    at = _bracket(_bracket(points, rows, "iy", "lat", band), cols, "ix", "lon", band)
+    at = _bracket(_bracket(points, rows, "iy", "lat"), cols, "ix", "lon")
     wy = (F.col("lat") - F.col("lat0")) / (F.col("lat1") - F.col("lat0"))
     wx = (F.col("lon") - F.col("lon0")) / (F.col("lon1") - F.col("lon0"))
     low_y = F.abs(F.col("lat") - F.col("lat0")) <= F.abs(F.col("lat1") - F.col("lat"))

@@ -76,10 +76,14 @@ def axis_spacing(df: DataFrame, axis: str, how: str = "median") -> DataFrame:
     return gaps.agg(F.abs(pick).alias("spacing"))
 
 
-def with_cell_area(df: DataFrame, form: str = "cosine", spacing: str = "median") -> DataFrame:
-    """Add ``area_km2`` from the grid's own spacing, read by two scalar subqueries."""
-    dlat = axis_spacing(df, "lat", spacing).scalar()
-    dlon = axis_spacing(df, "lon", spacing).scalar()
+def with_cell_area(df: DataFrame, form: str = "cosine", spacing: str = "median", axes_of: DataFrame | None = None) -> DataFrame:
+    """Add ``area_km2`` from the spacing of the grid (of ``axes_of`` when ``df`` is part of it).
+
+    The spacing is read by two scalar subqueries; with a known one use ``cell_area_km2`` directly.
+    """
+    source = df if axes_of is None else axes_of
+    dlat = axis_spacing(source, "lat", spacing).scalar()
+    dlon = axis_spacing(source, "lon", spacing).scalar()
     return df.withColumn("area_km2", G.cell_area_km2("lat", dlat, dlon, form))
 
 

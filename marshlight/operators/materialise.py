@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="marshlight-")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="marshlight-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_dir()
 
 
 def materialise(df: DataFrame) -> DataFrame:

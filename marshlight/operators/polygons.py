@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
+from .bands import axis_band, not_below
 from .sequence import positions, with_next
 
 RING = ["region", "part", "ring"]
@@ -55,20 +56,22 @@ def area_km2(vertices: DataFrame) -> DataFrame:
     return measures(projected(vertices)).select("region", F.col("area").alias("area_km2"))
 
 
-def row_spans(edge_table: DataFrame, rows: DataFrame, band: float = 1.0, row: str = "iy", own: bool = False) -> DataFrame:
+def row_spans(edge_table: DataFrame, rows: DataFrame, row: str = "iy", own: bool = False) -> DataFrame:
     """Inside intervals ``[x0, x1)`` of every region on every grid row (even-odd rule).
 
-    ``rows`` holds ``(row, lat)``. Edges meet rows by an equi-join on latitude bands; with ``own``
-    the rows carry a region too and meet only the edges of that region.
+    ``rows`` holds ``(row, lat)``. Edges meet rows by an equi-join on latitude bands sized to the
+    row step; with ``own`` the rows carry a region instead and meet only its edges.
     """
-    on = ["_band", "region"] if own else ["_band"]
     y1, y2, lat = F.col("y1"), F.col("y2"), F.col("lat")
-    spread = F.explode(F.sequence(F.floor(F.least(y1, y2) / band), F.floor(F.greatest(y1, y2) / band)))
-    hits = (
-        edge_table.where(y1 != y2).withColumn("_band", spread)
-        .join(rows.select(row, "lat", *on[1:], F.floor(lat / band).alias("_band")), on)
-        .where((y1 > lat) != (y2 > lat))
-        .withColumn("x0", F.col("x1") + (lat - y1) / (y2 - y1) * (F.col("x2") - F.col("x1")))
+    slanted = edge_table.where(y1 != y2)
+    if own:
+        met = slanted.join(rows.select(row, "lat", "region"), "region")
+    else:
+        band = not_below(axis_band(rows, "lat"), slanted, "y1", "y2")
+        spread = F.explode(F.sequence(F.floor(F.least(y1, y2) / band), F.floor(F.greatest(y1, y2) / band)))
+        met = slanted.withColumn("_band", spread).join(rows.select(row, "lat", F.floor(lat / band).alias("_band")), "_band")
+    hits = met.where((y1 > lat) != (y2 > lat)).withColumn(
+        "x0", F.col("x1") + (lat - y1) / (y2 - y1) * (F.col("x2") - F.col("x1"))
     )
     order = Window.partitionBy("region", row).orderBy("x0")
     return (
@@ -88,8 +91,9 @@ def cells_in_regions(cells: DataFrame, spans: DataFrame) -> DataFrame:
     return cells.join(s, on).drop("_iy", "x0", "x1")
 
 
-def region_mask(spans: DataFrame, cols: DataFrame, band: float = 1.0) -> DataFrame:
+def region_mask(spans: DataFrame, cols: DataFrame) -> DataFrame:
     """The cells ``(region, iy, ix, lat, lon)`` of every region, from spans and the column axis."""
+    band = not_below(axis_band(cols, "lon"), spans, "x0", "x1")
     spread = F.explode(F.sequence(F.floor(F.col("x0") / band), F.floor(F.col("x1") / band)))
     on_axis = cols.select("ix", "lon", F.floor(F.col("lon") / band).alias("_band"))
     return (
@@ -128,12 +132,15 @@ def _under(y: Column, y0: Column, y1: Column) -> Column:
     return h * h / 2 + F.greatest(y - y1, F.lit(0.0)) * (y1 - y0)
 
 
-def overlaps(rects: DataFrame, edge_table: DataFrame, band: float = 1.0) -> DataFrame:
+def overlaps(rects: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Exact area shared by rectangles ``(rect, west, south, east, north)`` and regions.
 
     Each edge adds the signed area below it that falls in the rectangle; no clipped ring is built.
-    Edges and rectangles meet by an equi-join on longitude bands, counted once per pair.
+    Edges and rectangles meet by an equi-join on longitude bands as wide as the widest rectangle,
+    counted once per pair.
     """
+    widest = rects.agg(F.coalesce(F.max(F.col("east") - F.col("west")), F.lit(1.0))).scalar()
+    band = not_below(widest, edge_table, "x1", "x2")
     west, east, south, north = (F.col(c) for c in ("west", "east", "south", "north"))
     x1, x2 = F.col("x1"), F.col("x2")
     band_of = lambda x: F.floor(x / band)

@@ -20,9 +20,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     on either side. Groups below four times ``accuracy`` rows are ranked whole. Should a rank fall
     outside its bracket the query fails instead of returning a neighbour.
     """
-    gk = list(keys) or ["_all"]
-    anchor = [] if keys else [F.lit(0).alias("_all")]
-    rows = df.where(F.col(value).isNotNull()).select(*keys, *anchor, F.col(value).cast("double").alias("_v"))
+    gk = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*gk, F.col(value).cast("double").alias("_v"))
     margin = 3.0 / accuracy
     marks = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)]
     sketch = rows.groupBy(*gk).agg(
@@ -40,8 +39,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
             for i, (name, p) in enumerate(probs.items())
         ]
     )
-    brackets = sketch.select(*gk, F.explode(wanted).alias("_w"))
-    near = rows.join(brackets, gk).where(F.col("_v") <= F.col("_w.hi"))
+    if gk:
+        tagged = rows.join(sketch.select(*gk, F.explode(wanted).alias("_w")), gk)
+    else:
+        tagged = rows.withColumn("_w", F.explode(sketch.select(wanted).scalar()))
+    near = tagged.where(F.col("_v") <= F.col("_w.hi"))
     # All rows below the bracket collapse into one counted row before the shuffle.
     inside = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))
     counts = near.groupBy(*gk, "_w", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -57,7 +59,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     exact = F.when(F.col("_a").isNull() | F.col("_b").isNull(), lost).otherwise(
         F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
     )
-    out = found.withColumn("_q", exact).groupBy(*gk).agg(
+    return found.withColumn("_q", exact).groupBy(*gk).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs]
     )
-    return out if keys else out.drop("_all")

@@ -21,30 +21,34 @@ def axes(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, cols
 
 
-def weighted_region_means(grid: DataFrame, mask: DataFrame, valid_only: bool = False) -> DataFrame:
-    """cos-latitude mean per time and region of the mask.
+def weighted_region_means(inside: DataFrame, mask: DataFrame, valid_only: bool = False) -> DataFrame:
+    """cos-latitude mean per time and region of tagged cells ``(time, region, lat, value)``.
 
-    Every cell of the mask stays in the denominator, with or without data, unless ``valid_only``.
-    The full weight of a region does not depend on time and is summed from the mask once.
+    Every cell of the mask ``(region, iy, ix, lat)`` stays in the denominator, with or without
+    data, unless ``valid_only``. The full weight of a region does not depend on time and is summed
+    from the mask once; the cells themselves meet no other table.
     """
-    w = G.coslat("lat")
-    inside = grid.select("time", "iy", "ix", "value").join(mask.select("region", "iy", "ix", "lat"), ["iy", "ix"])
-    sums = inside.groupBy("time", "region").agg(
-        F.sum(F.col("value") * w).alias("_num"),
-        F.sum(F.when(F.col("value").isNotNull(), w)).alias("_seen"),
-    )
+    sums = _weighted_sums(inside, ["region"])
     if valid_only:
         return sums.select("time", "region", F.try_divide("_num", "_seen").alias("mean"))
-    full = mask.groupBy("region").agg(F.sum(w).alias("_all"))
-    # A step without one valid cell sums to zero, as a sum that skips nulls does.
-    return sums.join(full, "region").select(
-        "time", "region", (F.coalesce("_num", F.lit(0.0)) / F.col("_all")).alias("mean")
-    )
+    full = mask.groupBy("region").agg(F.sum(G.coslat("lat")).alias("_all"))
+    return sums.join(full, "region").select("time", "region", (F.col("_num") / F.col("_all")).alias("mean"))
+
 
+def weighted_mean(inside: DataFrame, mask: DataFrame, valid_only: bool = False) -> DataFrame:
+    """The same over one unnamed mask ``(iy, ix, lat)``; its weight is a scalar subquery."""
+    sums = _weighted_sums(inside, [])
+    full = F.col("_seen") if valid_only else mask.agg(F.sum(G.coslat("lat"))).scalar()
+    return sums.select("time", F.try_divide("_num", full).alias("mean"))
 
-def weighted_mean(grid: DataFrame, cells: DataFrame, valid_only: bool = False) -> DataFrame:
-    """The same over one unnamed mask ``(iy, ix, lat)``."""
-    return weighted_region_means(grid, cells.withColumn("region", F.lit(0)), valid_only).drop("region")
+
+def _weighted_sums(inside: DataFrame, keys: list[str]) -> DataFrame:
+    w = G.coslat("lat")
+    return inside.groupBy("time", *keys).agg(
+        # A step without one valid cell sums to zero, as a sum that skips nulls does.
+        F.coalesce(F.sum(F.col("value") * w), F.lit(0.0)).alias("_num"),
+        F.sum(F.when(F.col("value").isNotNull(), w)).alias("_seen"),
+    )
 
 
 def plain_stats(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,15 +90,14 @@ def zonal_monthly(tagged: DataFrame, how: str = "mean") -> DataFrame:
     return exact_quantiles(df, ["region", "month"], "value", {"value": 0.5})
 
 
-def zonal_volume(tagged: DataFrame, mask: DataFrame) -> DataFrame:
+def zonal_volume(inside: DataFrame, mask: DataFrame) -> DataFrame:
     """Volume of a depth in mm over region cells, and the depth over the whole region.
 
-    ``mask`` carries ``area_km2`` per region cell: cells without data add nothing to the volume
+    Tagged cells and mask both carry ``area_km2``: cells without data add nothing to the volume
     and stay in the area.
     """
     depth = F.coalesce("value", F.lit(0.0)) / 1e6 * F.col("area_km2")
-    cells = mask.select("region", "iy", "ix", "area_km2")
-    volume = tagged.join(cells, ["region", "iy", "ix"]).groupBy("time", "region").agg(F.sum(depth).alias("km3"))
+    volume = inside.groupBy("time", "region").agg(F.sum(depth).alias("km3"))
     area = mask.groupBy("region").agg(F.sum("area_km2").alias("_area"))
     return volume.join(area, "region").select(
         "time", "region", "km3", (F.col("km3") * 1e6 / F.col("_area")).alias("mm")

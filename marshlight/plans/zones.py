@@ -94,7 +94,7 @@ def _(t):
 )
 def _(t):
     cells = t.grid.where("iy < 6").select("iy", "ix", "lat").distinct()
-    return Z.weighted_mean(_depth(t.grid), cells)
+    return Z.weighted_mean(_depth(t.grid.where("iy < 6")), cells)
 
 
 @query(
@@ -108,8 +108,8 @@ def _(t):
 )
 def _(t):
     mask = _mask(t)
-    a = Z.weighted_region_means(_depth(t.grid), mask)
-    b = Z.weighted_region_means(_depth(t.grid), mask, valid_only=True).withColumnRenamed("mean", "mean_valid")
+    a = Z.weighted_region_means(_depth(_tagged(t)), mask)
+    b = Z.weighted_region_means(_depth(_tagged(t)), mask, valid_only=True).withColumnRenamed("mean", "mean_valid")
     return a.join(b, ["time", "region"])
 
 
@@ -180,7 +180,7 @@ def _volume_sql(area: str) -> str:
 
 @query("ag_09_zonal_volume", "time:d region:i km3:f mm:f", _volume_sql(_AREA))
 def _(t):
-    return Z.zonal_volume(_depth(_tagged(t)), O.with_cell_area(_mask(t)))
+    return Z.zonal_volume(O.with_cell_area(_depth(_tagged(t)), axes_of=t.grid), O.with_cell_area(_mask(t), axes_of=t.grid))
 
 
 @query(
@@ -190,7 +190,7 @@ def _(t):
 )
 def _(t):
     window = _tagged(t).where((F.col("time") >= "1996-01-01") & (F.col("time") < "2000-01-01"))
-    return Z.zonal_volume(_depth(window), O.with_cell_area(_mask(t), "band"))
+    return Z.zonal_volume(O.with_cell_area(_depth(window), "band", axes_of=t.grid), O.with_cell_area(_mask(t), "band", axes_of=t.grid))
 
 
 @query("ag_11_wet_pixels", "time:d wet:i", "SELECT time, sum(CASE WHEN cls > 0 THEN 1 ELSE 0 END) AS wet FROM r_grid GROUP BY time")
@@ -239,7 +239,7 @@ _BASIN = f"""SELECT g.time, m.region, sum(CASE WHEN value >= 0.5e0 THEN {_AREA.f
 
 
 def _basin_area(t):
-    return Z.wet_area(O.with_cell_area(_tagged(t)), ["time", "region"], 0.5)
+    return Z.wet_area(O.with_cell_area(_tagged(t), axes_of=t.grid), ["time", "region"], 0.5)
 
 
 @query("ag_23_basin_area", "time:d region:i km2:f", _BASIN)

@@ -14,9 +14,9 @@ from ..operators.grid import crop
 FILL = -9999.0
 
 
-def read_tiles(spark: SparkSession, path: str, schema: StructType | str, monthly: bool = False) -> DataFrame:
+def read_tiles(spark: SparkSession, path: str | list[str], schema: StructType | str, monthly: bool = False) -> DataFrame:
     """Stack long-form tile files; the time of a file is the one in its name."""
-    raw = spark.read.schema(schema).parquet(path)
+    raw = spark.read.schema(schema).parquet(*([path] if isinstance(path, str) else path))
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     stamp = month_in_name(name) if monthly else day_in_name(name)
     kept = raw.drop("time", "file").select("*", name.alias("file"), stamp.alias("time"))

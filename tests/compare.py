@@ -22,9 +22,12 @@ TABLES = (
 ).split()
 
 
-def session(cpus: str = "8") -> SparkSession:
+def session(cpus: str = "8", checkpoints: str | None = None) -> SparkSession:
+    builder = SparkSession.builder.master(f"local[{cpus}]")
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
