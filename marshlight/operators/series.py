@@ -87,10 +87,17 @@ def trailing_mean(spine: DataFrame, keys: list[str], value: str, size: int, mont
 
 
 def rolling_days(readings: DataFrame, keys: list[str], value: str, time: str, days: int = 30, min_count: int = 10) -> DataFrame:
-    """Mean over ``(t - days, t]`` of raw readings, null below ``min_count`` of them."""
+    """Mean over ``(t - days, t]`` of raw readings, null below ``min_count`` of them.
+
+    Readings are first summed per key and second, which bounds a window chunk by its seconds
+    however many readings a key has; the result is joined back on (key, second).
+    """
     timed = readings.withColumn("_s", F.unix_seconds(F.col(time).cast("timestamp")))
-    out = trailing_frame(timed, keys, "_s", days * 86400, {"_m": F.avg(value), "_n": F.count(value)})
-    return out.withColumn("rolling", F.when(F.col("_n") >= min_count, F.col("_m"))).drop("_s", "_m", "_n")
+    sums = timed.groupBy(*keys, "_s").agg(F.sum(value).alias("_t"), F.count(value).alias("_n"))
+    width = days * 86400
+    out = trailing_frame(sums, keys, "_s", width, {"_wt": F.sum("_t"), "_wn": F.sum("_n")}, 2 * width)
+    mean = F.when(F.col("_wn") >= min_count, F.col("_wt") / F.col("_wn"))
+    return timed.join(out.select(*keys, "_s", mean.alias("rolling")), [*keys, "_s"], "left").drop("_s")
 
 
 def step_change(df: DataFrame, keys: list[str], value: str, date: str = "month", max_days: int = 45) -> DataFrame:

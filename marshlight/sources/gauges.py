@@ -48,11 +48,14 @@ DISCHARGE_PATTERNS = (r"(?i)^\s*Q\s*$", r"(?i)discharge", r"(?i)\bflow\b", r"(?i
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.Cmd.txt", encoding: str = "ISO-8859-1") -> DataFrame:
-    """``(file, pos, line)`` of every matching file; bytes are decoded line by line."""
+    """``(file, pos, line)`` of every matching file; bytes are decoded line by line.
+
+    ``pos`` orders the lines of a file also when the file is read in several splits.
+    """
     raw = spark.read.option("pathGlobFilter", pattern).text(path)
     return raw.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
-        F.monotonically_increasing_id().alias("pos"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
     )
 

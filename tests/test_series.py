@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -196,8 +197,7 @@ def test_tiles_from_files(spark, tmp_path):
         one = spark.createDataFrame([(0, 0, -19.0, 22.0, v), (0, 1, -19.0, 22.1, float("nan"))], schema)
         path = tmp_path / name
         one.coalesce(1).write.parquet(str(path))
-        part = next(path.glob("part-*.parquet"))
-        part.rename(tmp_path / f"{name}.parquet")
+        shutil.copy(next(path.glob("part-*.parquet")), tmp_path / f"{name}.parquet")
     stacked = X.read_tiles(spark, [str(p) for p in sorted(tmp_path.glob("*.parquet")) if p.is_file()], schema)
     assert stacked.where("value is null").count() == 3
     merged = X.merge_tiles(stacked).orderBy("ix").collect()
