@@ -1,4 +1,8 @@
-"""Widths of the bands on which ranges meet points by an equi-join."""
+"""Widths of the bands on which ranges meet points by an equi-join.
+
+Both sides of such a join compute the width for themselves, so it is made of minima, maxima and
+counts only: these do not depend on the order in which rows are combined, as sums would.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,11 @@ from pyspark.sql import functions as F
 
 def axis_band(axis: DataFrame, coord: str) -> Column:
     """Scalar subquery: four mean steps of an axis, so that a band holds about four entries."""
-    step = (F.max(coord) - F.min(coord)) / F.nullif(F.count_distinct(coord) - 1, F.lit(0))
+    step = (F.max(coord) - F.min(coord)) / F.nullif(F.count(coord) - 1, F.lit(0))
     return axis.agg(F.coalesce(F.nullif(4 * step, F.lit(0.0)), F.lit(1.0))).scalar()
 
 
-def not_below(band: Column, ranges: DataFrame, low: str, high: str, pieces: int = 64) -> Column:
-    """The band, widened until a range of mean length is cut in at most ``pieces`` bands.
-
-    This bounds the copies of all ranges together to ``pieces + 2`` times their number.
-    """
-    mean = ranges.agg(F.coalesce(F.avg(F.abs(F.col(high) - F.col(low))), F.lit(0.0))).scalar()
-    return F.greatest(band, mean / pieces)
+def not_below(band: Column, ranges: DataFrame, low: str, high: str, pieces: int = 1024) -> Column:
+    """The band, widened until no range is cut in more than ``pieces`` bands."""
+    longest = ranges.agg(F.coalesce(F.max(F.abs(F.col(high) - F.col(low))), F.lit(0.0))).scalar()
+    return F.greatest(band, longest / pieces)

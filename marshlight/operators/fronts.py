@@ -50,15 +50,14 @@ def time_steps(grid: DataFrame, max_gap_days: float | None = None) -> DataFrame:
 def adjacent_pairs(grid: DataFrame, max_gap_days: float | None = None) -> DataFrame:
     """Every adjacent pair of snapshots side by side per cell.
 
-    A snapshot is the first of one pair and the second of another; both copies meet in one
-    aggregate on (pair, cell).
+    A snapshot is the first of one pair and the second of another: it meets both roles in one join
+    with the short table of times, and both snapshots of a cell meet in one aggregate.
     """
-    steps = time_steps(grid, max_gap_days).drop("delta_days")
-    cols = [*CELL, "lat", "lon", "value"]
-    first = grid.join(steps.withColumn("time", F.col("t1")), "time").select("t1", "t2", *cols, F.lit(1).alias("_k"))
-    second = grid.join(steps.withColumn("time", F.col("t2")), "time").select("t1", "t2", *cols, F.lit(2).alias("_k"))
+    steps = time_steps(grid, max_gap_days)
+    role = lambda time, k: steps.select(F.col(time).alias("time"), "t1", "t2", F.lit(k).alias("_k"))
+    rows = grid.select("time", *CELL, "lat", "lon", "value").join(role("t1", 1).unionByName(role("t2", 2)), "time")
     of = lambda k: F.max(F.when(F.col("_k") == k, F.col("value")))
-    return first.unionByName(second).groupBy("t1", "t2", *CELL).agg(
+    return rows.groupBy("t1", "t2", *CELL).agg(
         F.max("lat").alias("lat"), F.max("lon").alias("lon"), of(1).alias("f1"), of(2).alias("f2")
     )
 
