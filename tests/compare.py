@@ -58,9 +58,11 @@ def rows_of(names, rows):
     return Counter(tuple(_canon(r[i]) for i in order) for r in rows)
 
 
-def check(spark, con, q, sf_dir) -> tuple[bool, str]:
+def check(spark, con, q, sf_dir, inspect=None) -> tuple[bool, str]:
     t0 = time.time()
     df = q.run(spark, sf_dir)
+    if inspect:
+        inspect(df)
     got = df.collect()
     t1 = time.time()
     sql = q.oracle()

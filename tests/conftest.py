@@ -11,6 +11,10 @@ from compare import duck, session  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     s = session(checkpoints=str(tmp_path_factory.mktemp("checkpoints")))

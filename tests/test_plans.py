@@ -1,33 +1,11 @@
 """Shapes of physical plans that must hold at any scale."""
 
 import pytest
-from conftest import SMALL
+from conftest import plan
 
 from marshlight.operators import composite as K
 from marshlight.operators import grid as O
 from marshlight.operators import zonal as Z
-from marshlight.plans import all_queries
-from marshlight.plans.registry import QUERIES
-
-# Grouped solvers and the spline are the only Python steps.
-PYTHON = {"st_09_time_series_cv", "st_09b_cv_one_predictor", "st_10_ridge_strength", "st_10c_strength_one_predictor",
-          "st_11_leave_one_out", "st_13_reservoir_times", "st_16_metrics", "st_17_spline_gap_fill", "st_18_score_table", "sl_05_best_set"}
-# Their builders run jobs of their own (tree search depth, models, sinks); plans are checked where cheap.
-EAGER = {"st_12_forests"}
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - EAGER))
-def test_no_cross_joins_or_stray_python(spark, name):
-    from marshlight.plans.roles import Tables
-
-    text = plan(QUERIES[name].build(Tables(spark, SMALL)))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if name not in PYTHON:
-        assert "Python" not in text and "Pandas" not in text
 
 
 def test_stencils_share_one_shuffle(spark, tables):
