@@ -42,9 +42,8 @@ def segments(lines: DataFrame, keys: list[str] = LINE) -> DataFrame:
     """Segments of non-zero length with their start and end chainage ``s0``, ``s1`` and ``length``."""
     at = with_next(positions(lines, keys, "seq"), keys, {"x2": "x", "y2": "y"}, wrap=False).where("x2 is not null")
     at = at.withColumn("d", F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).where("d > 0")
-    run = running_sums(at, keys, "pos", {"s1": "d"})
-    total = run.groupBy(*keys).agg(F.max("s1").alias("length"))
-    return run.join(total, keys).withColumn("s0", F.greatest(F.col("s1") - F.col("d"), F.lit(0.0))).drop("n", "seq")
+    run = running_sums(at, keys, "pos", {"s1": "d"}, {"length": "d"})
+    return run.withColumn("s0", F.greatest(F.col("s1") - F.col("d"), F.lit(0.0))).drop("n", "seq")
 
 
 def densify(lines: DataFrame, step_m: float, keys: list[str] = LINE) -> DataFrame:
@@ -53,19 +52,18 @@ def densify(lines: DataFrame, step_m: float, keys: list[str] = LINE) -> DataFram
     n is the length over the step, rounded up. Each segment emits the samples on it, the last one
     also the end point; lines without length emit none.
     """
-    seg = segments(lines, keys).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("length") / step_m)))
+    seg = segments(lines, keys).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("length") / step_m - 1e-9)))
     seg = seg.withColumn("ds", F.col("length") / F.col("n"))
-    last = F.col("s1") >= F.col("length")
     # The start index is the end index of the segment before it, from the same running sum.
     first = F.ceil((F.col("s1") - F.col("d")) / F.col("ds") - 1e-9)
-    stop = F.when(last, F.col("n")).otherwise(F.ceil(F.col("s1") / F.col("ds") - 1e-9) - 1)
+    stop = F.when(F.col("is_last"), F.col("n")).otherwise(F.ceil(F.col("s1") / F.col("ds") - 1e-9) - 1)
     first = F.greatest(first, F.lit(0))
     out = seg.withColumn("pos", F.explode(F.when(stop >= first, F.sequence(first, stop)).otherwise(F.array().cast("array<bigint>"))))
     s = F.when(F.col("pos") == F.col("n"), F.col("length")).otherwise(F.col("pos") * F.col("ds"))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - F.col("s0")) / F.col("d")))
     return out.withColumn("s_m", s).withColumns(
         {"x": F.col("x") + t * (F.col("x2") - F.col("x")), "y": F.col("y") + t * (F.col("y2") - F.col("y"))}
-    ).drop("x2", "y2", "d", "s0", "s1", "ds")
+    ).drop("x2", "y2", "d", "s0", "s1", "ds", "is_last")
 
 
 def tangents(samples: DataFrame, keys: list[str] = LINE) -> DataFrame:
@@ -98,7 +96,7 @@ def orient_outward(samples: DataFrame, apex_lat: float, apex_lon: float, keys: l
 def channel_samples(lines: DataFrame, step_m: float, apex: tuple[float, float] | None = None, zone: Column | None = None) -> DataFrame:
     """Projected samples with tangents, oriented outward when an apex ``(lat, lon)`` is given."""
     metric = to_metres(lines, local_zone(lines) if zone is None else zone)
-    samples = tangents(densify(metric, step_m))
+    samples = materialise(tangents(densify(metric, step_m)))
     return orient_outward(samples, *apex) if apex else samples
 
 
@@ -179,7 +177,7 @@ def nearest_sample(points: DataFrame, samples: DataFrame, ident: list[str], carr
     remaining squares. Samples at one place count once (the smallest ``sid``). No distance limit
     is needed and none is applied.
     """
-    unique = samples.groupBy("x", "y").agg(F.min_by(F.struct("sid", *carry), "sid").alias("_s"))
+    unique = materialise(samples.groupBy("x", "y").agg(F.min_by(F.struct("sid", *carry), "sid").alias("_s")))
     e = unique.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if e[0] is None:
         raise ValueError("no valid channel samples")
@@ -187,10 +185,11 @@ def nearest_sample(points: DataFrame, samples: DataFrame, ident: list[str], carr
     depth = max(1, ceil(log(span / leaf_m, 4) + 1e-9))
     square = lambda c, o, size: F.floor((F.col(c) - o) / size)
     leaves = unique.withColumns({"cx": square("x", x0, leaf_m), "cy": square("y", y0, leaf_m)})
-    occupied = materialise(leaves.select("cx", "cy").distinct())
+    occupied = leaves.select("cx", "cy").distinct()
     placed = points.withColumns({"bx": square("x", x0, leaf_m), "by": square("y", y0, leaf_m)})
     blocks = placed.select("bx", "by").distinct()
-    near = blocks.withColumns({"cx": F.explode(F.array(F.lit(0), F.lit(1))), }).withColumn("cy", F.explode(F.array(F.lit(0), F.lit(1))))
+    pair = F.explode(F.array(F.lit(0), F.lit(1)))
+    near = blocks.withColumn("cx", pair).withColumn("cy", pair)
     best_per = Window.partitionBy("bx", "by")
     for level in range(depth, -1, -1):
         size = 4**level
@@ -229,7 +228,7 @@ def parallel_to_channel(
     cells = to_metres(field.where(ok), zone)
     if cells.isEmpty():
         raise ValueError("no cells to compute: check the front mask and the data")
-    hit = nearest_sample(cells, materialise(samples), ["iy", "ix"], ["tx", "ty"], 4 * step_m)
+    hit = nearest_sample(cells, samples, ["iy", "ix"], ["tx", "ty"], 4 * step_m)
     if max_distance_m is not None:
         hit = hit.where(F.col("distance") <= max_distance_m)
     v = F.col("u_perp") * F.col("tx") + F.col("v_perp") * F.col("ty")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -100,7 +102,7 @@ def ridge_cv(
         [*kinds, StructField("alpha", DoubleType()), StructField("fold", IntegerType()), StructField("n_test", IntegerType()),
          StructField("r2", DoubleType()), StructField("mse", DoubleType())]
     )
-    return grams.groupBy(*keys).applyInPandas(score, schema) if keys else grams.groupBy().applyInPandas(score, schema)
+    return grams.groupBy(*keys).applyInPandas(score, schema)
 
 
 def mean_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,9 +224,6 @@ def best_set(scores: DataFrame, keys: list[str], value: str = "cv_r2") -> DataFr
 
 def forest_scores(rows: DataFrame, features: list[str], target: str, train: Column, trees: int = 200, boost_rounds: int = 200) -> DataFrame:
     """Random forest and gradient boosting on a train part, RMSE, MAE and R^2 on the rest."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
     whole = rows.dropna(subset=[*features, target]).withColumn("_train", train)
     data = VectorAssembler(inputCols=features, outputCol="features").transform(whole)
     fit_on = data.where("_train")

@@ -13,13 +13,6 @@ from pyspark.sql import functions as F
 CHUNK = 65536
 
 
-def _offsets(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
-    """Per (keys, _chunk): the sums over all earlier chunks."""
-    per = df.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in totals.items()])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(*keys, "_chunk", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in totals])
-
-
 def positions(df: DataFrame, keys: list[str], order: str, size: int = CHUNK) -> DataFrame:
     """Add the contiguous 0-based ``pos`` and the length ``n`` per key; the order column may have gaps."""
     cut = df.withColumn("_chunk", F.floor(F.col(order) / size))
@@ -74,16 +67,27 @@ def with_neighbours(df: DataFrame, keys: list[str], columns: list[str], size: in
     return df.withColumn("_c", F.explode(spots)).withColumns(made).where("_c.own").drop("_c")
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], size: int = CHUNK) -> DataFrame:
-    """Add inclusive running sums ``{new: column}`` per key, by an integer order column."""
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], totals: dict[str, str] = {}, size: int = CHUNK) -> DataFrame:
+    """Add inclusive running sums ``{new: column}`` per key, by an integer order column.
+
+    ``totals`` adds ``{new: column}`` sums over the whole key, and ``is_last`` marks the key's last
+    row; the chunk table gives both for free.
+    """
     cut = df.withColumn("_chunk", F.floor(F.col(order) / size))
-    shift = _offsets(cut, keys, {f"_o_{n}": F.sum(c) for n, c in sums.items()})
+    parts = {f"_o_{n}": c for n, c in sums.items()} | {f"_w_{n}": c for n, c in totals.items()}
+    per = cut.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(n) for n, c in parts.items()], F.max(order).alias("_end"))
+    whole = Window.partitionBy(*keys)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = per.select(
+        *keys, "_chunk",
+        *[F.coalesce(F.sum(f"_o_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_w_{n}").over(whole).alias(n) for n in totals],
+        F.max("_end").over(whole).alias("_end"),
+    )
     within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
-    out = out.join(shift, [*keys, "_chunk"])
-    return out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop(
-        "_chunk", *[f"_o_{n}" for n in sums]
-    )
+    out = out.join(shift, [*keys, "_chunk"]).withColumn("is_last", F.col(order) == F.col("_end"))
+    return out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop("_chunk", "_end", *[f"_o_{n}" for n in sums])
 
 
 def trailing_frame(

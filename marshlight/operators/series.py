@@ -54,7 +54,7 @@ def missing_months(df: DataFrame, keys: list[str], month: str = "month") -> Data
 
 
 def lag_features(spine: DataFrame, keys: list[str], values: list[str], lags=LAGS, windows=(3, 6), month: str = "month") -> DataFrame:
-    """Lags and lagged rolling means of every predictor, with seasonality; all-null rows dropped.
+    """Lags and lagged rolling means of every predictor on the month spine, with seasonality.
 
     A rolling mean needs half its window (rounded down) and never includes the current month.
     """
@@ -64,7 +64,6 @@ def lag_features(spine: DataFrame, keys: list[str], values: list[str], lags=LAGS
         for k in lags:
             made[f"{v}_lag{k}"] = F.lag(v, k).over(order)
         for n in windows:
-            # The rolling value of the previous month exists only when that month has a row.
             frame = order.rowsBetween(-n, -1)
             made[f"{v}_roll{n}m"] = F.when(F.count(v).over(frame) >= n // 2, F.avg(v).over(frame))
     out = spine.select(*keys, month, *[c.alias(n) for n, c in made.items()])

@@ -85,13 +85,14 @@ def test_chunked_windows_equal_plain_ones(spark):
     data = [(k, s, rnd.random()) for k in ("hot", "cold") for s in (seq if k == "hot" else seq[:3])]
     df = spark.createDataFrame(data, "k string, s int, v double")
     near = Q.with_neighbours(Q.positions(df, ["k"], "s", 7), ["k"], ["v"], 4)
-    rows = {(r.k, r.s): r for r in Q.running_sums(near, ["k"], "s", {"total": "v"}, 7).collect()}
+    rows = {(r.k, r.s): r for r in Q.running_sums(near, ["k"], "s", {"total": "v"}, {"whole": "v"}, size=7).collect()}
     for key in ("hot", "cold"):
         mine, total = [d for d in data if d[0] == key], 0.0
         for i, (_, s, v) in enumerate(mine):
             total += v
             r = rows[key, s]
             assert r.pos == i and r.n == len(mine) and r.total == pytest.approx(total)
+            assert r.whole == pytest.approx(sum(d[2] for d in mine)) and r.is_last == (i == len(mine) - 1)
             assert r.prev_v == (mine[i - 1][2] if i else None)
             assert r.next_v == (mine[i + 1][2] if i + 1 < len(mine) else None)
 
