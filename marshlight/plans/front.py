@@ -34,7 +34,7 @@ def _gradient_sql(source: str, keys: str, f: str) -> str:
     f"SELECT time, iy, ix, df_dx * 1e6 AS gx, df_dy * 1e6 AS gy FROM ({_gradient_sql('r_cube', 'time', 'value')})",
 )
 def _(t):
-    g = O.spatial_gradient(t.cube, tile=4)
+    g = O.spatial_gradient(t.kept_cube, tile=4)
     return g.select("time", "iy", "ix", (F.col("df_dx") * 1e6).alias("gx"), (F.col("df_dy") * 1e6).alias("gy"))
 
 
@@ -47,7 +47,7 @@ def _smooth_sql(source: str, f: str, size: int) -> str:
 
 @query("wn_14_box_smooth", "time:d iy:i ix:i value:f", _smooth_sql("r_cube", "value", 3))
 def _(t):
-    return O.smooth(t.cube, 3, tile=4)
+    return O.smooth(t.kept_cube, 3, tile=4)
 
 
 @query("wn_14b_box_smooth_even", "time:d iy:i ix:i value:f", _smooth_sql("r_grid", "value", 2))
@@ -63,7 +63,7 @@ def _(t):
        FROM (SELECT DISTINCT time FROM r_cube)""",
 )
 def _(t):
-    return V.nearest_pair(t.cube, "1996-02-20", "1999-08-10")
+    return V.nearest_pair(t.kept_cube, "1996-02-20", "1999-08-10")
 
 
 _STEPS = "SELECT t1, t2, CAST(date_diff('day', t1, t2) AS DOUBLE) AS delta_days FROM (SELECT time AS t1, lead(time) OVER (ORDER BY time) AS t2 FROM (SELECT DISTINCT time FROM r_cube)) WHERE t2 IS NOT NULL"
@@ -71,7 +71,7 @@ _STEPS = "SELECT t1, t2, CAST(date_diff('day', t1, t2) AS DOUBLE) AS delta_days
 
 @query("wn_15_time_steps", "t1:d t2:d delta_days:f", f"SELECT * FROM ({_STEPS}) WHERE delta_days <= 91")
 def _(t):
-    return V.time_steps(t.cube, max_gap_days=91)
+    return V.time_steps(t.kept_cube, max_gap_days=91)
 
 
 def _field_ctes(pairs: str, smooth: bool = False, band: str = "grad_mag >= edge") -> str:
@@ -108,7 +108,7 @@ def _km(field):
 
 
 def _pair_field(t, **kw):
-    return V.front_velocity(V.snapshot_pair(t.cube, "1996-04-03", "1999-06-20"), t.cube, tile=4, **kw)
+    return V.front_velocity(V.snapshot_pair(t.kept_cube, "1996-04-03", "1999-06-20"), t.kept_cube, tile=4, **kw)
 
 
 @query("geo_01_front_velocity", _FIELD, _field_ctes(_TWO) + _FIELD_SQL)
@@ -142,7 +142,7 @@ k AS (SELECT *, coalesce(mask_front AND speed >= 10 AND a_se <= 60, false) AS al
 
 
 def _classified(t):
-    field = V.front_velocity(V.adjacent_pairs(t.cube), t.cube, tile=4)
+    field = V.front_velocity(V.adjacent_pairs(t.kept_cube), t.kept_cube, tile=4)
     return V.classify_direction(field, angle_tol_deg=60.0, min_speed=10.0, apex=(-19.6, 22.0))
 
 
@@ -181,8 +181,8 @@ CROSS JOIN (SELECT unnest(range(1, 13)) AS month) m LEFT JOIN g2 ON g2.month = m
 
 
 def _climatology(t, weighted: bool):
-    field = V.front_velocity(V.adjacent_pairs(t.cube), t.cube, tile=4)
-    c = V.velocity_climatology(field, t.cube, weighted)
+    field = V.front_velocity(V.adjacent_pairs(t.kept_cube), t.kept_cube, tile=4)
+    c = V.velocity_climatology(field, t.kept_cube, weighted)
     return c.withColumns({"v_km": F.col("v_normal_mean") / 1e3, "u_km": F.col("u_perp_mean") / 1e3, "vp_km": F.col("v_perp_mean") / 1e3})
 
 
@@ -198,7 +198,7 @@ def _(t):
 
 @query("ag_34_robust_limit", "limit:f", "SELECT quantile_cont(abs(value - 0.5e0), 0.98) AS \"limit\" FROM r_grid")
 def _(t):
-    return V.robust_limit(t.grid.withColumn("value", F.col("value") - 0.5), "value")
+    return V.robust_limit(t.kept_grid.withColumn("value", F.col("value") - 0.5), "value")
 
 
 @query(

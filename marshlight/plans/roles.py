@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.materialise import materialise
+
 
 class Tables:
     """Tables of one folder, and the role views over them."""
@@ -63,6 +65,15 @@ class Tables:
         """Quarterly wet fraction on 6 x 6 cells, nearly gap-free: input of the stencils."""
         return self._cells("QUARTER", 6).drop("cls", "year", "month")
 
+    @cached_property
+    def kept_grid(self) -> DataFrame:
+        """The grid written once, for queries that read it several times (axes, masks, cells)."""
+        return materialise(self.grid)
+
+    @cached_property
+    def kept_cube(self) -> DataFrame:
+        return materialise(self.cube)
+
     @cached_property
     def daily(self) -> DataFrame:
         """Raw gauge readings, several per station and day."""

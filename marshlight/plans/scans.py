@@ -236,7 +236,7 @@ def _(t):
 )
 def _(t):
     path = _scratch(t)
-    rows, _cols = Z.axes(t.grid)
-    tagged = P.cells_in_regions(t.grid, P.row_spans(P.edges(t.basins), rows))
+    rows, _cols = Z.axes(t.kept_grid)
+    tagged = P.cells_in_regions(t.kept_grid, P.row_spans(P.edges(t.basins), rows))
     X.write_region_table(Z.zonal_monthly(tagged), path)
     return t.spark.read.parquet(path)

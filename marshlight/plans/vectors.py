@@ -9,6 +9,7 @@ from ..operators import channels as H
 from ..operators import polygons as P
 from ..operators import regions as A
 from ..operators import zonal as Z
+from ..operators.materialise import materialise
 from .registry import query
 from .zones import _OVERLAP
 
@@ -26,7 +27,7 @@ def _storage(t):
         # keeps values off exact rounding ties.
         (F.expr("(s * 1024) div (10 * n)") / 1024.0 + 2e-7 + F.col("dy") * 1e-9).alias("value"),
     )
-    return cells.withColumns({"lat": -20.25 + 0.25 * F.col("iy"), "lon": 21.5 + 0.25 * F.col("ix")})
+    return materialise(cells.withColumns({"lat": -20.25 + 0.25 * F.col("iy"), "lon": 21.5 + 0.25 * F.col("ix")}))
 
 
 _BLOCKS = """
@@ -116,7 +117,7 @@ _PTS = "(SELECT c_custkey, -20.5e0 + (c_custkey % 111) / 32e0 AS lat, 21.25e0 +
     f"SELECT c_custkey, CAST(greatest(0, least(11, floor((lat + 20.25e0) / 0.25e0 + 0.5e0))) AS INTEGER) AS iy, CAST(greatest(0, least(11, floor((lon - 21.5e0) / 0.25e0 + 0.5e0))) AS INTEGER) AS ix FROM {_PTS}",
 )
 def _(t):
-    return B.nearest_cells(_points(t), *Z.axes(t.grid))
+    return B.nearest_cells(_points(t), *Z.axes(t.kept_grid))
 
 
 @query(
@@ -127,7 +128,7 @@ def _(t):
              (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)""",
 )
 def _(t):
-    n = B.neighbourhoods(_points(t), *Z.axes(t.grid))
+    n = B.neighbourhoods(_points(t), *Z.axes(t.kept_grid))
     return n.withColumn("cell_id", F.when(F.col("cell_id") == "C", "C").otherwise(F.col("cell_id")))
 
 
@@ -139,7 +140,7 @@ def _field(t):
         F.max("lat").alias("lat"), F.max("lon").alias("lon"), (F.avg("value") - 0.5).alias("u_perp"),
         (F.max("value") - F.avg("value")).alias("v_perp"), (F.avg("value") > 0.5).alias("mask_front"),
     )
-    return f.withColumn("u_perp", F.when((F.col("iy") + F.col("ix")) % 9 != 4, F.col("u_perp")))
+    return materialise(f.withColumn("u_perp", F.when((F.col("iy") + F.col("ix")) % 9 != 4, F.col("u_perp"))))
 
 
 def _sample_sql(points: str, ident: str) -> str:

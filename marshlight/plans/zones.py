@@ -12,13 +12,13 @@ from .registry import query
 
 
 def _mask(t):
-    rows, cols = Z.axes(t.grid)
+    rows, cols = Z.axes(t.kept_grid)
     return P.region_mask(P.row_spans(P.edges(t.basins), rows), cols)
 
 
 def _tagged(t):
-    rows, _ = Z.axes(t.grid)
-    return P.cells_in_regions(t.grid, P.row_spans(P.edges(t.basins), rows))
+    rows, _ = Z.axes(t.kept_grid)
+    return P.cells_in_regions(t.kept_grid, P.row_spans(P.edges(t.basins), rows))
 
 
 _AREA = "6371.0088e0 * 6371.0088e0 * radians(0.25e0) * radians(0.25e0) * cos(radians({}lat))"
@@ -53,7 +53,7 @@ FROM f GROUP BY ALL HAVING shared > 1e-12"""
 
 
 def _cell_rects(t):
-    c = t.grid.select("iy", "ix", "lat", "lon").distinct()
+    c = t.kept_grid.select("iy", "ix", "lat", "lon").distinct()
     return c.select(
         (F.col("iy") * 100 + F.col("ix")).alias("rect"),
         (F.col("lon") - 0.125).alias("west"), (F.col("lon") + 0.125).alias("east"),
@@ -82,9 +82,9 @@ def _(t):
         SELECT time, region, iy, ix, value FROM r_grid JOIN o ON o.rect = iy * 100 + ix""",
 )
 def _(t):
-    rows, cols = Z.axes(t.grid)
+    rows, cols = Z.axes(t.kept_grid)
     cells = P.touched_cells(P.edges(t.basins), rows, cols, -20.25, 21.5, 0.25, 0.25)
-    return t.grid.join(cells, ["iy", "ix"])
+    return t.kept_grid.join(cells, ["iy", "ix"])
 
 
 @query(
@@ -94,8 +94,8 @@ def _(t):
        FROM r_grid g WHERE iy < 6 GROUP BY time""",
 )
 def _(t):
-    cells = t.grid.where("iy < 6").select("iy", "ix", "lat").distinct()
-    return Z.weighted_mean(_depth(t.grid.where("iy < 6")), cells)
+    cells = t.kept_grid.where("iy < 6").select("iy", "ix", "lat").distinct()
+    return Z.weighted_mean(_depth(t.kept_grid.where("iy < 6")), cells)
 
 
 @query(
@@ -134,7 +134,7 @@ _SPINE = """(SELECT * FROM (SELECT DISTINCT iy, ix FROM r_grid),
     f"SELECT s.month, s.iy, s.ix, value FROM {_SPINE} s LEFT JOIN r_grid g ON g.time = s.month AND g.iy = s.iy AND g.ix = s.ix",
 )
 def _(t):
-    return Z.monthly_mean(t.grid)
+    return Z.monthly_mean(t.kept_grid)
 
 
 @query(
@@ -181,7 +181,7 @@ def _volume_sql(area: str) -> str:
 
 @query("ag_09_zonal_volume", "time:d region:i km3:f mm:f", _volume_sql(_AREA))
 def _(t):
-    return Z.zonal_volume(O.with_cell_area(_depth(_tagged(t)), axes_of=t.grid), O.with_cell_area(_mask(t), axes_of=t.grid))
+    return Z.zonal_volume(O.with_cell_area(_depth(_tagged(t)), axes_of=t.kept_grid), O.with_cell_area(_mask(t), axes_of=t.kept_grid))
 
 
 @query(
@@ -191,7 +191,7 @@ def _(t):
 )
 def _(t):
     window = _tagged(t).where((F.col("time") >= "1996-01-01") & (F.col("time") < "2000-01-01"))
-    return Z.zonal_volume(O.with_cell_area(_depth(window), "band", axes_of=t.grid), O.with_cell_area(_mask(t), "band", axes_of=t.grid))
+    return Z.zonal_volume(O.with_cell_area(_depth(window), "band", axes_of=t.kept_grid), O.with_cell_area(_mask(t), "band", axes_of=t.kept_grid))
 
 
 @query("ag_11_wet_pixels", "time:d wet:i", "SELECT time, sum(CASE WHEN cls > 0 THEN 1 ELSE 0 END) AS wet FROM r_grid GROUP BY time")
@@ -232,7 +232,7 @@ def _(t):
     f"SELECT time, sum(CASE WHEN value >= 0.5e0 THEN {_AREA.format('')} ELSE 0 END) AS km2 FROM r_grid GROUP BY time",
 )
 def _(t):
-    return Z.wet_area(O.with_cell_area(t.grid), ["time"], 0.5)
+    return Z.wet_area(O.with_cell_area(t.kept_grid), ["time"], 0.5)
 
 
 _BASIN = f"""SELECT g.time, m.region, sum(CASE WHEN value >= 0.5e0 THEN {_AREA.format('g.')} ELSE 0 END) AS km2
@@ -240,7 +240,7 @@ _BASIN = f"""SELECT g.time, m.region, sum(CASE WHEN value >= 0.5e0 THEN {_AREA.f
 
 
 def _basin_area(t):
-    return Z.wet_area(O.with_cell_area(_tagged(t), axes_of=t.grid), ["time", "region"], 0.5)
+    return Z.wet_area(O.with_cell_area(_tagged(t), axes_of=t.kept_grid), ["time", "region"], 0.5)
 
 
 @query("ag_23_basin_area", "time:d region:i km2:f", _BASIN)
