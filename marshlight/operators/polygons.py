@@ -136,6 +136,8 @@ def overlaps(rects: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Exact area shared by rectangles ``(rect, west, south, east, north)`` and regions.
 
     Each edge adds the signed area below it that falls in the rectangle; no clipped ring is built.
+    An edge meets the rectangles of its longitudes that lie below it, which suits blocks of some
+    degrees; the cells of a fine raster are selected by ``region_mask`` and ``touched_cells``.
     Edges and rectangles meet by an equi-join on longitude bands as wide as the widest rectangle,
     counted once per pair.
     """

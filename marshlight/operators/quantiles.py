@@ -14,14 +14,15 @@ ACCURACY = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
-    """One row per group with a column per entry of ``probs``; nulls are left out.
+    """One row per group with a column per entry of ``probs``; nulls and NaN are left out.
 
     The sketch misses a rank by at most one part in ``accuracy``, the bracket is three parts wide
     on either side. Groups below four times ``accuracy`` rows are ranked whole. Should a rank fall
     outside its bracket the query fails instead of returning a neighbour.
     """
     gk = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*gk, F.col(value).cast("double").alias("_v"))
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*gk, number.alias("_v")).where(F.col("_v").isNotNull())
     margin = 3.0 / accuracy
     marks = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)]
     sketch = rows.groupBy(*gk).agg(

@@ -156,3 +156,21 @@ def test_feature_text(spark):
                                 (3, "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"), (4, None)], "region int, wkt string")
     areas = {r.region: r.area for r in P.measures(X.polygon_vertices(df)).collect()}
     assert areas == {1: pytest.approx(3.75), 3: pytest.approx(1.0)}
+
+
+def test_no_front_cell_is_an_error(spark):
+    field = spark.createDataFrame([(0, 0, -19.0, 22.0, 1.0, 1.0, False)], "iy int, ix int, lat double, lon double, u_perp double, v_perp double, mask_front boolean")
+    line = spark.createDataFrame([(1, 0, 22.0, -19.0), (1, 1, 22.1, -19.0)], "line_id int, seq int, lon double, lat double")
+    with pytest.raises(ValueError, match="no cells"):
+        H.parallel_to_channel(field, line)
+
+
+def test_speed_along_an_eastward_channel(spark):
+    field = spark.createDataFrame([(i, j, -19.2 + 0.1 * i, 21.9 + 0.1 * j, 7.0, 0.0, True) for i in range(4) for j in range(5)],
+                                  "iy int, ix int, lat double, lon double, u_perp double, v_perp double, mask_front boolean")
+    line = spark.createDataFrame([(1, 0, 22.2, -19.03), (1, 1, 22.0, -19.03)], "line_id int, seq int, lon double, lat double")
+    rows = H.speed_along_channels(field, line, step_m=5000.0).collect()
+    assert len(rows) == 6 and all(r.v_along == pytest.approx(-7.0, rel=1e-3) for r in rows)
+    away = H.speed_along_channels(field, line, step_m=5000.0, apex=(-19.03, 21.5)).collect()
+    assert all(r.flipped and r.v_along == pytest.approx(7.0, rel=1e-3) for r in away)
+    assert {round(r.s_m + r.s_oriented_m) for r in away} == {round(max(r.s_m for r in away))}
