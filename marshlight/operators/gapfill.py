@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .series import gap_lengths
 
+# Grouped functions travel with the query, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _basis(knots: np.ndarray, x: np.ndarray, count: int) -> np.ndarray:
     """Values of all quadratic B-splines at x, by the recurrence from degree 0."""

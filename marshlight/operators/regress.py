@@ -7,8 +7,11 @@ step sees a few hundred numbers per key, never the rows.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +20,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from .series import first_per_key
 
+# Grouped functions travel with the query, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def with_folds(rows: DataFrame, keys: list[str], order: str, folds: int) -> DataFrame:
     """Time-ordered blocks: block i > 0 is the test part of fold i, all blocks before it train it.
