@@ -1,31 +1,49 @@
-"""Cut a long lineage by writing a table to the cluster's shared checkpoint folder."""
+"""Cut a long lineage by writing a table to the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="marshlight-")
+def checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where that is unset, a folder in the warehouse.
 
+    Both are places that the driver and all executors share.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
+
+
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _own_dir()
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new folder name below the shared folder, removed when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    fs, where = _path(spark, path)
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back: later passes prune columns and survive lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write ``df`` once and read it back: later passes prune columns and survive lost executors.
+
+    The folder goes when ``release`` is called on the result, or else with the session.
+    """
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*stages: DataFrame) -> None:
+    """Remove written tables that no later plan reads."""
+    for df in stages:
+        fs, where = _path(df.sparkSession, df._stage_path)
+        fs.delete(where, True)

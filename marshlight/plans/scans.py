@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,14 +9,14 @@ from ..functions import calendar as C
 from ..functions import text as T
 from ..operators import polygons as P
 from ..operators import zonal as Z
-from ..operators.materialise import checkpoint_dir
+from ..operators.materialise import fresh_path
 from ..sources import gauges as S
 from ..sources import tiles as X
 from .registry import query
 
 
 def _scratch(t) -> str:
-    return f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+    return fresh_path(t.spark)
 
 
 def _gauge_lines(t):
