@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -167,3 +169,29 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndar
         else:
             out[have] = mixed(out[have] * U64(3) + words[first[have] + k])
     return out, offsets
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as this Python worker, across its tasks. Whoever fills it bounds it."""
+    held = sys.modules.setdefault("marshlight_worker_cache", types.ModuleType("marshlight_worker_cache"))
+    return held.__dict__.setdefault(name, {})
+
+
+def mapped(df: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], added: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``df`` with columns computed from whole texts in Arrow slices; null is an empty text.
+
+    ``make`` is called once in a task and gives a function of a text column that returns the ``added``
+    columns (DDL). ``keep`` names the columns that stay (all); those named like added ones are replaced.
+    """
+    fields = T.StructType.fromDDL(added)
+    names = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_or_empty(text).alias("text"))
+    schema = T.StructType([inner.schema["row"], *fields])
+
+    def run(batches):
+        f = make()
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column("row"), *f(piece.column("text"))], names=schema.names)
+
+    out = inner.mapInArrow(run, schema)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *fields.names)

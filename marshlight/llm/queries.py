@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import bpe, secrets, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,35 @@ def _(spark, sf_dir):
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: As dealt with the contract of op7.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+@query("op7_url_verdicts")
+def _(spark, sf_dir):
+    """All pages judged by rules and by the ratio of character models."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_verdicts(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op2_bpe_round_trip")
+def _(spark, sf_dir):
+    """All documents encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"]))
+
+
+@query("op9_secret_scan")
+def _(spark, sf_dir):
+    """All documents scanned for secrets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, keep=["doc_id"])
+    return found.withColumn("base_sha256", secrets.digest("base_spans")).drop("base_spans")
