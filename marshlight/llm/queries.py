@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, sharding, url_filter
+from . import bpe, exact_dedup, jaccard, secrets, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,26 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan_secrets(docs, keep=["doc_id"])
     return found.withColumn("base_sha256", secrets.digest("base_spans")).drop("base_spans")
+
+
+@query("op3_jaccard_join")
+def _(spark, sf_dir):
+    """All documents with the class of those that share four fifths of their five-word runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_documents(docs, keep=["doc_id"])
+
+
+@query(
+    "op6_exact_dedup",
+    r"""
+    WITH t AS (
+      SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+      doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
+    FROM t
+    """,
+)
+def _(spark, sf_dir):
+    """All documents with the copy that stays."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
