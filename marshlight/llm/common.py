@@ -132,11 +132,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Every ASCII byte but letters and digits: words without punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word of each row, and the n + 1 offsets of the rows in the list of words."""
     n = len(raw)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SPACE[raw]
+    inside[1:-1] = ~gap[raw]
     fresh = np.zeros(n + 1, bool)
     fresh[offsets] = True  # a row starts or ends here
     word = inside[1:]
@@ -146,11 +150,11 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(column: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows (white space apart, A-Z in lower case), and the rows' offsets."""
+def word_hashes(column: pa.Array, powers: Powers, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows (bytes of ``gap`` apart, A-Z in lower case), and the rows' offsets."""
     raw, offsets = joined_bytes(column)
     raw = LOWER[raw]
-    starts, ends, rows = word_bounds(raw, offsets)
+    starts, ends, rows = word_bounds(raw, offsets, gap)
     return Rolling(raw, powers).of(starts, ends), rows
 
 

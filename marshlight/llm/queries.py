@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, secrets, sharding, url_filter
+from . import bpe, decontamination, exact_dedup, jaccard, secrets, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """All documents with the copy that stays."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query("op5_decontamination")
+def _(spark, sf_dir):
+    """All documents against all test items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("score").alias("score"), F.max_by("word_start", "score").alias("word_start"), F.max_by("word_end", "score").alias("word_end")
+    )
