@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, jaccard, secrets, sharding, url_filter
-from .common import table
+from . import bpe, decontamination, exact_dedup, jaccard, secrets, sharding, toxicity, url_filter
+from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,3 +98,18 @@ def _(spark, sf_dir):
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.max_by("word_start", "score").alias("word_start"), F.max_by("word_end", "score").alias("word_end")
     )
+
+
+def toxicity_model(spark, docs, sf_dir):
+    """Learned from labelled documents whose crc32(doc_id as text) mod 3 is not 1."""
+    return toxicity.train(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"), lambda c: id_remainder(c, 3) != 1))
+
+
+@query("op4_toxicity")
+def _(spark, sf_dir):
+    """All documents scored for toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(spark, docs, sf_dir), keep=["doc_id"])
+    return scored.select(
+        "doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
