@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, jaccard, secrets, sharding, toxicity, url_filter
+from . import bpe, decontamination, exact_dedup, hmm, jaccard, secrets, sharding, toxicity, url_filter
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def _(spark, sf_dir):
     return scored.select(
         "doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query("op1_hidden_markov")
+def _(spark, sf_dir):
+    """All documents scored by the hidden Markov model and by single words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.score_documents(docs, id_remainder("doc_id", 7) == 2, keep=["doc_id"])
