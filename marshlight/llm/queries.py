@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, hmm, jaccard, secrets, sharding, toxicity, url_filter
+from . import bpe, decontamination, exact_dedup, hmm, jaccard, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,11 @@ def _(spark, sf_dir):
     """All documents scored by the hidden Markov model and by single words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hmm.score_documents(docs, id_remainder("doc_id", 7) == 2, keep=["doc_id"])
+
+
+@query("op8_suffix_dedup")
+def _(spark, sf_dir):
+    """All documents without strings of 100 bytes that start earlier too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, keep=["doc_id"])
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
