@@ -211,10 +211,12 @@ def similar_documents(
     added = ["class_id", "n_links", "n_linked", "n_copies", "kept"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows, bands = plan_bands(threshold[0] / threshold[1], miss)
-    staged = materialise(docs.select(
+    staged = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
-    ))
+    )
+    # The text is written once, in the row where that keeps it.
+    staged = materialise(staged.drop("text")).withColumn("text", text_or_empty("row.text")) if "text" in names else materialise(staged)
     sketched = materialise(mapped(staged, _sketcher(words, rows, bands), "d1 long, d2 long, bands array<long>", ["rid", "doc_id"]))
     classes = materialise(sketched.groupBy("d1", "d2").agg(
         F.min("rid").alias("rep"), F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"),
