@@ -282,6 +282,6 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no test item, as they are."""
-    found = materialise(contaminated(docs, items, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    return docs.join(found, same, "left_anti")
+    found = materialise(contaminated(docs, items, **options).select("doc_id", "text_key").distinct())
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id")) & (text_key("d.text") == F.col("f.text_key"))
+    return docs.alias("d").join(found.alias("f"), same, "left_anti")
