@@ -19,6 +19,12 @@ CLOUD_BITS = {"ten_metre": (10, 11), "thirty_metre": (1, 2, 3, 4)}
 MM_RULES = ("tenth_mm", "flux_mm_per_s", "negative_metres", "hundredth_per_8day", "tenth_mm_per_dekad", "mm")
 
 
+def finite(value) -> Column:
+    """The value where it is an ordinary number; null for NaN and both infinities."""
+    x = _col(value).cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def nan_to_null(df: DataFrame, *names: str) -> DataFrame:
     """NaN would poison Spark averages; every ingest path turns it into NULL."""
     return df.withColumns({n: F.nanvl(F.col(n), F.lit(None).cast("double")) for n in names})

@@ -90,7 +90,7 @@ def blocks_in_region(blocks: DataFrame, polygon: DataFrame, mode: str = "interse
     if mode == "center_in":
         points = blocks.withColumns({"iy": F.col("block_id"), "lat": F.col("lat_c"), "lon": F.col("lon_c")})
         spans = P.row_spans(edge, points.select("iy", "lat"))
-        return P.cells_in_regions(points, spans).drop("iy", "lat", "lon").withColumn("fraction", F.lit(1.0))
+        return P.points_in_regions(points, spans).drop("iy", "lat", "lon").withColumn("fraction", F.lit(1.0))
     rects = blocks.select(F.col("block_id").alias("rect"), "west", "south", "east", "north")
     shared = P.overlaps(rects, edge).where(F.col("fraction") >= min_fraction)
     return blocks.join(shared.select(F.col("rect").alias("block_id"), "region", "fraction"), "block_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_start
-from ..functions.raster import transition_code
+from ..functions.raster import finite, transition_code
 
 CELL = ["iy", "ix"]
 
@@ -63,7 +63,7 @@ def transition_area(codes: DataFrame, cell_area: DataFrame, code: int) -> DataFr
 def wetness(grid: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Ever wet, wet count, and wet share of all snapshots (also those a cell is missing from)."""
     steps = grid.agg(F.count_distinct("time")).scalar()
-    n = F.count_if(F.col("value") >= threshold)
+    n = F.count_if(finite("value") >= threshold)
     out = grid.groupBy(*CELL).agg(n.alias("wet_count"))
     return out.withColumns(
         {"ever_wet": F.col("wet_count") > 0, "wet_frac": F.col("wet_count") / steps}

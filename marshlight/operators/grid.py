@@ -87,6 +87,15 @@ def with_cell_area(df: DataFrame, form: str = "cosine", spacing: str = "median",
     return df.withColumn("area_km2", G.cell_area_km2("lat", dlat, dlon, form))
 
 
+def with_cell_areas(df: DataFrame, forms: dict[str, str], spacing: str = "median", axes_of: DataFrame | None = None) -> DataFrame:
+    """A column of cell areas for each name and form; the spacing of the grid is read once for all of them."""
+    source = df if axes_of is None else axes_of
+    step = [axis_spacing(source, axis, spacing).withColumnRenamed("spacing", axis) for axis in ("lat", "lon")]
+    both = step[0].agg(F.struct(F.first("lat").alias("lat"), F.lit(step[1].scalar()).alias("lon"))).scalar()
+    spaced = df.withColumn("_step", both)
+    return spaced.withColumns({n: G.cell_area_km2("lat", F.col("_step.lat"), F.col("_step.lon"), f) for n, f in forms.items()}).drop("_step")
+
+
 def axis_limits(df: DataFrame) -> Column:
     """Scalar subquery with the first and last row and column of the grid."""
     return df.agg(

@@ -81,14 +81,20 @@ def row_spans(edge_table: DataFrame, rows: DataFrame, row: str = "iy", own: bool
     )
 
 
-def cells_in_regions(cells: DataFrame, spans: DataFrame) -> DataFrame:
-    """Tag cells (or grid rows) with the regions whose inside holds their centre.
+def cells_in_regions(cells: DataFrame, mask: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tag cells ``(iy, ix, ...)`` with the regions whose mask holds them, and the mask's columns ``carry``.
 
-    Equi-join on the row index; Spark broadcasts the spans only when they measure small.
+    An equi-join on the cell: the mask is geometry only, one row per region and cell whatever the
+    number of times, and no cell meets a region that does not hold it.
     """
+    return cells.join(mask.select("region", "iy", "ix", *carry), ["iy", "ix"])
+
+
+def points_in_regions(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points ``(iy, lon)``, each with a row index of its own, tagged with the regions around them."""
     s = spans.select("region", F.col("iy").alias("_iy"), "x0", "x1")
     on = (F.col("iy") == F.col("_iy")) & (F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x1"))
-    return cells.join(s, on).drop("_iy", "x0", "x1")
+    return points.join(s, on).drop("_iy", "x0", "x1")
 
 
 def region_mask(spans: DataFrame, cols: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` keeps all distinct values of a group in one task. Here a mergeable sketch first
-brackets each wanted rank; then rows below the bracket are only counted, and the few values inside
-it are ranked. The result equals linear interpolation between order statistics.
+brackets each wanted rank; the rows of the bracket are counted in ``CELLS`` equal cells of its range,
+those below it as one; and only the values of the cells that hold the rank are put in order. The
+result equals linear interpolation between order statistics.
 """
 
 from __future__ import annotations
@@ -11,33 +12,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 4096
+#: Quantiles that the sketch is asked for, and cells within the bracket between two of them.
+GRID, CELLS = 256, 1024
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with a column per entry of ``probs``; nulls and NaN are left out.
 
-    The sketch misses a rank by at most one part in ``accuracy``, the bracket is three parts wide
-    on either side. Groups below four times ``accuracy`` rows are ranked whole. Should a rank fall
-    outside its bracket the query fails instead of returning a neighbour.
+    The sketch misses a rank by at most one part in ``accuracy``; the bracket reaches beyond that, and
+    by two ranks, to the next of ``GRID`` quantiles on either side. A task orders the values of two
+    cells at most, a thousandth of a bracket unless values crowd there. Should a rank fall outside its
+    bracket the query fails instead of returning a neighbour.
     """
     gk = list(keys)
     number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     rows = df.select(*gk, number.alias("_v")).where(F.col("_v").isNotNull())
-    margin = 3.0 / accuracy
-    marks = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)]
     sketch = rows.groupBy(*gk).agg(
-        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", marks, accuracy).alias("_marks"),
+        F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", [k / GRID for k in range(GRID + 1)], accuracy).alias("_marks")
     )
-    small = F.col("_total") < 4 * accuracy
-    bracket = lambda i, end: F.when(small, F.col(end)).otherwise(F.get("_marks", i))
+    margin = 2 / F.col("_total") + 2.0 / accuracy
+    mark = lambda share: F.get("_marks", F.least(F.lit(GRID), F.greatest(F.lit(0), share)).cast("int"))
     wanted = F.array(
         *[
             F.struct(
-                F.lit(name).alias("name"), bracket(2 * i, "_min").alias("lo"), bracket(2 * i + 1, "_max").alias("hi"),
+                F.lit(name).alias("name"), mark(F.floor((p - margin) * GRID)).alias("lo"), mark(F.ceil((p + margin) * GRID)).alias("hi"),
                 ((F.col("_total") - 1) * F.lit(p)).alias("pos"), (F.col("_total") - 1).alias("last"),
             )
-            for i, (name, p) in enumerate(probs.items())
+            for name, p in probs.items()
         ]
     )
     if gk:
@@ -45,14 +46,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     else:
         tagged = rows.withColumn("_w", F.explode(sketch.select(wanted).scalar()))
     near = tagged.where(F.col("_v") <= F.col("_w.hi"))
-    # All rows below the bracket collapse into one counted row before the shuffle.
-    inside = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))
-    counts = near.groupBy(*gk, "_w", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*gk, "_w.name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(order))
-    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")) & F.col("_v").isNotNull()
+    width = F.col("_w.hi") - F.col("_w.lo")
+    place = F.when(width > 0, F.floor((F.col("_v") - F.col("_w.lo")) / width * CELLS)).otherwise(0)
+    celled = near.withColumn("_cell", F.when(F.col("_v") < F.col("_w.lo"), -1).otherwise(place).cast("int"))
+    counts = celled.groupBy(*gk, "_w", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*gk, "_w.name").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     low = F.floor("_w.pos")
     high = F.least(low + 1, F.col("_w.last"))
+    holds = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+    cells = counts.withColumn("_upto", F.sum("_n").over(order)).where((F.col("_cell") >= 0) & (holds(low) | holds(high)))
+    here = cells.select(*gk, F.col("_w.name").alias("_name"), "_cell", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = celled.withColumn("_name", F.col("_w.name")).join(here, [*gk, "_name", "_cell"])
+    values = inside.groupBy(*gk, "_w", "_cell", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    rank = Window.partitionBy(*gk, "_w.name", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(rank))
     found = ranked.groupBy(*gk, F.col("_w.name").alias("_name"), F.col("_w.pos").alias("_pos")).agg(
         F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_spine, month_start, season_cos, season_sin, water_year
+from ..functions.raster import finite
 from .sequence import trailing_frame
 
 FLOOD_MONTHS = (3, 4, 5, 6, 7)
@@ -236,7 +237,7 @@ def preseason_features(features: DataFrame, keys: list[str], values: list[str],
 def phase_loops(points: DataFrame, keys: list[str], x: str, y: str, order: str, normalize: bool = False) -> DataFrame:
     """Turning direction and circularity of the closed loop of each key (one loop is one season)."""
     ok = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(order).alias("_o"), F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("_x"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("_y")
+        *keys, F.col(order).alias("_o"), finite(x).alias("_x"), finite(y).alias("_y")
     ).where("_x is not null and _y is not null")
     if normalize:
         ends = ok.groupBy(*keys).agg(*[f(c).alias(f"{n}{c}") for c in ("_x", "_y") for n, f in (("lo", F.min), ("hi", F.max))])

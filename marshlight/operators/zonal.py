@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
 from ..functions.calendar import month_spine, month_start
+from ..functions.raster import finite
 from .quantiles import exact_quantiles
 
 
@@ -131,7 +132,7 @@ def threshold_series(
 
 def wet_area(cells: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Area of the cells at or above the threshold; needs ``area_km2``."""
-    hit = F.when(F.col("value") >= threshold, F.col("area_km2")).otherwise(0.0)
+    hit = F.when(finite("value") >= threshold, F.col("area_km2")).otherwise(0.0)
     return cells.groupBy(*keys).agg(F.sum(hit).alias("km2"))
 
 

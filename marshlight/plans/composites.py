@@ -126,14 +126,14 @@ def _(t):
 @query(
     "ag_21_agreement",
     "code:i cells:i",
-    """WITH a AS (SELECT iy, ix, avg(value) > 0.5e0 AS wet FROM r_grid GROUP BY ALL), b AS (SELECT iy, ix, max(cls) FILTER (month = 8 AND year = 1998) >= 2 AS wet FROM r_grid GROUP BY ALL),
+    """WITH a AS (SELECT iy, ix, avg(value) > 0.5e0 AS wet FROM r_grid GROUP BY ALL), b AS (SELECT iy, ix, avg(cls) >= 2 AS wet FROM r_grid GROUP BY ALL),
        c AS (SELECT CASE WHEN coalesce(a.wet, false) AND coalesce(b.wet, false) THEN 2 WHEN a.wet THEN 1 WHEN b.wet THEN 3 END AS code
              FROM a FULL JOIN b ON a.iy = b.iy AND a.ix = b.ix)
        SELECT code, count(*) AS cells FROM c WHERE code IS NOT NULL GROUP BY code""",
 )
 def _(t):
     a = t.grid.groupBy("iy", "ix").agg((F.avg("value") > 0.5).alias("wet"))
-    b = t.classes.where("month = 8 AND year = 1998").groupBy("iy", "ix").agg((F.max("cls") >= 2).alias("wet"))
+    b = t.classes.groupBy("iy", "ix").agg((F.avg("cls") >= 2).alias("wet"))
     return K.agreement(a, b).groupBy("code").agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -233,12 +233,12 @@ def _(t):
     "ag_47_fuse_sensors",
     "month:d a:f b:f fused:f",
     """SELECT coalesce(a.month, b.month) AS month, a.mm AS a, b.mm AS b, greatest(coalesce(a.mm, b.mm), coalesce(b.mm, a.mm)) AS fused
-       FROM (SELECT * FROM r_et WHERE dataset = '1-URGENT' AND month(month) <> 2) a
-       FULL JOIN (SELECT * FROM r_et WHERE dataset = '2-HIGH' AND month(month) <> 5) b ON a.month = b.month""",
+       FROM (SELECT * FROM r_et WHERE dataset = '1-URGENT') a
+       FULL JOIN (SELECT * FROM r_et WHERE dataset = '2-HIGH') b ON a.month = b.month""",
 )
 def _(t):
-    a = t.et.where("dataset = '1-URGENT' AND month(month) <> 2").select("month", F.col("mm").alias("a"))
-    b = t.et.where("dataset = '2-HIGH' AND month(month) <> 5").select("month", F.col("mm").alias("b"))
+    a = t.et.where("dataset = '1-URGENT'").select("month", F.col("mm").alias("a"))
+    b = t.et.where("dataset = '2-HIGH'").select("month", F.col("mm").alias("b"))
     return K.fuse_sensors(a.join(b, "month", "full"), ["a", "b"], "fused")
 
 

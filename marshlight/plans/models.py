@@ -34,8 +34,7 @@ def _km3(df, value, month="month"):
 
 
 def _budget(t):
-    # February is missing from the storage record, so a step over it is longer than a month.
-    stored = t.storage.where("month(month) <> 2").select("month", (F.col("cm") * 10).alias("mm"))
+    stored = t.storage.select("month", (F.col("cm") * 10).alias("mm"))
     return U.assemble_budget(
         {
             "Qin": t.flow.select("month", R.flow_to_km3("q", "month").alias("value")),
@@ -50,7 +49,7 @@ def _budget(t):
 
 
 _BUDGET = f"""
-WITH st AS (SELECT month, cm * 10 * {_KM2}e0 / 1e6 AS v FROM r_storage WHERE month(month) <> 2),
+WITH st AS (SELECT month, cm * 10 * {_KM2}e0 / 1e6 AS v FROM r_storage),
 ds AS (SELECT month, CASE WHEN date_diff('day', lag(month) OVER w, month) <= 45 THEN v - lag(v) OVER w END AS v FROM st WINDOW w AS (ORDER BY month)),
 sd AS (SELECT time AS month, avg(v) FILTER (r = 'NW') - avg(v) FILTER (r = 'NE') AS x1, avg(v) FILTER (r = 'SW') - avg(v) FILTER (r = 'SE') AS x2
        FROM (SELECT time, value * 20 AS v, CASE WHEN iy >= 6 THEN 'N' ELSE 'S' END || CASE WHEN ix >= 6 THEN 'E' ELSE 'W' END AS r FROM r_grid) GROUP BY time),
@@ -341,7 +340,7 @@ def _(t):
 
 @query("st_12_forests", "model:s rmse:f mae:f r2:f")
 def _(t):
-    return M.forest_scores(_features(t), _SETS["both"], "q", F.year("month") <= 1999, trees=20, boost_rounds=10)
+    return M.forest_scores(_features(t), _SETS["both"], "q", F.year("month") <= 1999)
 
 
 @query("st_13_reservoir_times", "tau_h:f tau_d:f cv_rmse:f")

@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import grid as O
+from ..operators import polygons as P
+from ..operators import zonal as Z
 from ..operators.materialise import materialise
 
 
@@ -70,6 +73,13 @@ class Tables:
         """The grid written once, for queries that read it several times (axes, masks, cells)."""
         return materialise(self.grid)
 
+    @cached_property
+    def kept_mask(self) -> DataFrame:
+        """Region cells with their areas, written once: geometry only, without times."""
+        rows, cols = Z.axes(self.kept_grid)
+        mask = P.region_mask(P.row_spans(P.edges(self.basins), rows), cols)
+        return materialise(O.with_cell_areas(mask, {"area_km2": "cosine", "band_km2": "band"}, axes_of=self.kept_grid))
+
     @cached_property
     def kept_cube(self) -> DataFrame:
         return materialise(self.cube)

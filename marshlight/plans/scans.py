@@ -19,8 +19,12 @@ def _scratch(t) -> str:
     return fresh_path(t.spark)
 
 
-def _gauge_lines(t):
-    """One text file per user: four header lines, the column line, one line per event."""
+def _gauge_lines(t, columns: int = 2):
+    """One text file per user: four header lines, the column line, one line per event.
+
+    With ``columns`` 2 every other file has a level beside the value, with 1 none has.
+    """
+    level = (F.col("u") % 2 == 0) & F.lit(columns == 2)
     ev = t.table("events").select(
         (F.col("user_id").cast("bigint")).alias("u"), F.col("event_id").cast("bigint").alias("e"), "ts", "event_type", "value"
     )
@@ -33,12 +37,12 @@ def _gauge_lines(t):
             F.concat(F.lit("# Station:  GAUGE "), u, F.lit(" (C"), u, F.lit(")")),
             F.concat(F.lit("# Latitude (DD): "), F.lit("-18,"), u),
             F.lit("#   hh:mm - Time: ignored   here"),
-            F.when(F.col("u") % 2 == 0, F.lit("YYYY-MM-DD;hh:mm; Level; Value")).otherwise(F.lit("YYYY-MM-DD;hh:mm; Value")),
+            F.when(level, F.lit("YYYY-MM-DD;hh:mm; Level; Value")).otherwise(F.lit("YYYY-MM-DD;hh:mm; Value")),
         )).alias("p", "line"),
     ).select("file", (F.col("p") - 10).cast("bigint").alias("pos"), "line")
     value = F.when(F.col("event_type") == "error", F.lit("-999.000")).otherwise(F.format_string("%.2f", "value"))
     clock = F.when(F.col("u") % 3 == 0, F.lit("--:--")).otherwise(F.date_format("ts", "HH:mm"))
-    lead = F.when(F.col("u") % 2 == 0, F.concat(F.col("e").cast("string"), F.lit("; "))).otherwise(F.lit(" "))
+    lead = F.when(level, F.concat(F.col("e").cast("string"), F.lit("; "))).otherwise(F.lit(" "))
     rows = ev.select(file, F.col("e").alias("pos"), F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(";"), clock, F.lit(";  "), lead, value).alias("line"))
     return head.unionByName(rows)
 
@@ -85,15 +89,14 @@ def _(t):
     "src_04_strict_reader",
     "file:s day:d n:i total:f header_keys:i lat_kind:s",
     f"""SELECT user_id || '_Q_Day.Cmd.txt' AS file, CAST(ts AS DATE) AS day, count({_VALUE}) AS n, sum({_VALUE}) AS total, 3 AS header_keys, 'text' AS lat_kind
-        FROM events WHERE user_id % 2 = 1 GROUP BY ALL""",
+        FROM events GROUP BY ALL""",
 )
 def _(t):
-    lines = _gauge_lines(t)
-    odd = lines.where(F.regexp_extract("file", r"^(\d+)", 1).cast("bigint") % 2 == 1)  # the variant with one data column
-    keys = S.typed_items(S.header_items(odd, strict=True)).groupBy("file").agg(
+    lines = _gauge_lines(t, columns=1)  # the variant that this reader is for
+    keys = S.typed_items(S.header_items(lines, strict=True)).groupBy("file").agg(
         F.count(F.lit(1)).alias("header_keys"), F.max(F.when(F.col("key") == "Latitude (DD)", F.col("kind"))).alias("lat_kind")
     )
-    daily = S.strict_values(odd).groupBy("file", F.to_date("ts").alias("day")).agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    daily = S.strict_values(lines).groupBy("file", F.to_date("ts").alias("day")).agg(F.count("value").alias("n"), F.sum("value").alias("total"))
     return daily.join(keys, "file")
 
 
@@ -161,9 +164,9 @@ def _(t):
     best = F.when(k % 3 == 0, "Water_Mask").otherwise("depth")
     cat = t.table("part").select(
         k.cast("string").alias("file"), grp.alias("grp"),
-        F.explode(F.array(item(0, "lat", "lat", "n"), item(1, best, "lat", "lon"), item(2, "qualityflag", "time", "lat", "lon"), item(3, "time", "time", "n"))).alias("i"),
+        F.explode(F.array(item(0, "lat", "lat"), item(1, best, "lat", "lon"), item(2, "qualityflag", "time", "lat", "lon"), item(3, "time", "time"))).alias("i"),
     ).select("file", "grp", "i.*")
-    wanted = X.resolve_name(cat.where("entry in (1, 2)"), "water mask").withColumnRenamed("var", "resolved")
+    wanted = X.resolve_name(cat, "water mask").withColumnRenamed("var", "resolved")
     return X.choose_variable(cat).join(wanted, "file")
 
 
@@ -235,7 +238,5 @@ def _(t):
 )
 def _(t):
     path = _scratch(t)
-    rows, _cols = Z.axes(t.kept_grid)
-    tagged = P.cells_in_regions(t.kept_grid, P.row_spans(P.edges(t.basins), rows))
-    X.write_region_table(Z.zonal_monthly(tagged), path)
+    X.write_region_table(Z.zonal_monthly(P.cells_in_regions(t.kept_grid, t.kept_mask)), path)
     return t.spark.read.parquet(path)

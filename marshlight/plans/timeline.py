@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -45,13 +46,17 @@ def _(t):
     return S.profile(ev, ["user_id"], "v", "ts")
 
 
-# A gauge series with holes: months whose number divided by 5 leaves the station's remainder, and two long ones.
-_GAPPY = """(SELECT station, month, CASE WHEN month(month) % 5 = station % 5 OR (year(month) = 1997 AND month(month) BETWEEN 4 AND 9) THEN NULL ELSE q END AS q FROM r_station)"""
+# A month counts when it has nine tenths of the readings that the station's months have on average.
+_GAPPY = """(SELECT station, month, CASE WHEN 10 * n * months >= 9 * total THEN q END AS q FROM (
+  SELECT *, sum(n) OVER (PARTITION BY station) AS total, count(*) OVER (PARTITION BY station) AS months FROM
+  (SELECT s.station, s.month, s.q, d.n FROM r_station s JOIN (SELECT station, CAST(date_trunc('month', d) AS DATE) AS month, count(*) AS n FROM r_daily GROUP BY ALL) d ON d.station = s.station AND d.month = s.month)))"""
 
 
 def _gappy(t):
-    hole = (F.month("month") % 5 == F.col("station") % 5) | ((F.year("month") == 1997) & F.month("month").between(4, 9))
-    return t.station.withColumn("q", F.when(~hole, F.col("q")))
+    readings = t.daily.groupBy("station", F.trunc("d", "MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("station")
+    enough = 10 * F.col("n") * F.count(F.lit(1)).over(whole) >= 9 * F.sum("n").over(whole)
+    return t.station.join(readings, ["station", "month"]).select("station", "month", F.when(enough, F.col("q")).alias("q"))
 
 
 def _sparse(t):
@@ -116,10 +121,10 @@ def _(t):
     "wn_04_rolling_30_days",
     "event_id:i rolling:f",
     """SELECT event_id, CASE WHEN count(value) OVER w >= 10 THEN avg(value) OVER w END AS rolling FROM (SELECT *, epoch(date_trunc('second', ts)) AS s FROM events)
-       WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 259199 PRECEDING AND CURRENT ROW)""",
+       WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2591999 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    return S.rolling_days(t.table("events"), ["user_id"], "value", "ts", days=3)
+    return S.rolling_days(t.table("events"), ["user_id"], "value", "ts", days=30)
 
 
 @query(
@@ -176,11 +181,11 @@ def _(t):
 @query(
     "wn_08c_year_segments",
     "dataset:s year:i segment:i",
-    """WITH y AS (SELECT dataset, year(month) AS year, avg(mm) AS mm FROM r_et GROUP BY ALL), s AS (SELECT *, year - row_number() OVER (PARTITION BY dataset ORDER BY year) AS k FROM y WHERE year NOT IN (1997, 2000))
+    """WITH y AS (SELECT dataset, year(month) AS year, avg(mm) AS mm FROM r_et GROUP BY ALL), s AS (SELECT *, year - row_number() OVER (PARTITION BY dataset ORDER BY year) AS k FROM y WHERE mm > (SELECT min(mm) FROM y z WHERE z.dataset = y.dataset))
        SELECT dataset, year, dense_rank() OVER (PARTITION BY dataset ORDER BY k) AS segment FROM s""",
 )
 def _(t):
-    y = S.annual_mean(t.et, ["dataset"], "mm").withColumn("mm", F.when(~F.col("year").isin(1997, 2000), F.col("mm")))
+    y = S.annual_mean(t.et, ["dataset"], "mm").withColumn("mm", F.when(F.col("mm") > F.min("mm").over(Window.partitionBy("dataset")), F.col("mm")))
     return S.year_segments(y, ["dataset"], "mm")
 
 

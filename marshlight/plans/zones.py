@@ -11,14 +11,8 @@ from ..operators.regions import edge_alignment
 from .registry import query
 
 
-def _mask(t):
-    rows, cols = Z.axes(t.kept_grid)
-    return P.region_mask(P.row_spans(P.edges(t.basins), rows), cols)
-
-
-def _tagged(t):
-    rows, _ = Z.axes(t.kept_grid)
-    return P.cells_in_regions(t.kept_grid, P.row_spans(P.edges(t.basins), rows))
+def _tagged(t, *carry):
+    return P.cells_in_regions(t.kept_grid, t.kept_mask, carry)
 
 
 _AREA = "6371.0088e0 * 6371.0088e0 * radians(0.25e0) * radians(0.25e0) * cos(radians({}lat))"
@@ -108,9 +102,8 @@ def _(t):
        GROUP BY ALL""",
 )
 def _(t):
-    mask = _mask(t)
-    a = Z.weighted_region_means(_depth(_tagged(t)), mask)
-    b = Z.weighted_region_means(_depth(_tagged(t)), mask, valid_only=True).withColumnRenamed("mean", "mean_valid")
+    a = Z.weighted_region_means(_depth(_tagged(t)), t.kept_mask)
+    b = Z.weighted_region_means(_depth(_tagged(t)), t.kept_mask, valid_only=True).withColumnRenamed("mean", "mean_valid")
     return a.join(b, ["time", "region"])
 
 
@@ -181,7 +174,7 @@ def _volume_sql(area: str) -> str:
 
 @query("ag_09_zonal_volume", "time:d region:i km3:f mm:f", _volume_sql(_AREA))
 def _(t):
-    return Z.zonal_volume(O.with_cell_area(_depth(_tagged(t)), axes_of=t.kept_grid), O.with_cell_area(_mask(t), axes_of=t.kept_grid))
+    return Z.zonal_volume(_depth(_tagged(t, "area_km2")), t.kept_mask)
 
 
 @query(
@@ -190,8 +183,9 @@ def _(t):
     f"SELECT * FROM ({_volume_sql(_BAND)}) WHERE time >= DATE '1996-01-01' AND time < DATE '2000-01-01'",
 )
 def _(t):
-    window = _tagged(t).where((F.col("time") >= "1996-01-01") & (F.col("time") < "2000-01-01"))
-    return Z.zonal_volume(O.with_cell_area(_depth(window), "band", axes_of=t.kept_grid), O.with_cell_area(_mask(t), "band", axes_of=t.kept_grid))
+    mask = t.kept_mask.withColumn("area_km2", F.col("band_km2"))
+    grid = t.kept_grid.where((F.col("time") >= "1996-01-01") & (F.col("time") < "2000-01-01"))
+    return Z.zonal_volume(_depth(P.cells_in_regions(grid, mask, ("area_km2",))), mask)
 
 
 @query("ag_11_wet_pixels", "time:d wet:i", "SELECT time, sum(CASE WHEN cls > 0 THEN 1 ELSE 0 END) AS wet FROM r_grid GROUP BY time")
@@ -214,7 +208,7 @@ def _(t):
 @query(
     "ag_13_threshold_series",
     "month:d above_0:f above_2:f above_0_roll:f above_2_roll:f",
-    f"""WITH h AS (SELECT time AS month, {_HIST} FROM r_grid WHERE month <> 3 GROUP BY time),
+    f"""WITH h AS (SELECT time AS month, {_HIST} FROM r_grid GROUP BY time),
         s AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM h),
         a AS (SELECT s.month, coalesce(class_1 + class_2 + class_3 + class_4, 0) * 0.0009e0 AS above_0,
                      coalesce(class_3 + class_4, 0) * 0.0009e0 AS above_2 FROM s LEFT JOIN h ON h.month = s.month)
@@ -222,7 +216,7 @@ def _(t):
         FROM a WINDOW w AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    hist = Z.class_histogram(t.classes.where("month <> 3"), ["time"]).withColumnRenamed("time", "month")
+    hist = Z.class_histogram(t.classes, ["time"]).withColumnRenamed("time", "month")
     return Z.threshold_series(hist, (0, 2), rolling=12)
 
 
@@ -240,7 +234,11 @@ _BASIN = f"""SELECT g.time, m.region, sum(CASE WHEN value >= 0.5e0 THEN {_AREA.f
 
 
 def _basin_area(t):
-    return Z.wet_area(O.with_cell_area(_tagged(t), axes_of=t.kept_grid), ["time", "region"], 0.5)
+    return Z.wet_area(_tagged(t, "area_km2"), ["time", "region"], 0.5)
+
+
+#: Basins are the rows of ``nation``, a table of fixed length.
+N_BASINS = 25
 
 
 @query("ag_23_basin_area", "time:d region:i km2:f", _BASIN)
@@ -250,12 +248,13 @@ def _(t):
 
 @query(
     "ag_23b_basin_area_wide",
-    "time:d b0:f b1:f b2:f b3:f",
-    f"""WITH b AS ({_BASIN}) SELECT time, {', '.join(f'max(CASE WHEN region = {i} THEN km2 END) AS b{i}' for i in range(4))} FROM b GROUP BY time""",
+    "time:d " + " ".join(f"b{i}:f" for i in range(N_BASINS)),
+    f"""WITH b AS ({_BASIN}) SELECT time, {', '.join(f'max(CASE WHEN region = {i} THEN km2 END) AS b{i}' for i in range(N_BASINS))} FROM b GROUP BY time""",
 )
 def _(t):
-    wide = _basin_area(t).groupBy("time").pivot("region", [0, 1, 2, 3]).agg(F.max("km2"))
-    return wide.toDF("time", "b0", "b1", "b2", "b3")
+    """A column for each basin; the columns of a result must be known, so the number of basins is."""
+    wide = _basin_area(t).groupBy("time").pivot("region", list(range(N_BASINS))).agg(F.max("km2"))
+    return wide.toDF("time", *[f"b{i}" for i in range(N_BASINS)])
 
 
 @query(

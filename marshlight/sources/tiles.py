@@ -63,14 +63,17 @@ def choose_variable(catalogue: DataFrame) -> DataFrame:
     return scored.groupBy("file").agg(best.alias("b")).where("b.score >= 0").select("file", "b.*")
 
 
-def resolve_name(names: DataFrame, wanted: str) -> DataFrame:
-    """Variable per file that equals the wanted name, exactly or after normalisation, else a 2-D/3-D one."""
+def resolve_name(names: DataFrame, wanted: str | None = None) -> DataFrame:
+    """Variable per file that equals the wanted name, exactly or after normalisation.
+
+    Without one, or with none wanted, a name with water or mask in it, else the first with two or
+    three dimensions.
+    """
     n = F.size("dims")
-    rank = (
-        F.when(F.col("var") == wanted, 0)
-        .when(canonical_name("var") == canonical_name(F.lit(wanted)), 1)
-        .when(n.isin(2, 3), 2)
-    )
+    canon = canonical_name("var")
+    named = F.lit(False) if wanted is None else F.col("var") == wanted
+    alike = F.lit(False) if wanted is None else canon == canonical_name(F.lit(wanted))
+    rank = F.when(named, 0).when(alike, 1).when(canon.contains("water") | canon.contains("mask"), 2).when(n.isin(2, 3), 3)
     ranked = names.withColumn("rank", rank).where(F.col("rank").isNotNull())
     return ranked.groupBy("file").agg(F.min_by("var", F.struct("rank", "entry")).alias("var"))
 
