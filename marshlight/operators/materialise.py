@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LIVE: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where that is unset, a folder in the warehouse.
 
@@ -27,9 +30,23 @@ def fresh_path(spark: SparkSession) -> str:
     fs, where = _path(spark, path)
     fs.mkdirs(where.getParent())
     fs.deleteOnExit(where)
+    _LIVE.add(path)
     return path
 
 
+def materialise_by(df: DataFrame, key: str) -> DataFrame:
+    """The same, dealt into buckets of ``key``: joins on the key then leave these rows where they are.
+
+    There are as many buckets as the session has shuffle partitions. The rows are shuffled once, here.
+    """
+    spark = df.sparkSession
+    n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"stage_{uuid.uuid4().hex}", fresh_path(spark)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._stage_path = path
+    return out
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: later passes prune columns and survive lost executors.
 
@@ -45,5 +62,16 @@ def materialise(df: DataFrame) -> DataFrame:
 def release(*stages: DataFrame) -> None:
     """Remove written tables that no later plan reads."""
     for df in stages:
-        fs, where = _path(df.sparkSession, df._stage_path)
+        release_paths(df.sparkSession, [df._stage_path])
+
+
+def live_paths() -> set[str]:
+    """Folders written by this process and not released yet."""
+    return set(_LIVE)
+
+
+def release_paths(spark: SparkSession, paths) -> None:
+    for path in paths:
+        fs, where = _path(spark, path)
         fs.delete(where, True)
+        _LIVE.discard(path)
