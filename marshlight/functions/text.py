@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .calendar import _col
 
 
+# How names with codes, days and months are written in headers and file names.
+NAME_AND_CODE = r"^(.*?)\s*\((.*?)\)\s*$"
+DASHED_DAY, PLAIN_DAY = r"(\d{4})[-_](\d{2})[-_](\d{2})", r"(\d{4})(\d{2})(\d{2})"
+DASHED_MONTH = r"(\d{4})[-_](\d{2})"
+
+
 def canonical_name(c) -> Column:
     return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]", "")
 
@@ -20,13 +26,12 @@ def tolerant_number(c) -> Column:
 def name_part(c) -> Column:
     """``NAME`` of ``NAME (code)``, or the whole trimmed text."""
     c = _col(c)
-    got = F.regexp_extract(c, r"^(.*?)\s*\((.*?)\)\s*$", 1)
-    return F.trim(F.when(c.rlike(r"^.*?\s*\(.*?\)\s*$"), got).otherwise(c))
+    return F.trim(F.when(c.rlike(NAME_AND_CODE), F.regexp_extract(c, NAME_AND_CODE, 1)).otherwise(c))
 
 
 def code_part(c) -> Column:
     """``code`` of ``NAME (code)``; null when there is none."""
-    return F.nullif(F.trim(F.regexp_extract(_col(c), r"^(.*?)\s*\((.*?)\)\s*$", 2)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(_col(c), NAME_AND_CODE, 2)), F.lit(""))
 
 
 def class_code_from_name(c) -> Column:
@@ -41,14 +46,15 @@ def split_label(ident, part, was_split) -> Column:
 
 
 def day_in_name(c) -> Column:
-    """First date written in a name as YYYY-MM-DD, YYYY_MM_DD or YYYYMMDD; impossible ones are null."""
-    got = F.regexp_extract(_col(c), r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", 0)
+    """Date written in a name: the first YYYY-MM-DD or YYYY_MM_DD, else YYYYMMDD; impossible ones are null."""
+    c = _col(c)
+    got = F.when(c.rlike(DASHED_DAY), F.regexp_extract(c, DASHED_DAY, 0)).otherwise(F.regexp_extract(c, PLAIN_DAY, 0))
     return F.try_to_date(F.regexp_replace(got, "[-_]", ""), "yyyyMMdd")
 
 
 def month_in_name(c) -> Column:
     """First day of the month written in a name as YYYY-MM or YYYY_MM."""
-    got = F.regexp_extract(_col(c), r"(\d{4})[-_](\d{2})", 0)
+    got = F.regexp_extract(_col(c), DASHED_MONTH, 0)
     return F.try_to_date(F.concat(F.regexp_replace(got, "[-_]", ""), F.lit("01")), "yyyyMMdd")
 
 

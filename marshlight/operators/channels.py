@@ -20,9 +20,10 @@ from .sequence import positions, running_sums, with_neighbours, with_next
 LINE = ["line_id"]
 
 
-def local_zone(df: DataFrame) -> Column:
-    """Scalar subquery with the UTM zone and hemisphere of the middle of the data's extent."""
-    lat, lon = (F.min("lat") + F.max("lat")) / 2, (F.min("lon") + F.max("lon")) / 2
+def local_zone(df: DataFrame, centre: str = "extent") -> Column:
+    """Scalar subquery with the UTM zone and hemisphere of the middle of the data's extent, or of its mean coordinate."""
+    middle = {"extent": lambda c: (F.min(c) + F.max(c)) / 2, "mean": F.avg}[centre]
+    lat, lon = middle("lat"), middle("lon")
     return df.agg(F.struct(G.utm_zone(lon).alias("zone"), (lat < 0).alias("south"))).scalar()
 
 

@@ -147,7 +147,7 @@ def tile_means(values: DataFrame, west: float, south: float, step: float, keys:
 
 def _reduce(name: str, how: str) -> Column:
     if how not in ("mean", "median"):
-        raise ValueError("reducer must be 'mean' or 'median'")
+        raise ValueError(f"unknown reducer: {how!r}")
     return F.avg(name) if how == "mean" else F.median(name)
 
 

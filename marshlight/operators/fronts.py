@@ -26,7 +26,7 @@ def nearest_pair(grid: DataFrame, t1: str, t2: str) -> DataFrame:
     times = grid.select("time").distinct()
     at = lambda t: nearest_time(F.lit(t).cast("date"))
     pair = times.agg(at(t1).alias("t1"), at(t2).alias("t2"))
-    same = F.raise_error(F.lit("the two dates resolve to the same snapshot; choose different dates"))
+    same = F.raise_error(F.lit("both dates are nearest to one snapshot"))
     return pair.select(F.when(F.col("t1") == F.col("t2"), same.cast("date")).otherwise(F.col("t1")).alias("t1"), "t2")
 
 

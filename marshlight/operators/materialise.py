@@ -24,6 +24,11 @@ def _path(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _path(spark, path)
+    return fs.exists(where)
+
+
 def fresh_path(spark: SparkSession) -> str:
     """A new folder name below the shared folder, removed when the session's JVM ends."""
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"

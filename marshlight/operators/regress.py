@@ -45,19 +45,43 @@ def cross_products(rows: DataFrame, keys: list[str], features: list[str], target
     return rows.groupBy(*keys).agg(F.array(*sums).alias("g"))
 
 
-def _square(g, size: int) -> np.ndarray:
-    out = np.zeros((size, size))
-    out[np.triu_indices(size)] = g
-    return out + np.triu(out, 1).T
+def moments(rows: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:
+    """Count, means and upper triangle of the central cross products of [features, target], as one array per key.
+
+    Means and covariances are updated about the running mean, so a mean that is large against the
+    spread costs no digits, as raw sums would.
+    """
+    z: list[Column] = [*[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
+    n = F.count(F.lit(1)).cast("double")
+    pairs = [F.covar_pop(z[i], z[j]) * n for i in range(len(z)) for j in range(i, len(z))]
+    return rows.groupBy(*keys).agg(F.array(n, *[F.avg(c) for c in z], *pairs).alias("g"))
+
+
+class Moments:
+    """Rows by their number, means and central cross products; the target comes last."""
+
+    def __init__(self, n: float, mean: np.ndarray, cross: np.ndarray):
+        self.n, self.mean, self.cross = n, mean, cross
+
+    @staticmethod
+    def of(g, size: int) -> "Moments":
+        g = np.asarray(g, dtype=float)
+        cross = np.zeros((size, size))
+        cross[np.triu_indices(size)] = g[1 + size :]
+        return Moments(g[0], g[1 : 1 + size], cross + np.triu(cross, 1).T)
+
+    def __add__(self, other: "Moments") -> "Moments":
+        n = self.n + other.n
+        apart = other.mean - self.mean
+        cross = self.cross + other.cross + np.outer(apart, apart) * (self.n * other.n / n)
+        return Moments(n, self.mean + apart * (other.n / n), cross)
 
 
-def _ridge(gram: np.ndarray, alpha: float, standardise: bool):
+def _ridge(m: Moments, alpha: float, standardise: bool):
     """Coefficients on the original scale, with an unpenalised intercept."""
-    n = gram[0, 0]
-    mean, my = gram[0, 1:-1] / n, gram[0, -1] / n
-    xx = gram[1:-1, 1:-1] - n * np.outer(mean, mean)
-    xy = gram[1:-1, -1] - n * mean * my
-    spread = np.sqrt(np.maximum(np.diag(xx) / n, 0.0))
+    mean, my = m.mean[:-1], m.mean[-1]
+    xx, xy = m.cross[:-1, :-1], m.cross[:-1, -1]
+    spread = np.sqrt(np.maximum(np.diag(xx) / m.n, 0.0))
     flat = spread <= 1e-12 * np.maximum(1.0, np.abs(mean))
     scale = np.where(flat, 1.0, spread) if standardise else np.ones_like(spread)
     xx, xy = xx / np.outer(scale, scale), xy / scale
@@ -69,13 +93,11 @@ def _ridge(gram: np.ndarray, alpha: float, standardise: bool):
     return my - coef @ mean, coef, inverse / np.outer(scale, scale), mean
 
 
-def _scored(gram: np.ndarray, intercept: float, coef: np.ndarray):
-    """SSE and SST of a block from its cross products."""
-    n = gram[0, 0]
-    b = np.concatenate([[intercept], coef, [-1.0]])
-    sse = float(max(b @ gram @ b, 0.0))
-    sst = float(gram[-1, -1] - gram[0, -1] ** 2 / n)
-    return n, sse, sst
+def _scored(m: Moments, intercept: float, coef: np.ndarray):
+    """SSE and SST of a block from its moments."""
+    c = np.append(-coef, 1.0)
+    sse = float(max(c @ m.cross @ c + m.n * (m.mean[-1] - intercept - coef @ m.mean[:-1]) ** 2, 0.0))
+    return m.n, sse, float(m.cross[-1, -1])
 
 
 def ridge_cv(
@@ -84,23 +106,23 @@ def ridge_cv(
 ) -> DataFrame:
     """Scores ``(keys, alpha, fold, n_test, r2, mse)`` of time-series cross-validation."""
     whole = rows.dropna(subset=[*features, target])
-    grams = cross_products(with_folds(whole, keys, order, folds), [*keys, "block"], features, target)
-    size, strengths = len(features) + 2, [float(a) for a in alphas]
+    grams = moments(with_folds(whole, keys, order, folds), [*keys, "block"], features, target)
+    size, strengths = len(features) + 1, [float(a) for a in alphas]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        blocks = [_square(np.asarray(g, dtype=float), size) for g in pdf["g"]]
+        blocks = [Moments.of(g, size) for g in pdf["g"]]
         head = {k: pdf[k].iloc[0] for k in keys}
         out = []
         for alpha in strengths:
-            train = np.zeros((size, size))
+            train = blocks[0]
             for fold, test in enumerate(blocks):
                 if fold:
                     intercept, coef, _, _ = _ridge(train, alpha, standardise)
                     n, sse, sst = _scored(test, intercept, coef)
                     r2 = 1 - sse / sst if n >= 2 and sst > 0 else None
                     out.append({**head, "alpha": alpha, "fold": fold, "n_test": int(n), "r2": r2, "mse": sse / n})
-                train = train + test
+                    train = train + test
         return pd.DataFrame(out, columns=[*keys, "alpha", "fold", "n_test", "r2", "mse"])
 
     kinds = [grams.schema[k] for k in keys]
@@ -125,15 +147,15 @@ def best_strength(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def ridge_fit(rows: DataFrame, keys: list[str], features: list[str], target: str, alpha: float = 1.0, standardise: bool = True) -> DataFrame:
     """Model per key: intercept, coefficients, feature means and the matrix of the hat values."""
-    grams = cross_products(rows.dropna(subset=[*features, target]), keys, features, target)
-    size = len(features) + 2
+    grams = moments(rows.dropna(subset=[*features, target]), keys, features, target)
+    size = len(features) + 1
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in pdf.iterrows():
-            gram = _square(np.asarray(row["g"], dtype=float), size)
-            intercept, coef, inverse, mean = _ridge(gram, alpha, standardise)
-            out.append({**{k: row[k] for k in keys}, "n": int(gram[0, 0]), "intercept": float(intercept), "coef": coef.tolist(), "centre": mean.tolist(), "inverse": inverse.ravel().tolist()})
+            found = Moments.of(row["g"], size)
+            intercept, coef, inverse, mean = _ridge(found, alpha, standardise)
+            out.append({**{k: row[k] for k in keys}, "n": int(found.n), "intercept": float(intercept), "coef": coef.tolist(), "centre": mean.tolist(), "inverse": inverse.ravel().tolist()})
         return pd.DataFrame(out, columns=[*keys, "n", "intercept", "coef", "centre", "inverse"])
 
     numbers = ArrayType(DoubleType())

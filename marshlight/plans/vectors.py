@@ -359,10 +359,18 @@ def _(t):
 @query(
     "so_07_dissolve",
     "group:i vertices:i parts:i area:f",
-    """SELECT region % 4 AS "group", count(*) AS vertices, count(DISTINCT region) AS parts, sum((x1 * y2 - x2 * y1) / 2 * s * CASE WHEN ring = 0 THEN 1 ELSE -1 END) AS area
-       FROM (SELECT *, CASE WHEN region % 2 = 0 THEN 1 ELSE -1 END AS s FROM r_lake_edges) GROUP BY region % 4""",
+    """WITH e AS (SELECT region % 4 AS g, region, x1, y1, x2, y2, (x2 - x1) / (y2 - y1) AS m FROM r_lake_edges WHERE y1 <> y2),
+       c AS (SELECT a.g, (b.x1 - b.y1 * b.m - a.x1 + a.y1 * a.m) / (a.m - b.m) AS y, greatest(least(a.y1, a.y2), least(b.y1, b.y2)) AS lo, least(greatest(a.y1, a.y2), greatest(b.y1, b.y2)) AS hi
+             FROM e a JOIN e b ON a.g = b.g AND a.region < b.region AND a.m <> b.m),
+       y AS (SELECT g, y1 AS y FROM e UNION SELECT g, y FROM c WHERE y > lo AND y < hi),
+       s AS (SELECT g, y AS lo, lead(y) OVER (PARTITION BY g ORDER BY y) AS hi FROM y),
+       x AS (SELECT s.g, lo, hi, region, x1 + ((lo + hi) / 2 - y1) * m AS x FROM s JOIN e ON e.g = s.g AND least(y1, y2) < (lo + hi) / 2 AND greatest(y1, y2) > (lo + hi) / 2),
+       i AS (SELECT g, lo, hi, x AS x0, lead(x) OVER w AS x1, row_number() OVER w AS k FROM x WINDOW w AS (PARTITION BY g, lo, region ORDER BY x)),
+       f AS (SELECT g, hi - lo AS h, greatest(0, x1 - greatest(x0, coalesce(max(x1) OVER (PARTITION BY g, lo ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), x0))) AS w FROM i WHERE k % 2 = 1)
+       SELECT v.g AS "group", vertices, parts, area FROM (SELECT region % 4 AS g, count(*) AS vertices, count(DISTINCT region) AS parts FROM r_lake_edges GROUP BY ALL) v
+       JOIN (SELECT g, sum(w * h) AS area FROM f GROUP BY g) a ON a.g = v.g""",
 )
 def _(t):
     merged = A.dissolve(t.lakes.withColumn("group", F.col("region") % 4), "group")
     counts = merged.groupBy(F.col("region").alias("group")).agg(F.count(F.lit(1)).alias("vertices"), F.count_distinct("part").alias("parts"))
-    return counts.join(P.measures(merged).select(F.col("region").alias("group"), "area"), "group")
+    return counts.join(A.union_area(t.lakes.withColumn("group", F.col("region") % 4), "group").withColumnRenamed("region", "group"), "group")

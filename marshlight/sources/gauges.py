@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import code_part, name_part, tolerant_number
+from ..operators.materialise import materialise
 
 # Header keys of the format and the names they get.
 HEADER_KEYS = {
@@ -50,14 +51,15 @@ DISCHARGE_PATTERNS = (r"(?i)^\s*Q\s*$", r"(?i)discharge", r"(?i)\bflow\b", r"(?i
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.Cmd.txt", encoding: str = "ISO-8859-1") -> DataFrame:
     """``(file, pos, line)`` of every matching file; bytes are decoded line by line.
 
-    ``pos`` orders the lines of a file also when the file is read in several splits.
+    ``pos`` orders the lines of a file also when the file is read in several splits. The lines are
+    written once, so that every use of them sees the same positions.
     """
     raw = spark.read.option("pathGlobFilter", pattern).text(path)
-    return raw.select(
+    return materialise(raw.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
-    )
+    ))
 
 
 def header_items(lines: DataFrame, strict: bool = False) -> DataFrame:

@@ -48,6 +48,7 @@ def choose_variable(catalogue: DataFrame) -> DataFrame:
     canon = canonical_name("var")
     low = F.lower("var")
     n = F.size("dims")
+    # What each property of a variable counts.
     points = (
         F.when(canon.contains("water"), 3).otherwise(0)
         + F.when(canon.contains("mask"), 2).otherwise(0)

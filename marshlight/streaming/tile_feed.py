@@ -7,7 +7,6 @@ inside the batch. State is the merged table itself, so nothing grows in the stre
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.raster import nan_to_null
 from ..functions.text import day_in_name
+from ..operators.materialise import exists
 from ..sources.tiles import merge_tiles
 
 
@@ -33,12 +33,9 @@ def merge_feed(stream: DataFrame, merged: str, checkpoint: str) -> StreamingQuer
 
     def add(batch: DataFrame, number: int) -> None:
         fresh = merge_tiles(batch)
-        try:
-            done = batch.sparkSession.read.parquet(merged)
-        except AnalysisException:  # first batch: no table yet
-            done = None
-        if done is not None:
-            seen = done.where(F.col("batch") != number).select("time").distinct()
+        spark = batch.sparkSession
+        if exists(spark, merged):
+            seen = spark.read.parquet(merged).where(F.col("batch") != number).select("time").distinct()
             fresh = fresh.join(seen, "time", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{merged}/batch={number}")
 
