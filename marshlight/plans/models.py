@@ -276,7 +276,7 @@ def _(t):
 @query(
     "st_10c_strength_one_predictor",
     "station:i alpha:f cv_mse:f",
-    "SELECT station, arg_min(alpha, struct_pack(a := round(mse, 9), b := alpha)) AS alpha, min(mse) AS cv_mse FROM ("
+    "SELECT station, arg_min(alpha, struct_pack(a := mse, b := alpha)) AS alpha, min(mse) AS cv_mse FROM ("
     + " UNION ALL ".join(f"SELECT station, {a}e0 AS alpha, avg(mse) AS mse FROM ({_FOLDS.format(a)} SELECT * FROM sc) GROUP BY station" for a in (0.1, 1, 10, 100))
     + ") GROUP BY station",
 )

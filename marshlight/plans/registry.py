@@ -26,10 +26,6 @@ class Query:
         return None if self.sql is None else shape_sql(self.sql, self.out)
 
 
-# Rounding to six places with the edge just beside the half. Means of fractions often end in an
-# exact 5, where the two engines' own rounding differs; no such value is near this edge.
-EDGE = 0.500313
-
 QUERIES: dict[str, Query] = {}
 
 
@@ -63,7 +59,7 @@ def shape(df: DataFrame, out: str) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "f":
             number = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-            c = F.floor(number * 1e6 + EDGE) / 1e6
+            c = F.round(number, 6) + 0.0  # no negative zero
         elif kind == "d":
             c = F.date_format(c.cast("date"), "yyyy-MM-dd")
         elif kind == "t":
@@ -81,7 +77,7 @@ def shape_sql(sql: str, out: str) -> str:
         c = {
             "s": f"CAST({c} AS VARCHAR)",
             "i": f"CAST({c} AS BIGINT)",
-            "f": f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE floor(CAST({c} AS DOUBLE) * 1e6 + {EDGE}e0) / 1e6 END",
+            "f": f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE round(CAST({c} AS DOUBLE), 6) + 0e0 END",
             "d": f"strftime(CAST({c} AS DATE), '%Y-%m-%d')",
             "t": f"strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')",
             "b": f"CAST({c} AS BOOLEAN)",

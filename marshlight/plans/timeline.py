@@ -120,11 +120,12 @@ def _(t):
 @query(
     "wn_04_rolling_30_days",
     "event_id:i rolling:f",
-    """SELECT event_id, CASE WHEN count(value) OVER w >= 10 THEN avg(value) OVER w END AS rolling FROM (SELECT *, epoch(date_trunc('second', ts)) AS s FROM events)
+    """SELECT event_id, CASE WHEN count(cents) OVER w >= 10 THEN avg(cents) OVER w / 100 END AS rolling FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, epoch(date_trunc('second', ts)) AS s FROM events)
        WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 2591999 PRECEDING AND CURRENT ROW)""",
 )
 def _(t):
-    return S.rolling_days(t.table("events"), ["user_id"], "value", "ts", days=30)
+    events = t.table("events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))  # whole numbers add up exactly
+    return S.rolling_days(events, ["user_id"], "cents", "ts", days=30).withColumn("rolling", F.col("rolling") / 100)
 
 
 @query(

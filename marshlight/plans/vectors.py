@@ -15,7 +15,7 @@ from .zones import _OVERLAP
 
 
 def _storage(t):
-    """A 12 x 12 storage grid whose 3 x 3 squares share one series each; some months missing."""
+    """A 12 x 12 storage grid, delivered to six decimals, whose 3 x 3 squares share one series each; some months missing."""
     k = F.col("l_partkey")
     block = t.table("lineitem").groupBy(
         F.trunc("l_shipdate", "MM").alias("time"), (k % 4).cast("int").alias("by"), (F.expr("l_partkey div 4") % 4).cast("int").alias("bx")
@@ -23,9 +23,8 @@ def _storage(t):
     three = F.array(F.lit(0), F.lit(1), F.lit(2))
     cells = block.withColumn("dy", F.explode(three)).withColumn("dx", F.explode(three)).select(
         "time", (F.col("by") * 3 + F.col("dy")).alias("iy"), (F.col("bx") * 3 + F.col("dx")).alias("ix"),
-        # Differences below the rounding of the signature must not separate cells; the small offset
-        # keeps values off exact rounding ties.
-        (F.expr("(s * 1024) div (10 * n)") / 1024.0 + 2e-7 + F.col("dy") * 1e-9).alias("value"),
+        # Differences below the rounding of the signature must not separate cells.
+        (F.round(F.expr("(s * 1024) div (10 * n)") / 1024.0, 6) + F.col("dy") * 1e-9).alias("value"),
     )
     return materialise(cells.withColumns({"lat": -20.25 + 0.25 * F.col("iy"), "lon": 21.5 + 0.25 * F.col("ix")}))
 
@@ -33,7 +32,7 @@ def _storage(t):
 _BLOCKS = """
 WITH s AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS time, CAST(l_partkey % 4 AS INTEGER) AS ty, CAST((l_partkey // 4) % 4 AS INTEGER) AS tx,
                   CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY ALL),
-c AS (SELECT time, ty * 3 + dy AS iy, tx * 3 + dx AS ix, ((s * 1024) // (10 * n)) / 1024e0 + 2e-7 AS value FROM s, (SELECT unnest(range(3)) AS dy), (SELECT unnest(range(3)) AS dx)),
+c AS (SELECT time, ty * 3 + dy AS iy, tx * 3 + dx AS ix, round(((s * 1024) // (10 * n)) / 1024e0, 6) AS value FROM s, (SELECT unnest(range(3)) AS dy), (SELECT unnest(range(3)) AS dx)),
 g AS (SELECT iy, ix, string_agg(time || '=' || round(value, 6), ';' ORDER BY time) AS sig FROM c GROUP BY iy, ix),
 b AS (SELECT min(-20.25e0 + 0.25e0 * iy) - 0.125e0 AS south, max(-20.25e0 + 0.25e0 * iy) + 0.125e0 AS north, min(21.5e0 + 0.25e0 * ix) - 0.125e0 AS west,
              max(21.5e0 + 0.25e0 * ix) + 0.125e0 AS east, avg(-20.25e0 + 0.25e0 * iy) AS lat_c, avg(21.5e0 + 0.25e0 * ix) AS lon_c, count(*) AS cells, min(iy) AS rep_iy, min(ix) AS rep_ix

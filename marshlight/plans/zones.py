@@ -15,6 +15,8 @@ def _tagged(t, *carry):
     return P.cells_in_regions(t.kept_grid, t.kept_mask, carry)
 
 
+# Depth in mm of a full cell; a power of two, like the fractions it scales.
+_MM = 128.0
 _AREA = "6371.0088e0 * 6371.0088e0 * radians(0.25e0) * radians(0.25e0) * cos(radians({}lat))"
 _BAND = "6371e0 * 6371e0 * radians(0.25e0) * abs(sin(radians({0}lat + 0.125e0)) - sin(radians({0}lat - 0.125e0)))"
 
@@ -84,7 +86,7 @@ def _(t):
 @query(
     "ag_01_weighted_mean",
     "time:d mean:f",
-    """SELECT time, sum(value * 31.7e0 * cos(radians(g.lat))) / (SELECT sum(cos(radians(lat))) FROM (SELECT DISTINCT iy, ix, lat FROM r_grid WHERE iy < 6)) AS mean
+    f"""SELECT time, sum(value * {_MM}e0 * cos(radians(g.lat))) / (SELECT sum(cos(radians(lat))) FROM (SELECT DISTINCT iy, ix, lat FROM r_grid WHERE iy < 6)) AS mean
        FROM r_grid g WHERE iy < 6 GROUP BY time""",
 )
 def _(t):
@@ -95,8 +97,8 @@ def _(t):
 @query(
     "ag_02_region_means",
     "time:d region:i mean:f mean_valid:f",
-    """SELECT g.time, m.region, sum(value * 31.7e0 * cos(radians(m.lat))) / any_value(w.full_w) AS mean,
-              sum(value * 31.7e0 * cos(radians(m.lat))) / sum(cos(radians(m.lat))) AS mean_valid
+    f"""SELECT g.time, m.region, sum(value * {_MM}e0 * cos(radians(m.lat))) / any_value(w.full_w) AS mean,
+              sum(value * {_MM}e0 * cos(radians(m.lat))) / sum(cos(radians(m.lat))) AS mean_valid
        FROM r_grid g JOIN r_mask m ON g.iy = m.iy AND g.ix = m.ix
        JOIN (SELECT region, sum(cos(radians(lat))) AS full_w FROM r_mask GROUP BY region) w ON w.region = m.region
        GROUP BY ALL""",
@@ -156,10 +158,6 @@ def _(t):
     return mean.join(median, ["region", "month"])
 
 
-# A depth in mm: weighted means of it do not fall on exact rounding ties, as plain fractions may.
-_MM = 31.7
-
-
 def _depth(df):
     return df.withColumn("value", F.col("value") * _MM)
 
