@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontamination, exact_dedup, hmm, jaccard, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import id_remainder, table
+from .url_sql import verdict_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,11 +46,12 @@ URL_RULES = [
 ]
 
 
-@query("op7_url_verdicts")
+@query("op7_url_verdicts", verdict_sql(URL_RULES, order=4, limit=20_000))
 def _(spark, sf_dir):
     """All pages judged by rules and by the ratio of character models."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.url_verdicts(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    out = url_filter.url_verdicts(pages, URL_RULES, order=4, limit=20_000)
+    return out.select("page_id", "host", "path", "rule", "verdict", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("op2_bpe_round_trip")
@@ -67,7 +69,29 @@ def _(spark, sf_dir):
     return found.withColumn("base_sha256", secrets.digest("base_spans")).drop("base_spans")
 
 
-@query("op3_jaccard_join")
+@query(
+    "op3_jaccard_join",
+    rf"""
+    WITH RECURSIVE t AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    s AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS g FROM t
+    ),
+    c AS (SELECT g, min(doc_id) AS rep, count(*) AS n FROM s GROUP BY g),
+    x AS (SELECT rep, n, len(g) AS size, unnest(g) AS gram FROM c),
+    l AS (
+      SELECT a.rep AS a, b.rep AS b, any_value(b.n) AS n FROM x a JOIN x b ON a.gram = b.gram AND a.rep <> b.rep
+      GROUP BY a.rep, b.rep HAVING 5 * count(*) >= 4 * (any_value(a.size) + any_value(b.size) - count(*))
+    ),
+    r AS (SELECT rep, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.rep),
+    k AS (SELECT rep, min(root) AS class_id FROM r GROUP BY rep),
+    m AS (SELECT a, count(*) AS n_links, sum(n) AS n_linked FROM l GROUP BY a)
+    SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, c.n AS n_copies, doc_id = class_id AS kept
+    FROM s JOIN c ON c.g = s.g JOIN k ON k.rep = c.rep LEFT JOIN m ON m.a = c.rep
+    """,
+)
 def _(spark, sf_dir):
     """All documents with the class of those that share four fifths of their five-word runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,7 +146,23 @@ def _(spark, sf_dir):
     return hmm.score_documents(docs, id_remainder("doc_id", 7) == 2, keep=["doc_id"])
 
 
-@query("op8_suffix_dedup")
+@query(
+    "op8_suffix_dedup",
+    """
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, p, substr(hx, 2 * p + 1, 200) AS s FROM (SELECT *, unnest(range(0, n - 99)) AS p FROM t)),
+    f AS (SELECT s, min(struct_pack(d := doc_id, p := p)) AS first FROM w GROUP BY s),
+    d AS (SELECT doc_id, w.p FROM w JOIN f ON f.s = w.s WHERE struct_pack(d := doc_id, p := w.p) <> f.first),
+    i AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 100 THEN 0 ELSE 1 END AS fresh FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+    g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+    r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+    e AS (SELECT doc_id, b AS start, a AS stop FROM r UNION ALL SELECT doc_id, 0, NULL FROM t),
+    k AS (SELECT doc_id, start, lead(CASE WHEN stop IS NOT NULL THEN stop END) OVER (PARTITION BY doc_id ORDER BY start) AS stop FROM e),
+    z AS (SELECT t.doc_id, string_agg(substr(hx, 2 * start + 1, 2 * (coalesce(k.stop, n) - start)), '' ORDER BY start) AS kept FROM k JOIN t ON t.doc_id = k.doc_id GROUP BY t.doc_id)
+    SELECT t.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(z.kept)) AS kept_sha256
+    FROM t JOIN z ON z.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id) q ON q.doc_id = t.doc_id
+    """,
+)
 def _(spark, sf_dir):
     """All documents without strings of 100 bytes that start earlier too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
