@@ -239,9 +239,9 @@ def knock_out(rows: DataFrame, score: dict[str, float], intercept: float, driver
     return out.withColumns({f"share_{d}": F.col(f"abs_{d}") / total for d in drivers})
 
 
-def score_table(scores: DataFrame, row: str, column: str, names: list[str], value: str = "cv_r2") -> DataFrame:
+def score_table(scores: DataFrame, rows: list[str], column: str, names: list[str], value: str = "cv_r2") -> DataFrame:
     """Scores with one column per model; a known list keeps it to one pass."""
-    return scores.groupBy(row).pivot(column, names).agg(F.max(value))
+    return scores.groupBy(*rows).pivot(column, names).agg(F.max(value))
 
 
 def best_set(scores: DataFrame, keys: list[str], value: str = "cv_r2") -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import regress as M
 from ..operators import series as S
 from ..operators import stats as T
+from ..operators import trees as E
 from ..operators.order import global_rank
 from .registry import query
 from .timeline import _gappy, _sparse, _SPINE
@@ -241,19 +242,48 @@ _SETS = {
 }
 
 
-def _cv(t):
+_LAGS = [1, 2, 3]
+_SETS |= {
+    "season": ["month_sin", "month_cos"],
+    "rain_lags": [f"mm_lag{k}" for k in _LAGS],
+    "storage_lags": [f"cm_lag{k}" for k in _LAGS],
+    "lags": [f"{v}_lag{k}" for v in ("mm", "cm") for k in _LAGS],
+    "rolls": ["month_sin", "month_cos", "mm_roll3m", "cm_roll3m"],
+    "all": ["month_sin", "month_cos", *[f"{v}_lag{k}" for v in ("mm", "cm") for k in _LAGS], "mm_roll3m", "cm_roll3m"],
+}
+_MODELS = ["Ridge", "RF", "GradBoost"]
+
+
+def _ridge_cv(t):
+    """Mean ridge scores of every predictor set."""
     rows = _features(t)
     parts = [
         M.mean_scores(M.ridge_cv(rows, ["station"], cols, "q", "month"), ["station"]).withColumn("predictor_set", F.lit(name))
         for name, cols in _SETS.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _cv(t):
+    """Mean scores of three models, every predictor set and station, over five folds."""
+    trees = E.tree_cv(_features(t), ["station"], _SETS, "q", "month").withColumn("alpha", F.lit(1.0))
+    scores = M.mean_scores(trees, ["station", "predictor_set", "model"])
+    ridge = _ridge_cv(t).withColumn("model", F.lit("Ridge"))
+    return scores.unionByName(ridge)
 
 
 _CVOUT = "station:i predictor_set:s cv_r2:f cv_mse:f cv_rmse:f"
 
 
 @query("st_09_time_series_cv", _CVOUT)
+def _(t):
+    return _ridge_cv(t)
+
+
+@query("st_09c_three_models", "model:s " + _CVOUT)
 def _(t):
     return _cv(t)
 
@@ -391,9 +421,10 @@ def _(t):
     return G.fill_gaps(S.on_month_spine(_sparse(t), ["station"]), ["station"], "q")
 
 
-@query("st_18_score_table", "station:i rain:f storage:f both:f")
+@query("st_18_score_table", "station:i predictor_set:s Ridge:f RF:f GradBoost:f")
 def _(t):
-    return M.score_table(_cv(t), "station", "predictor_set", ["rain", "storage", "both"])
+    """Sets by models for each station."""
+    return M.score_table(_cv(t), ["station", "predictor_set"], "model", _MODELS)
 
 
 @query("sl_05_best_set", "station:i predictor_set:s cv_r2:f")
