@@ -47,8 +47,8 @@ SLOTS = 1 << 13
 END = 0
 #: Tokens whose recursions are held at a time.
 TOKENS = 1 << 20
-#: Rare pairs that one shuffle bucket is meant to hold.
-PAIRS = 1 << 21
+#: Rare pairs that one shuffle bucket is meant to hold, and the least number of buckets.
+PAIRS, LEAST_BUCKETS = 1 << 21, 16
 #: Pseudo-count of a class in a state, spread like the class overall; and of a transition.
 PRIOR, STAY = 20.0, 1.0
 
@@ -446,7 +446,7 @@ def score_documents(
     ))
     params, _ = baum_welch(encoded.where("not held_out"), words, states, iterations)
     pairs = encoded.agg(F.sum(F.size("words"))).first()[0] or 0
-    buckets = max(1, -(-pairs // PAIRS))
+    buckets = max(LEAST_BUCKETS, -(-pairs // PAIRS))
     dealt = encoded.select("rid", "held_out", "words", "slots", "times").mapInArrow(_dealer(buckets), "bucket int, words binary, slots binary, times binary, rids binary")
     met = dealt.repartition("bucket").sortWithinPartitions("bucket")
     rated = met.mapInArrow(_rater(spark.sparkContext.broadcast((words.discount, words.slot_kinds))), "rid long, base double, known long, within double")
