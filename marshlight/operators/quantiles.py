@@ -47,7 +47,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         tagged = rows.withColumn("_w", F.explode(sketch.select(wanted).scalar()))
     near = tagged.where(F.col("_v") <= F.col("_w.hi"))
     width = F.col("_w.hi") - F.col("_w.lo")
-    place = F.when(width > 0, F.floor((F.col("_v") - F.col("_w.lo")) / width * CELLS)).otherwise(0)
+    share = F.try_divide(F.col("_v") - F.col("_w.lo"), width)
+    place = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(share, F.lit(0.0)))) * CELLS)
     celled = near.withColumn("_cell", F.when(F.col("_v") < F.col("_w.lo"), -1).otherwise(place).cast("int"))
     counts = celled.groupBy(*gk, "_w", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*gk, "_w.name").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)

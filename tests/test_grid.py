@@ -64,7 +64,7 @@ def test_plane_velocity(spark):
 
 
 def test_same_snapshot_is_an_error(spark):
-    with pytest.raises(Exception, match="same snapshot"):
+    with pytest.raises(Exception, match="nearest to one snapshot"):
         V.nearest_pair(plane(spark), "2001-01-01", "2001-01-02").collect()
 
 
