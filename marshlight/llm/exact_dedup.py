@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.materialise import materialise
+from ..operators.materialise import materialise, release
 from .common import text_or_empty
 
 FIRST_RUN, GROWTH = 64, 4
@@ -38,18 +38,20 @@ def radix_groups(rows: DataFrame) -> DataFrame | None:
     while True:
         ended = F.length("rest") <= run
         keyed = alive.withColumns({"chunk": F.substr("rest", F.lit(1), F.lit(run)), "ended": ended})
-        groups = keyed.groupBy("grp", "chunk", "ended").agg(
+        # Written, and joined by sorting at any size, so that Spark can split a frequent run among tasks.
+        groups = materialise(keyed.groupBy("grp", "chunk", "ended").agg(
             F.count("*").alias("group_size"), F.min("rid").alias("next"), F.min("doc_id").alias("keep_id"),
             F.min_by("rid", F.coalesce("doc_id", F.lit(LAST))).alias("keep_rid"),
-        ).where("group_size > 1")
+        ).where("group_size > 1"))
         rest = F.when(~F.col("ended"), F.substr("rest", F.lit(run + 1), F.length("rest")))
         split = materialise(
-            keyed.join(groups, ["grp", "chunk", "ended"])
+            keyed.join(groups.hint("merge"), ["grp", "chunk", "ended"])
             .select("rid", "doc_id", F.col("next").alias("grp"), rest.alias("rest"), "ended", "group_size", "keep_id", "keep_rid")
         )
         found = split.where("ended").select("rid", "keep_id", "keep_rid", "group_size")
         done = found if done is None else done.union(found)
         alive = split.where("not ended").select("rid", "doc_id", "grp", "rest")
+        release(groups)
         if alive.isEmpty():
             return done
         run *= GROWTH
@@ -70,7 +72,12 @@ def exact_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFram
         F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"),
     )
-    staged = materialise(rows.withColumn("text_sha256", F.sha2("body", 256)))
+    rows = rows.withColumn("text_sha256", F.sha2("body", 256))
+    # The text is written once: normalised, or as it is in the row where that keeps it.
+    if "text" in names:
+        staged = materialise(rows.drop("body")).withColumn("body", normalised("row.text").cast("binary"))
+    else:
+        staged = materialise(rows)
     groups = radix_groups(staged.select("rid", "doc_id", "body"))
     out = staged.drop("body").join(groups, "rid", "left")
     return out.select(
