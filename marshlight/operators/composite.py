@@ -127,6 +127,13 @@ def yearly_difference(values: DataFrame, base_year: int) -> DataFrame:
     return yearly.join(base, CELL).select("year", *CELL, (F.col("v") - F.col("base")).alias("difference"))
 
 
+def product_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Yearly mean of one product minus that of another, per cell, where both have data."""
+    of = lambda df, name: df.groupBy("year", *CELL).agg(F.avg("value").alias(name))
+    both = of(a, "a").join(of(b, "b"), ["year", *CELL])
+    return both.select("year", *CELL, (F.col("a") - F.col("b")).alias("difference")).where("difference is not null")
+
+
 def median_composite(values: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Per-pixel median of the clear scenes of a period; a pixel sees few scenes per month."""
     return values.groupBy(*keys, *CELL).agg(*[F.median(n).alias(n) for n in names])

@@ -18,21 +18,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _path(spark, path)
+    fs, where = hadoop_path(spark, path)
     return fs.exists(where)
 
 
 def fresh_path(spark: SparkSession) -> str:
     """A new folder name below the shared folder, removed when the session's JVM ends."""
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    fs, where = _path(spark, path)
+    fs, where = hadoop_path(spark, path)
     fs.mkdirs(where.getParent())
     fs.deleteOnExit(where)
     _LIVE.add(path)
@@ -77,6 +77,6 @@ def live_paths() -> set[str]:
 
 def release_paths(spark: SparkSession, paths) -> None:
     for path in paths:
-        fs, where = _path(spark, path)
+        fs, where = hadoop_path(spark, path)
         fs.delete(where, True)
         _LIVE.discard(path)

@@ -215,8 +215,30 @@ def split_at_longitude(vertices: DataFrame, lon: float) -> DataFrame:
     return split_at(vertices, -1.0, 0.0, lon, ("west", "east"))
 
 
-def label_points(vertices: DataFrame) -> DataFrame:
-    """Centroid when it lies inside, else the middle of the widest inside stretch at its latitude."""
+def split_by_strip(vertices: DataFrame, a: float, b: float, c: float, half: float) -> DataFrame:
+    """What a strip around the line ``a x + b y + c = 0``, ``half`` wide on either side, leaves of every region.
+
+    ``split_i`` numbers the pieces 0 and 1 of a region cut in two, on the negative and the positive side of the
+    line; a region with one piece left has -1. Nothing is left of a region within the strip.
+    """
+    n = (a * a + b * b) ** 0.5
+    a, b, c = a / n, b / n, c / n
+    off = a * F.col("lon") + b * F.col("lat") + c
+    sides = vertices.groupBy("region").agg((F.min(off) < -half).alias("_low"), (F.max(off) > half).alias("_high"))
+    low = clip_half_plane(vertices, -a, -b, -c - half).join(sides.where("_low"), "region").withColumn("split_i", F.lit(0))
+    high = clip_half_plane(vertices, a, b, c - half).join(sides.where("_high"), "region").withColumn("split_i", F.lit(1))
+    pieces = low.unionByName(high)
+    return pieces.withColumn("split_i", F.when(F.col("_low") & F.col("_high"), F.col("split_i")).otherwise(-1)).drop("_low", "_high")
+
+
+def label_points(vertices: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Centroid when it lies inside, else the middle of the widest inside stretch at its latitude.
+
+    With a ``box`` (west, south, east, north) regions are clipped first; those without area in it are left out.
+    """
+    if box is not None:
+        vertices = clip_box(vertices, *box)
+        vertices = vertices.join(measures(vertices).where("area > 0").select("region"), "region", "left_semi")
     m = measures(vertices).select("region", "cx", "cy")
     rows = m.select("region", F.col("cy").alias("lat"), F.lit(0).alias("row"))
     j = row_spans(edges(vertices), rows, row="row", own=True).drop("row", "lat").join(m, "region")

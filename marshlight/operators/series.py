@@ -81,9 +81,10 @@ def centred_smooth(spine: DataFrame, keys: list[str], value: str, size: int = 3,
     return spine.withColumn("smooth", F.when(F.count(value).over(frame) == size, mid))
 
 
-def trailing_mean(spine: DataFrame, keys: list[str], value: str, size: int, month: str = "month") -> DataFrame:
+def trailing_mean(spine: DataFrame, keys: list[str], value: str, size: int, month: str = "month", min_count: int = 1) -> DataFrame:
+    """Mean of the last ``size`` rows, null with fewer than ``min_count`` values among them."""
     frame = Window.partitionBy(*keys).orderBy(month).rowsBetween(-(size - 1), 0)
-    return spine.withColumn("trailing", F.avg(value).over(frame))
+    return spine.withColumn("trailing", F.when(F.count(value).over(frame) >= min_count, F.avg(value).over(frame)))
 
 
 def rolling_days(readings: DataFrame, keys: list[str], value: str, time: str, days: int = 30, min_count: int = 10) -> DataFrame:

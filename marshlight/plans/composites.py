@@ -184,6 +184,16 @@ def _(t):
     return K.yearly_difference(t.grid.withColumn("year", F.year("time")), 1996)
 
 
+@query(
+    "ag_26c_product_difference",
+    "year:i iy:i ix:i difference:f",
+    "SELECT year, iy, ix, avg(value) - avg(cls / 4e0) AS difference FROM r_grid GROUP BY ALL",
+)
+def _(t):
+    other = t.classes.withColumn("value", F.col("cls") / 4.0)
+    return K.product_difference(t.grid.withColumn("year", F.year("time")), other)
+
+
 _SCENES = """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(l_partkey % 12 AS INTEGER) AS iy, CAST((l_partkey // 12) % 12 AS INTEGER) AS ix,
              (l_discount * 10000 - l_tax * 10000) / nullif(l_discount * 10000 + l_tax * 10000, 0) AS index FROM lineitem
              WHERE (CAST(l_suppkey % 4096 AS INTEGER) & 3072) = 0"""

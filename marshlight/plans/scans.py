@@ -6,10 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
-from ..functions import text as T
 from ..operators import polygons as P
 from ..operators import zonal as Z
-from ..operators.materialise import fresh_path
+from ..operators.materialise import fresh_path, hadoop_path
 from ..sources import gauges as S
 from ..sources import tiles as X
 from .registry import query
@@ -47,6 +46,26 @@ def _gauge_lines(t, columns: int = 2):
     return head.unionByName(rows)
 
 
+def _named_files(t, rows, kind: str) -> str:
+    """A folder with one real file for each value of ``file``, named so, its rows in order of ``pos`` if there is one."""
+    path = fresh_path(t.spark)
+    order = [c for c in ("file", "pos") if c in rows.columns]
+    dealt = rows.repartition("file").sortWithinPartitions(*order).drop("pos")
+    dealt.write.partitionBy("file").format(kind).save(path)
+    fs, root = hadoop_path(t.spark, path)
+    for folder in fs.listStatus(root):
+        if folder.isDirectory():
+            part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part, hadoop_path(t.spark, f"{path}/{folder.getPath().getName().removeprefix('file=')}")[1])
+            fs.delete(folder.getPath(), True)
+    return path
+
+
+def _scanned(t, columns: int = 2):
+    """The gauge files written and read again by the text scan."""
+    return S.read_lines(t.spark, _named_files(t, _gauge_lines(t, columns), "text"))
+
+
 _STAMP = """CASE WHEN user_id % 3 = 0 THEN date_trunc('day', ts) ELSE date_trunc('minute', ts) END"""
 _VALUE = "CASE WHEN event_type = 'error' THEN NULL ELSE value END"
 
@@ -58,7 +77,7 @@ _VALUE = "CASE WHEN event_type = 'error' THEN NULL ELSE value END"
         UNION ALL SELECT user_id || '_Q_Day.Cmd.txt', {_STAMP}, 'Level', count(*), sum(event_id) FROM events WHERE user_id % 2 = 0 GROUP BY ALL""",
 )
 def _(t):
-    v = S.gauge_values(_gauge_lines(t))
+    v = S.gauge_values(_scanned(t))
     return v.groupBy("file", "ts", "column").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
 
 
@@ -72,7 +91,7 @@ def _(t):
        UNION ALL SELECT u || '_Q_Day.Cmd.txt', 'hh', 'mm - Time: ignored   here' FROM u""",
 )
 def _(t):
-    return S.header_items(_gauge_lines(t))
+    return S.header_items(_scanned(t))
 
 
 @query(
@@ -82,7 +101,7 @@ def _(t):
               'C' || user_id AS station_code, user_id AS file_station_id, 'Q_Day' AS file_tag FROM events""",
 )
 def _(t):
-    return S.by_station(S.station_table(_gauge_lines(t)))
+    return S.by_station(S.station_table(_scanned(t)))
 
 
 @query(
@@ -92,7 +111,7 @@ def _(t):
         FROM events GROUP BY ALL""",
 )
 def _(t):
-    lines = _gauge_lines(t, columns=1)  # the variant that this reader is for
+    lines = _scanned(t, columns=1)  # the variant that this reader is for
     keys = S.typed_items(S.header_items(lines, strict=True)).groupBy("file").agg(
         F.count(F.lit(1)).alias("header_keys"), F.max(F.when(F.col("key") == "Latitude (DD)", F.col("kind"))).alias("lat_kind")
     )
@@ -106,7 +125,7 @@ def _(t):
     f"""SELECT user_id || '_Q_Day.Cmd.txt' AS file, 'Value' AS "column", sum({_VALUE}) AS total FROM events GROUP BY user_id""",
 )
 def _(t):
-    v = S.gauge_values(_gauge_lines(t))
+    v = S.gauge_values(_scanned(t))
     total = S.discharge(v).groupBy("file").agg(F.sum("q").alias("total"))
     return S.discharge_column(v).join(total, "file")
 
@@ -128,6 +147,11 @@ def _tile_table(t):
     return a.unionByName(b)
 
 
+def _read_tiles(t):
+    """The tiles written as files and read again; the time of a file is the one in its name."""
+    return X.read_tiles(t.spark, _named_files(t, _tile_table(t), "parquet"), "iy int, ix int, value double")
+
+
 @query(
     "src_07_date_in_name",
     "file:s time:d n:i",
@@ -136,7 +160,7 @@ def _tile_table(t):
        UNION ALL SELECT 'zz_' || strftime(time, '%Y%m%d') || '.nc', time, count(*) FROM r_grid WHERE month % 4 = 0 GROUP BY ALL""",
 )
 def _(t):
-    return _tile_table(t).groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("time", T.day_in_name("file"))
+    return _read_tiles(t).groupBy("file", "time").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -175,7 +199,7 @@ _MERGED = "SELECT time, iy, ix, value FROM r_grid WHERE month % 4 <> 3"
 
 @query("src_10_merge_tiles", "time:d iy:i ix:i value:f", _MERGED)
 def _(t):
-    return X.merge_tiles(X.stamp_tiles(_tile_table(t)))
+    return X.merge_tiles(_read_tiles(t))
 
 
 @query(
@@ -186,7 +210,7 @@ def _(t):
          UNION ALL SELECT time, count(*), sum(value + 1) FROM r_grid WHERE month % 4 = 0 GROUP BY time) GROUP BY time""",
 )
 def _(t):
-    return X.stamp_tiles(_tile_table(t)).groupBy("time").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
+    return _read_tiles(t).where("time is not null").groupBy("time").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
 
 
 @query(

@@ -117,6 +117,16 @@ def _(t):
     return S.trailing_mean(S.on_month_spine(_sparse(t), ["station"]), ["station"], "q", 6)
 
 
+@query(
+    "wn_04c_rolling_30_rows",
+    "station:i month:d trailing:f",
+    """SELECT station, month, CASE WHEN count(q) OVER w >= 10 THEN avg(q) OVER w END AS trailing FROM r_station
+       WINDOW w AS (PARTITION BY station ORDER BY month ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
+)
+def _(t):
+    return S.trailing_mean(t.station, ["station"], "q", 30, min_count=10).drop("q")
+
+
 @query(
     "wn_04_rolling_30_days",
     "event_id:i rolling:f",

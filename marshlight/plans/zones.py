@@ -347,6 +347,20 @@ def _(t):
     )
 
 
+@query(
+    "geo_08c_split_by_strip",
+    "region:i split_i:i area:f",
+    f"""WITH w AS ({_clip_area_sql(-180.0, 22.625)}), e AS ({_clip_area_sql(22.75, 180.0)})
+        SELECT region, CASE WHEN region IN (SELECT region FROM e) THEN 0 ELSE -1 END AS split_i, area FROM w
+        UNION ALL SELECT region, CASE WHEN region IN (SELECT region FROM w) THEN 1 ELSE -1 END, area FROM e""",
+)
+def _(t):
+    parts = P.split_by_strip(t.lakes, 1.0, 0.0, -22.6875, 0.0625)
+    key = F.concat_ws("/", F.col("region").cast("string"), F.col("split_i").cast("string"))
+    m = P.measures(parts.withColumn("region", key))
+    return m.select(F.split("region", "/")[0].cast("bigint").alias("region"), F.split("region", "/")[1].cast("int").alias("split_i"), "area")
+
+
 @query("geo_08b_clip_strip", "region:i area:f", _clip_area_sql(22.0, 23.0))
 def _(t):
     return P.measures(P.clip_box(t.lakes, 22.0, -90.0, 23.0, 90.0)).select("region", "area")

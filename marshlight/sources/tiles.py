@@ -110,9 +110,9 @@ def write_series(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
 
 
 def write_region_table(df: DataFrame, path: str, month: str = "month") -> None:
-    """Region-by-month table, one folder per year so that later reads prune."""
+    """Region-by-month table, one folder per year so that later reads prune; regions of a year are dealt to 16 tasks."""
     out = df.withColumn("year", F.year(month))
-    out.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+    out.repartition("year", F.pmod(F.xxhash64("region"), F.lit(16))).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def write_cropped(grid: DataFrame, path: str, west: float, south: float, east: float, north: float) -> None:
