@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..operators.materialise import materialise, release
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """For each u its smallest neighbour; counts are partial per partition, hubs are joined as skewed keys."""
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+def _nearest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with the smallest neighbour m of u, and the table of m to release.
+
+    The minima are written first and joined by sorting at any size, so that Spark can split the rows of a hub.
+    """
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.join(least.hint("merge"), "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,13 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(order)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        near, least = _nearest(both)
+        large = near.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = materialise(large.where("u <> v").distinct())
-        near = _nearest(large)
+        release(least)
+        near, least = _nearest(large)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         small = materialise(small.distinct())
         same = small.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(small, ["u", "v"], "left_anti").isEmpty()
-        release(now, large)
+        release(now, large, least)
         now = small
         if same:
             break

@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.materialise import materialise
+from ..operators.materialise import materialise, materialise_by, release
 from .common import U64, Powers, mapped, mixed, pieces, shingle_hashes, text_or_empty, word_hashes
 from .components import components
 
@@ -215,23 +215,28 @@ def similar_documents(
         F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
     )
-    # The text is written once, in the row where that keeps it.
-    staged = materialise(staged.drop("text")).withColumn("text", text_or_empty("row.text")) if "text" in names else materialise(staged)
+    # Texts move here and then stay: both later joins are on the key of the buckets. The text is written
+    # once, in the row where that keeps it.
+    if "text" in names:
+        staged = materialise_by(staged.drop("text"), "rid").withColumn("text", text_or_empty("row.text"))
+    else:
+        staged = materialise_by(staged, "rid")
     sketched = materialise(mapped(staged, _sketcher(words, rows, bands), "d1 long, d2 long, bands array<long>", ["rid", "doc_id"]))
     classes = materialise(sketched.groupBy("d1", "d2").agg(
         F.min("rid").alias("rep"), F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id"),
         F.min_by("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_rid"),
     ))
-    reps = sketched.select(F.col("rid").alias("rep"), "bands").join(classes.select("rep"), "rep", "left_semi")
-    buckets = materialise(reps.select("rep", F.explode("bands").alias("band")))
-    shared = buckets.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").select("band", "v")
-    links = buckets.join(shared, "band").select(F.col("rep").alias("u"), "v").where("u <> v")
+    reps = sketched.select(F.col("rid").alias("rep"), "bands").join(classes.select("rep").hint("merge"), "rep", "left_semi")
+    buckets = reps.select("rep", F.explode("bands").alias("band"))
+    # Written, and joined by sorting at any size, so that Spark can split a bucket that many share.
+    shared = materialise(buckets.groupBy("band").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").select("band", "v"))
+    links = buckets.join(shared.hint("merge"), "band").select(F.col("rep").alias("u"), "v").where("u <> v")
     clusters = materialise(components(links).select(F.col("node").alias("rep"), F.col("root").alias("cluster")))
 
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "cluster").join(classes.select("rep", F.col("n_copies").alias("copies")), "rep")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = members.join(staged.select(F.col("rid").alias("rep"), "text"), "rep")
+    texts = staged.select("rid", "text").join(members.withColumnRenamed("rep", "rid"), "rid").withColumnRenamed("rid", "rep")
     sets = mapped(texts, _gram_sets(words), "grams binary", ["cluster", "rep", "copies", "block", "blocks"])
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rep", "copies", "block", "grams"
@@ -247,7 +252,8 @@ def similar_documents(
         F.min("first_id").alias("class_id"), F.min_by("first_rid", F.coalesce("first_id", F.lit((1 << 63) - 1))).alias("keep_rid")
     )
     known = rooted.join(tops, "root").select("d1", "d2", "class_id", "keep_rid", "n_links", "n_linked", "n_copies")
-    found = sketched.select("rid", "d1", "d2").join(known, ["d1", "d2"])
+    found = materialise(sketched.select("rid", "d1", "d2").join(known, ["d1", "d2"]).drop("d1", "d2"))
+    release(sketched, classes, shared, clusters, verified, rooted)
     out = staged.select("rid", "row").join(found, "rid")
     zero = F.lit(0).cast("long")
     return out.select(
