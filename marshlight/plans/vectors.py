@@ -357,13 +357,13 @@ def _(t):
 
 _IN_BOX = _OVERLAP.replace(
     "SELECT DISTINCT iy * 100 + ix AS rect, lon - 0.125e0 AS west, lon + 0.125e0 AS east, lat - 0.125e0 AS south, lat + 0.125e0 AS north FROM r_grid",
-    "SELECT 0 AS rect, 21.9e0 AS west, 23.1e0 AS east, -19.6e0 AS south, -18.4e0 AS north",
+    "SELECT 0 AS rect, 21.9e0 AS west, 23.1e0 AS east, -20.2e0 AS south, -18.4e0 AS north",
 ).replace("r_basin_edges", "r_lake_edges")
 
 
 @query("src_12b_features_in_box", "region:i area:f", f"SELECT region, shared AS area FROM ({_IN_BOX})")
 def _(t):
-    inside = P.clip_box(t.lakes, 21.9, -19.6, 23.1, -18.4)
+    inside = P.clip_box(t.lakes, 21.9, -20.2, 23.1, -18.4)
     return P.measures(inside).where("area > 1e-12").select("region", "area")
 
 

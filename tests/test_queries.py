@@ -9,10 +9,10 @@ from marshlight.plans import all_queries
 
 QUERIES = all_queries()
 
-# Grouped solvers and the spline are the only Python steps.
+# Grouped solvers, trees and the spline are the only Python steps.
 PYTHON = {
     "st_09_time_series_cv", "st_09b_cv_one_predictor", "st_10_ridge_strength", "st_10c_strength_one_predictor",
-    "st_11_leave_one_out", "st_13_reservoir_times", "st_16_metrics", "st_17_spline_gap_fill", "st_18_score_table", "sl_05_best_set",
+    "st_09c_three_models", "st_11_leave_one_out", "st_13_reservoir_times", "st_16_metrics", "st_17_spline_gap_fill", "st_18_score_table", "sl_05_best_set",
 }
 
 
