@@ -114,12 +114,12 @@ def literals(text: str) -> list[tuple[int, int]]:
         at, end = m.span()
         if at < skip:
             continue
-        nxt = text[end : end + 1]
-        if text[at] == "=" and (nxt == "=" or text[at - 1 : at] in ("=", "!", "<", ">") and at):
+        before, after = text[at - 1] if at else " ", text[end] if end < len(text) else " "
+        if text[at] == "=" and (after == "=" or before in "=!<>"):
             continue  # a comparison
-        if text[at] == ":" and (nxt == "/" or nxt == ":" or text[at - 1 : at] == ":" and at):
+        if text[at] == ":" and (after in "/:" or before == ":"):
             continue  # a URL or a scope
-        if nxt in ("=", ">") and nxt:  # := and =>
+        if after in "=>":  # := and =>
             end += 1
             skip = end
         name = _target(text, at)

@@ -21,14 +21,16 @@ def grams(text):
 
 def test_features_are_the_distinct_grams_of_each_text():
     texts = ["Ab  ab ab", "", "é日本 x", "ab", "zz" * 300]
-    row, slot = toxicity._features(pa.array(texts))
-    for k, text in enumerate(texts):
-        assert len(set(slot[row == k])) == len(slot[row == k]) == len(grams(text))
-    alone = toxicity._features(pa.array(["ab"]))[1]
-    assert set(alone) == set(slot[row == 3])
+    slots, at = toxicity._grams(pa.array(texts))
+    mark = np.zeros(toxicity.SLOTS, np.int32)
+    by = [toxicity._present(slots, a, b, mark) for a, b in zip(at, at[1:])]
+    for text, found in zip(texts, by):
+        assert len(set(found.tolist())) == len(found) == len(grams(text))
     wanted = np.zeros(toxicity.SLOTS, bool)
-    wanted[alone] = True
-    assert set(zip(*toxicity._features(pa.array(texts), wanted))) == {(r, s) for r, s in zip(row, slot) if wanted[s]}
+    wanted[by[3]] = True
+    got = set(zip(*(x.tolist() for x in toxicity._features(pa.array(texts), wanted))))
+    assert got == {(k, s) for k, found in enumerate(by) for s in found.tolist() if wanted[s]}
+    assert {s for k, s in got if k == 3} == set(by[3].tolist())
 
 
 def test_ratios_and_scores_by_hand(spark):
@@ -39,7 +41,7 @@ def test_ratios_and_scores_by_hand(spark):
     assert len(model.slots) == 40 and list(model.slots) == sorted(model.slots)
     weight = dict(zip(model.slots.tolist(), model.weights))
     for text, label in rows:
-        z = model.bias + sum(weight.get(s, 0.0) for s in toxicity._features(pa.array([text]))[1].tolist())
+        z = model.bias + sum(weight.get(s, 0.0) for s in toxicity._features(pa.array([text]), np.ones(toxicity.SLOTS, bool))[1].tolist())
         got = toxicity.score_documents(documents(spark, [(1, text)]), model).first()["score"]
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
         assert (got >= 0.7) == bool(label)
