@@ -252,11 +252,13 @@ def similar_documents(
         F.min("first_id").alias("class_id"), F.min_by("first_rid", F.coalesce("first_id", F.lit((1 << 63) - 1))).alias("keep_rid")
     )
     known = rooted.join(tops, "root").select("d1", "d2", "class_id", "keep_rid", "n_links", "n_linked", "n_copies")
-    found = materialise(sketched.select("rid", "d1", "d2").join(known, ["d1", "d2"]).drop("d1", "d2"))
+    found = sketched.select("rid", "d1", "d2").join(known, ["d1", "d2"]).withColumn("kept", F.col("rid") == F.col("keep_rid"))
+    # With kept as a column of its own, a filter on it adds no key to the join below, which would move the texts.
+    found = materialise(found.drop("d1", "d2", "keep_rid"))
     release(sketched, classes, shared, clusters, verified, rooted)
     out = staged.select("rid", "row").join(found, "rid")
     zero = F.lit(0).cast("long")
     return out.select(
         *[F.col(f"row.`{c}`").alias(c) for c in names], "class_id", F.coalesce("n_links", zero).alias("n_links"),
-        F.coalesce("n_linked", zero).alias("n_linked"), "n_copies", (F.col("rid") == F.col("keep_rid")).alias("kept"),
+        F.coalesce("n_linked", zero).alias("n_linked"), "n_copies", "kept",
     )
