@@ -7,8 +7,8 @@ each divided by its class's size, the feature's ratio is ``r = ln(p / q)``. The
 differ most between the classes (log-likelihood ratio test) make up the model: logistic regression on the
 inputs ``r`` where present, 0 elsewhere, with an L2 penalty.
 
-Counting uses all labelled rows. The regression is fitted in one task on the ``sample`` rows of smallest
-hash, a documented bound; each row holds at most ``features`` numbers. Scoring is a map over whole texts.
+Counting uses all labelled rows. The regression is fitted in one task on about ``sample`` rows drawn by a
+hash of their number, a documented bound; each row holds at most ``features`` numbers. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 PENALTY = 1e-4
 STEPS = 300
+#: Present features that a fitting step holds at a time.
+CHUNK = 1 << 21
 #: Slots that one row of a task's counts holds.
 BLOCK = 1 << 12
 
@@ -49,40 +51,54 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in clean])]).astype(np.int64)
 
 
-def _features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of each feature present, once; of the ``wanted`` slots (a table of flags) only, if given."""
+#: Odd multipliers of the characters of an n-gram, by place.
+_FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
+
+
+def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length the slot of the n-gram that starts at each character, and the rows' offsets; some cross rows."""
     codes, at = _codes(texts)
-    row = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
-    found = []
-    powers = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63)]
     wide = codes.astype(U64) + U64(1)
-    total = np.zeros(len(wide), U64)
+    total, out = np.zeros(len(wide), U64), []
     for k in range(max(LENGTHS)):
-        total = total[: len(wide) - k] + wide[k:] * powers[k] if len(wide) > k else total[:0]
-        n = k + 1
-        if n not in LENGTHS or not len(total):
-            continue
-        h = total ^ (total >> U64(29))
-        h = h * U64(0xBF58476D1CE4E5B9 + 2 * n)
-        slot = (h >> U64(44)).astype(np.int64)
-        keep = row[: len(slot)] == row[k:]
-        if wanted is not None:
-            keep &= wanted[slot]
-        where = np.flatnonzero(keep)
-        found.append(row[where] * SLOTS + slot[where])
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        total = total[: len(wide) - k] + wide[k:] * U64(_FACTORS[k]) if len(wide) > k else total[:0]
+        if (n := k + 1) in LENGTHS:
+            h = total ^ (total >> U64(29))
+            h *= U64(0xBF58476D1CE4E5B9 + 2 * n)
+            out.append((h >> U64(44)).astype(np.int32))
+    return out, at
+
+
+def _present(grams: list[np.ndarray], start: int, end: int, mark: np.ndarray) -> np.ndarray:
+    """The distinct slots of the row from ``start`` to ``end``; ``mark`` is a table of all slots to write on."""
+    s = np.concatenate([g[start : max(start, end - n + 1)] for g, n in zip(grams, LENGTHS)])
+    place = np.arange(len(s), dtype=np.int32)
+    mark[s] = place
+    return s[mark[s] == place]
+
+
+def _features(texts: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of each feature present, once; of the ``wanted`` slots (a table of flags) only."""
+    grams, at = _grams(texts)
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
+    found = [np.zeros(0, np.int64)]
+    for g, n in zip(grams, LENGTHS):
+        where = np.flatnonzero(wanted[g])
+        where = where[row[where] == row[where + n - 1]]
+        found.append(row[where] * SLOTS + g[where])
+    keys = np.unique(np.concatenate(found))
     return keys // SLOTS, keys % SLOTS
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, SLOTS), np.int64)
     size = np.zeros(2, np.int64)
+    mark = np.zeros(SLOTS, np.int32)
     for batch in pieces(batches):
-        label = batch.column("toxic").to_numpy(zero_copy_only=False)
-        row, slot = _features(batch.column("text"))
-        for y in (0, 1):
-            counts[y] += np.bincount(slot[label[row] == y], minlength=SLOTS)
-            size[y] += int((label == y).sum())
+        grams, at = _grams(batch.column("text"))
+        for k, y in enumerate(batch.column("toxic").to_pylist()):
+            counts[y][_present(grams, at[k], at[k + 1], mark)] += 1
+            size[y] += 1
     for block in range(-1, SLOTS // BLOCK):
         part = size[:, None] if block < 0 else counts[:, block * BLOCK : (block + 1) * BLOCK]
         if part.any():
@@ -155,16 +171,25 @@ def _fitter(slots: np.ndarray, ratio: np.ndarray) -> Callable:
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (times the ratios) and bias of the penalised logistic regression, by Adam steps over all rows."""
+    """Weights (times the ratios) and bias of the penalised logistic regression, by Adam steps over all rows.
+
+    ``rows`` and ``cols`` are the places of the present features, by row; a step takes ``CHUNK`` of them at a time.
+    """
     n, m = len(labels), len(ratio)
-    x = ratio[cols]
     theta, mean, square = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1)
     rate = labels.mean()
     theta[m] = np.log((rate + 1e-6) / (1 - rate + 1e-6))
+    parts = [slice(a, a + CHUNK) for a in range(0, len(rows), CHUNK)]
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, x * theta[cols], n) + theta[m]
+        scaled = ratio * theta[:m]
+        z = np.full(n, theta[m])
+        for p in parts:
+            z += np.bincount(rows[p], scaled[cols[p]], n)
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
-        grad = np.append(np.bincount(cols, x * error[rows], m) + PENALTY * theta[:m], error.sum())
+        slope = np.zeros(m)
+        for p in parts:
+            slope += np.bincount(cols[p], error[rows[p]], m)
+        grad = np.append(slope * ratio + PENALTY * theta[:m], error.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         theta -= 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
@@ -173,11 +198,13 @@ def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: np.ndarra
 
 def train(labelled: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> Model:
     """From rows of (text, toxic: 0 or 1). Without rows every text scores one half."""
-    staged = materialise(labelled.select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)"))
-    partial = staged.mapInArrow(_counter, "block int, toxic binary, clean binary")
+    rows = labelled.select(F.monotonically_increasing_id().alias("rid"), text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    staged = materialise(rows.where("toxic in (0, 1)"))
+    partial = staged.select("text", "toxic").mapInArrow(_counter, "block int, toxic binary, clean binary")
     counts = materialise(partial.repartition("block").mapInArrow(_adder, "slot int, toxic long, clean long"))
     slots, ratio = ratios(counts, features)
-    drawn = staged.orderBy(F.xxhash64("text"), "toxic").limit(sample)
+    share = min(1.0, sample / max(1, staged.count()))
+    drawn = staged.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "toxic")
     got = drawn.repartition(1).mapInArrow(_fitter(slots, ratio), "weight double").collect() if len(slots) else []
     release(staged, counts)
     if not got:
@@ -213,8 +240,9 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
 def labelled_texts(docs: DataFrame, labels: DataFrame, usable) -> DataFrame:
     """(text, toxic) of the documents whose id is ``usable`` and labelled.
 
-    An id labelled more than once is toxic if any label says so; null labels and ids are left out.
+    An id labelled more than once is toxic if any label says so; null labels and ids are left out. The join
+    is by sorting at any size of the labels.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id"))
     known = known.agg(F.max("toxic").alias("toxic")).where(usable("_id"))
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(usable("_id")).join(known, "_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(usable("_id")).join(known.hint("merge"), "_id").select("text", "toxic")
