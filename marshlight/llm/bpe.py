@@ -29,7 +29,7 @@ from .common import mapped, worker_cache
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Entries of each of a worker's caches; as many again are kept from before, so that frequent words stay.
-CACHE_WORDS = 125_000
+CACHE_WORDS = 100_000
 
 
 #: Separators that str.split takes for white space and the vocabulary's pattern may not.
