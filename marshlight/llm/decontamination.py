@@ -1,14 +1,14 @@
-"""Test items found in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Test items found in training documents: n-gram seeds, then Smith-Waterman alignment.
 
 1. Items and documents are read as words without punctuation, in lower case; ``n`` words make an n-gram.
-2. The document frequency of every n-gram of the items is counted over all documents. An item's seeds are
-   the rarer half of its n-grams (with ties), so each item has seeds however often its passage occurs.
+2. All n-grams of an item are its seeds, rare or frequent: which of them an edited copy keeps is not known.
 3. Documents are scanned for seeds. A filter of fixed size decides what a scan puts out: for each hash slot
    the reach of its seeds to both ends of their items. Around a hit the document's words are cut out as
    far as that reach, neighbouring cuts as one.
 4. Hits join the seeds on their hash; each document cut and item that share a seed are aligned by words:
    a match gives 2, a mismatch or a gap takes 1. The score is the best local alignment over that of a full
-   copy.
+   copy. It is no more than the part of the item's words that the cut holds too, so pairs whose part is below
+   the threshold are left out before they are aligned.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators.materialise import materialise
 from .common import PUNCTUATION, U64, Powers, mixed, pieces, shingle_hashes, text_or_empty, word_hashes
@@ -86,24 +85,6 @@ def _hits(grams: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return some[reach[1, 0][b[some]] > 0]
 
 
-def _counter(n: int, shared) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, reach = Powers(), shared.value
-        for batch in pieces(batches):
-            grams, at = shingle_hashes(*_words(batch.column("text"), powers), n)
-            hit = _hits(grams, reach)
-            row = np.searchsorted(at, hit, "right") - 1
-            found = grams[hit]
-            order = np.lexsort((row, found))
-            found, row = found[order], row[order]
-            fresh = np.ones(len(found), bool)
-            fresh[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-            values, counts = np.unique(found[fresh], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
-
-    return run
-
-
 def _cutter(n: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, reach = Powers(), shared.value
@@ -186,7 +167,7 @@ def align(items: list[np.ndarray], cuts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, from_, to
 
 
-def _aligner() -> Callable:
+def _aligner(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -194,7 +175,8 @@ def _aligner() -> Callable:
             items = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("item_words")]
             cuts = [np.frombuffer(x.as_buffer(), np.uint32)[lo:hi] for x, lo, hi in zip(
                 batch.column("words"), batch.column("low").to_pylist(), batch.column("high").to_pylist())]
-            order = sorted(range(len(items)), key=lambda k: (len(items[k]), len(cuts[k])))
+            able = [k for k, (x, y) in enumerate(zip(items, cuts)) if np.isin(x, y).mean() >= threshold]
+            order = sorted(able, key=lambda k: (len(items[k]), len(cuts[k])))
             got = np.zeros((3, len(items)), np.int64)
             start = 0
             while start < len(order):
@@ -249,14 +231,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
     # One id may have several texts: the pair's own number keeps them apart until the end.
     items = materialise(items.distinct().select(F.xxhash64("item_id", "text").alias("item_no"), "item_id", "text"))
     named = items.select(F.col("item_no").alias("item_id"), "text")
-    grams = materialise(named.mapInArrow(_item_grams(n), "item_id long, gram long, pos int, length int, slot_a int, slot_b int"))
+    seeds = materialise(named.mapInArrow(_item_grams(n), "item_id long, gram long, pos int, length int, slot_a int, slot_b int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    seen = texts.select("text").mapInArrow(_counter(n, _filter(grams, spark)), "gram long, n long")
-    frequency = materialise(seen.groupBy("gram").agg(F.sum("n").alias("df")))
-    rated = grams.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    order = Window.partitionBy("item_id").orderBy("df")
-    ranked = rated.withColumns({"part": F.percent_rank().over(order)})
-    seeds = materialise(ranked.where("part <= 0.5").drop("part"))
     cutting = _cutter(n, _filter(seeds, spark))
     keyed = texts.select("doc_id", text_key().alias("text_key"), "text")
     cuts = materialise(
@@ -273,7 +249,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc_id", "text_key", "cut")]
     ready = pairs.alias("p").join(cuts.alias("c"), same).join(words.alias("w"), F.col("p.item_id") == F.col("w.item_id"))
     ready = ready.select("p.doc_id", "p.text_key", "p.cut", "p.item_id", "low", "high", "words", "item_words")
-    scored = ready.mapInArrow(_aligner(), "doc_id long, text_key long, item_id long, score double, word_start long, word_end long")
+    scored = ready.mapInArrow(_aligner(threshold), "doc_id long, text_key long, item_id long, score double, word_start long, word_end long")
     best = scored.where(F.col("score") >= threshold).withColumnRenamed("item_id", "item_no").join(items.select("item_no", "item_id"), "item_no")
     top = F.max(F.struct("score", (-F.col("word_start")).alias("s"), F.col("word_end").alias("e")))
     found = best.groupBy("doc_id", "text_key", "item_id").agg(top.alias("top"))

@@ -74,6 +74,30 @@ def test_planted_and_paraphrased_items_are_found(spark):
     assert kept == {k for k, _ in docs} - set(truth)
 
 
+def test_lone_edited_copies_against_the_whole_table_of_all_pairs(spark):
+    """Every fourth to sixth word changed, alone in the corpus or beside a whole copy."""
+    rng = random.Random(10)
+    items, docs = [], []
+    for k, size in enumerate(range(15, 60, 4)):
+        for every in (4, 5, 6):
+            i = len(items)
+            w = [f"w{i}x{j}" for j in range(size)]
+            items.append((i, " ".join(w)))
+            edited = [f"new{i}x{j}" if j % every == every - 1 else x for j, x in enumerate(w)]
+            docs.append((2 * i, " ".join([sentence(rng, 12), *edited, sentence(rng, 12)])))
+            if k % 2:
+                docs.append((2 * i + 1, f"{sentence(rng, 12)} {items[i][1]}"))
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            score = plain(words(item), words(text)) / (D.MATCH * len(words(item)))
+            if score >= D.THRESHOLD:
+                want[d, i] = score
+    assert len(want) == len(docs)
+    got = D.contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
 def test_an_item_in_a_third_of_all_documents(spark):
     items, docs, _ = planted(random.Random(9))
     docs = [(k, items[0][1] + " " + t if k % 3 == 1 else t) for k, t in docs]
