@@ -1,7 +1,8 @@
 """Secrets in text: three base patterns, and assignments lexed into names and literals.
 
 The lexer visits every ``:`` and ``=`` of a text. Left of it stands a target name (``password``,
-``cfg.db_password``, ``"api-key"``, ``env['TOKEN']``), right of it an expression: quoted literals, names and
+``cfg.db_password``, ``"api-key"``, ``env['TOKEN']``), also with its type (``token: str =``,
+``var token string =``), which is neither a target nor a value; right of it an expression: quoted literals, names and
 bare values, joined by ``+`` or standing side by side. A name assigned a literal is a constant from there
 on; where a later assignment uses it, its value is put in place. A literal counts as a secret when the
 weight of the sensitive words in its target name and the look of its value reach a threshold. Its span is
@@ -47,6 +48,35 @@ _TERM = re.compile(
     r"""(?:[bBrRuU]{0,2})"((?:[^"\\\n]|\\.)*)"|(?:[bBrRuU]{0,2})'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=$@~!%^*\-]+)"""
 )
 _GAP = re.compile(r"[\x20\t]*")
+
+
+def _bracketed(depth: int) -> str:
+    plain = r"[-=]>|[^\[\]<>(){}]"
+    inner = f"(?:{plain}|{_bracketed(depth - 1)})*+" if depth else f"(?:{plain})*+"
+    return rf"(?:\[{inner}\]|<{inner}>|\({inner}\)|\{{{inner}\}})"
+
+
+_GROUP = _bracketed(3)
+_UNIT = (
+    r"(?:[&*?!]|'[a-z_]\w*+[\x20\t]+|\[\w*\](?=[\w*\[])|(?:mut|dyn|impl|const|constant|static|readonly|unique|keyof|typeof|unsigned)[\x20\t]+)*+"
+    rf"(?:[A-Za-z_$][\w$]*+(?:(?:\.|::)[A-Za-z_$][\w$]*+)*+|{_GROUP})(?:{_GROUP}|[?!*&])*+"
+)
+_JOINED = rf"{_UNIT}(?:[\x20\t]*+(?:[|&]|[-=]>)[\x20\t]*+{_UNIT})*+"
+#: What follows the colon of a typed target up to its ``=``: space before it, or a literal after it, tells it from a value with ``=``.
+_TYPE = re.compile(
+    rf"""[\x20\t]*+(?:{_JOINED}|(?P<quoted>"{_JOINED}"|'{_JOINED}'))(?:(?P<space>[\x20\t]+)|(?=:?=[\x20\t]*[bBrRuU]{{0,2}}["']))(?=:?=(?![=>]))""", re.A
+)
+#: A declaration with the name before the type, up to its ``=``.
+_NAME_TYPE = re.compile(
+    rf"(?:(?<![\w$.])(?P<key>var|const|declare)[\x20\t]+)?(?<![\w$.@])@?(?P<name>[A-Za-z_$][\w$]*+)[\x20\t]+(?P<type>(?:\*|\[\w*\]|map\[[\w.]*\])*+[A-Za-z_][\w.]*+(?:{_GROUP})?)[\x20\t]*\Z",
+    re.I | re.A,
+)
+#: Characters before ``=`` that are searched for such a declaration.
+_BACK = 240
+# Words that stand before a name, and types that stand before or behind one.
+_KEYWORDS = {"var", "const", "let", "val", "static", "final", "export", "declare", "public", "private", "protected", "return", "set", "local", "type", "and", "or", "with", "def", "my", "our", "readonly"}
+_TYPES_FIRST = {"char", "string", "str", "auto", "wchar_t", "int", "long", "object", "unsigned", "byte", "bool", "dynamic", "qstring", "text", "charsequence"}
+_TYPES_LAST = {"string", "byte", "rune", "error", "any", "varchar", "nvarchar", "char", "nchar", "text"}
 _JOIN = re.compile(r"[\x20\t]*\+[\x20\t]*|[\x20\t]+(?=[\"'])")
 
 
@@ -63,6 +93,21 @@ def _target(text: str, at: int) -> str:
     return text[start:end]
 
 
+def _name_before_type(text: str, at: int) -> str:
+    """The name of ``var name type`` or ``name type`` that ends before ``at``; empty where the last word is the name."""
+    m = _NAME_TYPE.search(text, max(0, at - _BACK), at)
+    if not m or m["name"].lower() in _KEYWORDS:
+        return ""
+    key, name, kind = (m["key"] or "").lower(), m["name"], m["type"]
+    if key in ("var", "declare"):
+        return name
+    if name.lower() in _TYPES_FIRST:
+        return ""
+    if re.split(r"[(<{]|\]", kind.lower().lstrip("*"))[-1] in _TYPES_LAST or kind.lower().split("(")[0] in _TYPES_LAST:
+        return name
+    return name if key and name[0].islower() and (kind[0].isupper() or not kind[0].isalpha() or "." in kind) else ""
+
+
 def name_weight(name: str) -> int:
     """The largest sum of weights of the words of a name, or of two written as one."""
     words = [w.lower() for w in _WORD.findall(name)]
@@ -109,20 +154,32 @@ def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals assigned to sensitive names, constants followed."""
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     found: set[tuple[int, int]] = set()
+    typed: dict[int, str] = {}  # names of typed targets by the place of their ``=``
     skip = 0
     for m in _MARK.finditer(text):
         at, end = m.span()
         if at < skip:
             continue
         before, after = text[at - 1] if at else " ", text[end] if end < len(text) else " "
-        if text[at] == "=" and (after == "=" or before in "=!<>"):
+        if text[at] == "=" and at not in typed and (after == "=" or before in "=!<>"):
             continue  # a comparison
         if text[at] == ":" and (after in "/:" or before == ":"):
             continue  # a URL or a scope
         if after in "=>":  # := and =>
             end += 1
             skip = end
-        name = _target(text, at)
+        name = typed.pop(at, "")
+        of_type = bool(name)
+        if text[at] == ":" and end == at + 1:
+            kind = _TYPE.match(text, end)
+            if kind and (whose := _target(text, at - (before in "?!"))):
+                typed[kind.end()] = whose
+                if not kind["quoted"]:
+                    skip = kind.end()
+                    continue
+        elif not of_type:
+            name = _name_before_type(text, at)
+        name = name or _target(text, at)
         if not name:
             continue
         start = _GAP.match(text, end).end()

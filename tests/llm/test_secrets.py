@@ -43,6 +43,32 @@ def test_assignments():
     assert found('"clientSecret" => "zz81kq0plm2"') == ["zz81kq0plm2"]
 
 
+def test_typed_declarations():
+    for text in (
+        'api_secret: str = "{}"', 'api_secret: Optional[str]="{}"', 'def f(api_secret: str | None = "{}", n: int = 3)', 'api_secret: "str" = "{}"',
+        "const token: string = '{}';", "private token?: Array<string> = '{}'", "let token: Map<string, () => void> = '{}'",
+        'let password: &str = "{}";', 'const API_KEY: &\'static str = "{}";', 'let mut password: std::borrow::Cow<\'_, str> = "{}";',
+        'var dbPassword string = "{}"', 'const apiKey string = "{}"', '\tdbPassword string = "{}"', 'var dbPassword config.Value = "{}"', "var dbPassword []byte = '{}'",
+        "DECLARE @password NVARCHAR(50) = '{}'", 'Password : constant String := "{}";', 'val password: String = "{}"',
+        'String password = "{}"', 'const char *password = "{}"', 'const std::string password = "{}"', 'let password = "{}"', 'var password = "{}"', "private string $password = '{}'",
+    ):
+        assert found(text.format("q8Zr1Lx0Pm")) == ["q8Zr1Lx0Pm"], text
+
+
+def test_types_are_no_constants():
+    assert found('title: str = "a8Zr1Lx0Pm"\npassword: str = other\n') == []
+    assert found('title: str = "a8Zr1Lx0Pm"\npassword: str = "q8Zr1Lx0Pm"\n') == ["q8Zr1Lx0Pm"]
+    assert found('var title string = "a8Zr1Lx0Pm"\nvar password = string\n') == []
+    assert found('k: Final[str] = "s3cr3tV4lue99"\npasswd: str = k\n') == ["s3cr3tV4lue99"]
+    assert found('var k string = "s3cr3tV4lue99"\npasswd = k\n') == ["s3cr3tV4lue99"]
+    assert found("password: q8Zr1Lx0Pm=\ntoken: q9Zr1Lx0Pm=x\n") == ["q8Zr1Lx0Pm=", "q9Zr1Lx0Pm=x"]
+
+
+def test_typed_marks_take_linear_time():
+    for text in ("a:[" * 60000, "a: b<" * 40000, "var a = " * 30000, "a:" + "b|" * 60000, "a: &" * 50000):
+        secrets.literals(text)
+
+
 def test_what_is_no_secret():
     assert found('password = "changeme123"') == []
     assert found('token == "q8Zr1Lx0Pm"') == []
