@@ -38,7 +38,9 @@ NAME_WEIGHT = {
     "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "apikey": 3, "token": 3,
     "credential": 3, "credentials": 3, "private": 2, "auth": 2, "bearer": 2, "access": 1, "key": 1, "pass": 2,
 }
-PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "none", "null", "true", "false", "todo", "test")
+#: These stand for no secret as whole words of a value, the ones of ``PLACEHOLDERS`` also inside a word.
+PLACEHOLDER_WORDS = ("none", "null", "true", "false", "todo", "test")
+PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx")
 LEAST = 5
 
 _MARK = re.compile(r"[:=]")
@@ -116,10 +118,22 @@ def name_weight(name: str) -> int:
     return max(alone, pairs)
 
 
+_INSIDE = re.compile("|".join(p if len(set(p)) > 1 else f"{p}+" for p in map(re.escape, PLACEHOLDERS)), re.I)
+_RUN = re.compile(r"[A-Za-z0-9]{6,}")
+
+
+def _stands_in(value: str) -> bool:
+    """Whether a value has a placeholder and nothing beside it that looks random: a run of mixed letters and digits, or of very short words."""
+    rest = _WORD.sub(lambda m: " " if m.group().lower() in PLACEHOLDER_WORDS else m.group(), _INSIDE.sub(" ", value))
+    if rest == value:
+        return False
+    mixed = lambda r: any(c.isdigit() for c in r) and any(c.isalpha() for c in r)
+    return not any(mixed(r) or len(r) < 3 * len(_WORD.findall(r)) for r in _RUN.findall(rest))
+
+
 def value_weight(value: str) -> int:
     """How much a value looks like a secret: length, mixed characters, entropy; less for words and stand-ins."""
-    low = value.lower()
-    if len(value) < 6 or value.startswith(("$", "<", "{", "%")) or any(p in low for p in PLACEHOLDERS):
+    if len(value) < 6 or value.startswith(("$", "<", "{", "%")) or _stands_in(value):
         return -9
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())

@@ -78,6 +78,13 @@ def test_what_is_no_secret():
     assert found('title = "a8Zr1Lx0Pm"') == []
 
 
+def test_placeholders_are_words_not_parts_of_values():
+    for value in ("sk_test_4eC39HqLyjWDarjtT1zdp7dc", "Contest2024xQ", "nullable77Zx", "q8Zr1Lx0Pmtodo", "AbtrueZr81Lx", "example-q8Zr1Lx0Pm"):
+        assert found(f'password = "{value}"') == [value], value
+    for value in ("test1234", "changeme123", "ChangeMe123", "your_token_here", "auth-your-key", "xxxxxxxxxxxx", "none-null", "TestTest", "placeholder", "true_or_false"):
+        assert found(f'auth_token = "{value}"') == [], value
+
+
 def test_awkward_and_empty(spark):
     rows = secrets.scan_secrets(awkward(spark)).collect()
     assert len(rows) == len(awkward_rows())
