@@ -1,8 +1,9 @@
 """Cross-validated tree ensembles on one key's months, many keys and predictor sets at a time.
 
-A group is one key with one predictor set: its rows are the months of a record, some hundred. Spark
-deals the groups out; within one, trees are grown on presorted columns with numpy. Scores are of the
-same form as those of the ridge, so both go into one table.
+A group is one key with one predictor set, model and fold: its rows are the months of a record up to the
+end of the fold's test part, some hundred. Spark deals the groups out; within one, the trees of one ensemble
+are grown on presorted columns with numpy. Scores are of the same form as those of the ridge, so both go
+into one table.
 """
 
 from __future__ import annotations
@@ -92,23 +93,24 @@ def tree_cv(
     for more in parts[1:]:
         tall = tall.unionByName(more)
     kinds = [tall.schema[k] for k in keys]
+    dealt = tall.withColumn("fold", F.explode(F.sequence(F.greatest("block", F.lit(1)), F.lit(folds))))
+    dealt = dealt.withColumn("model", F.explode(F.array(F.lit("RF"), F.lit("GradBoost"))))
+
+    names = [*keys, "predictor_set", "model", "fold", "n_test", "r2", "mse"]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        head = {k: pdf[k].iloc[0] for k in [*keys, "predictor_set"]}
+        head = {k: pdf[k].iloc[0] for k in [*keys, "predictor_set", "model", "fold"]}
         x, y, block = pdf[sets[head["predictor_set"]]].to_numpy(float), pdf["_y"].to_numpy(float), pdf["block"].to_numpy()
-        out = []
-        for fold in range(1, folds + 1):
-            past, test = block < fold, block == fold
-            if not past.any() or not test.any():
-                continue
-            for model, fit in (("RF", forest(x[past], y[past], x[test], trees)), ("GradBoost", boosted(x[past], y[past], x[test], rounds))):
-                mse, spread = float(np.mean((y[test] - fit) ** 2)), float(np.var(y[test]))
-                out.append({**head, "model": model, "fold": fold, "n_test": int(test.sum()), "r2": 1 - mse / spread if spread > 0 else None, "mse": mse})
-        return pd.DataFrame(out, columns=[*keys, "predictor_set", "model", "fold", "n_test", "r2", "mse"])
+        past, test = block < head["fold"], block == head["fold"]
+        if not past.any() or not test.any():
+            return pd.DataFrame(columns=names)
+        fit = forest(x[past], y[past], x[test], trees) if head["model"] == "RF" else boosted(x[past], y[past], x[test], rounds)
+        mse, spread = float(np.mean((y[test] - fit) ** 2)), float(np.var(y[test]))
+        return pd.DataFrame([{**head, "n_test": int(test.sum()), "r2": 1 - mse / spread if spread > 0 else None, "mse": mse}], columns=names)
 
     schema = StructType(
         [*kinds, StructField("predictor_set", StringType()), StructField("model", StringType()), StructField("fold", IntegerType()),
          StructField("n_test", IntegerType()), StructField("r2", DoubleType()), StructField("mse", DoubleType())]
     )
-    return tall.groupBy(*keys, "predictor_set").applyInPandas(score, schema)
+    return dealt.groupBy(*keys, "predictor_set", "model", "fold").applyInPandas(score, schema)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -124,6 +125,21 @@ def test_tree_scores_beat_the_mean_where_there_is_a_signal(spark):
     assert all((s.r2 > 0.6) == (s.predictor_set == "good") for s in scores)
 
 
+def test_each_ensemble_is_a_group_of_its_own(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.random((60, 2)), rng.random(60)
+    df = spark.createDataFrame([(1, t, *map(float, x[t]), float(y[t])) for t in range(60)], "key int, t int, a double, b double, y double")
+    out = E.tree_cv(df, ["key"], {"both": ["a", "b"]}, "y", "t", trees=5, rounds=5)
+    groups = re.search(r"FlatMapGroupsInPandas \[([^\]]*)\]", plan(out)).group(1)
+    assert [g.split("#")[0] for g in groups.split(", ")] == ["key", "predictor_set", "model", "fold"]
+    want = {}
+    for fold in range(1, 6):
+        past, test = slice(0, 10 * fold), slice(10 * fold, 10 * fold + 10)
+        for model, fit in (("RF", E.forest(x[past], y[past], x[test], 5)), ("GradBoost", E.boosted(x[past], y[past], x[test], 5))):
+            want[model, fold] = (10, float(np.mean((y[test] - fit) ** 2)))
+    assert {(r.model, r.fold): (r.n_test, r.mse) for r in out.collect()} == want
+
+
 def test_infinities_and_nan_are_no_values(spark):
     rows = [(v,) for v in (0.7, float("inf"), float("-inf"), float("nan"), None)]
     df = spark.createDataFrame(rows, "value double")
