@@ -113,4 +113,7 @@ def tree_cv(
         [*kinds, StructField("predictor_set", StringType()), StructField("model", StringType()), StructField("fold", IntegerType()),
          StructField("n_test", IntegerType()), StructField("r2", DoubleType()), StructField("mse", DoubleType())]
     )
-    return dealt.groupBy(*keys, "predictor_set", "model", "fold").applyInPandas(score, schema)
+    # A number of partitions is given, because by their bytes the groups would be put together into one task.
+    group = [*keys, "predictor_set", "model", "fold"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *group).groupBy(*group).applyInPandas(score, schema)

@@ -138,6 +138,7 @@ def test_each_ensemble_is_a_group_of_its_own(spark, monkeypatch):
         for model, fit in (("RF", E.forest(x[past], y[past], x[test], 5)), ("GradBoost", E.boosted(x[past], y[past], x[test], 5))):
             want[model, fold] = (10, float(np.mean((y[test] - fit) ** 2)))
     assert {(r.model, r.fold): (r.n_test, r.mse) for r in out.collect()} == want
+    assert out.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
 
 
 def test_infinities_and_nan_are_no_values(spark):
