@@ -73,8 +73,6 @@ _NAME_TYPE = re.compile(
     rf"(?:(?<![\w$.])(?P<key>var|const|declare)[\x20\t]+)?(?<![\w$.@])@?(?P<name>[A-Za-z_$][\w$]*+)[\x20\t]+(?P<type>(?:\*|\[\w*\]|map\[[\w.]*\])*+[A-Za-z_][\w.]*+(?:{_GROUP})?)[\x20\t]*\Z",
     re.I | re.A,
 )
-#: Characters before ``=`` that are searched for such a declaration.
-_BACK = 240
 # Words that stand before a name, and types that stand before or behind one.
 _KEYWORDS = {"var", "const", "let", "val", "static", "final", "export", "declare", "public", "private", "protected", "return", "set", "local", "type", "and", "or", "with", "def", "my", "our", "readonly"}
 _TYPES_FIRST = {"char", "string", "str", "auto", "wchar_t", "int", "long", "object", "unsigned", "byte", "bool", "dynamic", "qstring", "text", "charsequence"}
@@ -95,9 +93,34 @@ def _target(text: str, at: int) -> str:
     return text[start:end]
 
 
-def _name_before_type(text: str, at: int) -> str:
-    """The name of ``var name type`` or ``name type`` that ends before ``at``; empty where the last word is the name."""
-    m = _NAME_TYPE.search(text, max(0, at - _BACK), at)
+def _declared_from(text: str, at: int, low: int) -> list[int]:
+    """Where ``name type`` that ends before ``at`` may start, with a word before it and without; one pass back, to ``low`` at most."""
+
+    def back(i: int, chars: str) -> int:
+        while i > low and (text[i - 1].isalnum() or text[i - 1] in chars):
+            i -= 1
+        return i
+
+    def gap(i: int) -> int:
+        while i > low and text[i - 1] in " \t":
+            i -= 1
+        return i
+
+    i, depth = gap(at), 0
+    while i > low and (depth or text[i - 1] in ")]}>"):
+        i -= 1
+        if text[i] in ")]}>" and not (text[i] == ">" and i > low and text[i - 1] in "-="):
+            depth += 1
+        elif text[i] in "([{<":
+            depth -= 1
+    name = back(gap(back(i, "_.*[]")), "_$")
+    name -= name > low and text[name - 1] == "@"
+    return [back(gap(name), "_$"), name]
+
+
+def _name_before_type(text: str, at: int, low: int) -> str:
+    """The name of ``var name type`` or ``name type`` between ``low`` and ``at``; empty where the last word is the name."""
+    m = next(filter(None, (_NAME_TYPE.match(text, i, at) for i in _declared_from(text, at, low))), None)
     if not m or m["name"].lower() in _KEYWORDS:
         return ""
     key, name, kind = (m["key"] or "").lower(), m["name"], m["type"]
@@ -120,56 +143,102 @@ def name_weight(name: str) -> int:
 
 _INSIDE = re.compile("|".join(p if len(set(p)) > 1 else f"{p}+" for p in map(re.escape, PLACEHOLDERS)), re.I)
 _RUN = re.compile(r"[A-Za-z0-9]{6,}")
+#: Character counts of a longer value are scaled down: only their shares matter then.
+_LARGE = 1e12
+
 
+class Value:
+    """What judging a value needs, added up over its parts, however often constants were joined.
 
-def _stands_in(value: str) -> bool:
-    """Whether a value has a placeholder and nothing beside it that looks random: a run of mixed letters and digits, or of very short words."""
-    rest = _WORD.sub(lambda m: " " if m.group().lower() in PLACEHOLDER_WORDS else m.group(), _INSIDE.sub(" ", value))
-    if rest == value:
-        return False
-    mixed = lambda r: any(c.isdigit() for c in r) and any(c.isalpha() for c in r)
-    return not any(mixed(r) or len(r) < 3 * len(_WORD.findall(r)) for r in _RUN.findall(rest))
+    The joined text itself is never built: a name doubled on each of n lines would make 2^n characters.
+    Parts are the values and spans joined here; characters are counted by their low eight bits.
+    """
+
+    __slots__ = ("parts", "length", "counts", "start", "digit", "letter", "space", "placeholder", "random")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None):
+        self.parts: list = [] if span is None else [span]
+        self.length = float(len(text))
+        self.counts: dict[int, float] = {}
+        for c in text:
+            self.counts[ord(c) & 255] = self.counts.get(ord(c) & 255, 0.0) + 1.0
+        self.start = text[:1]
+        self.digit, self.letter = any(c.isdigit() for c in text), any(c.isalpha() for c in text)
+        self.space = any(c.isspace() for c in text)
+        rest = _WORD.sub(lambda m: " " if m.group().lower() in PLACEHOLDER_WORDS else m.group(), _INSIDE.sub(" ", text))
+        self.placeholder = rest != text
+        mixed = lambda r: any(c.isdigit() for c in r) and any(c.isalpha() for c in r)
+        self.random = any(mixed(r) or len(r) < 3 * len(_WORD.findall(r)) for r in _RUN.findall(rest))
+
+    def add(self, other: Value) -> None:
+        if not self.length:
+            self.start = other.start
+        self.parts.append(other)
+        self.length += other.length
+        for c, n in other.counts.items():
+            self.counts[c] = self.counts.get(c, 0.0) + n
+        if self.length > _LARGE:
+            self.length /= 1e6
+            self.counts = {c: n / 1e6 for c, n in self.counts.items()}
+        for flag in ("digit", "letter", "space", "placeholder", "random"):
+            setattr(self, flag, getattr(self, flag) or getattr(other, flag))
+
+    def weight(self) -> int:
+        """How much the value looks like a secret: length, mixed characters, entropy; less for words and stand-ins.
+
+        A stand-in has a placeholder in one of its parts and no part with anything beside it that looks random:
+        a run of mixed letters and digits, or of very short words.
+        """
+        if self.length < 6 or self.start in ("$", "<", "{", "%") or (self.placeholder and not self.random):
+            return -9
+        total = sum(self.counts.values())
+        entropy = -sum(c / total * math.log2(c / total) for c in self.counts.values())
+        return (self.length >= 8) + (self.digit and self.letter) + (entropy >= 3) - 2 * self.space
 
 
 def value_weight(value: str) -> int:
-    """How much a value looks like a secret: length, mixed characters, entropy; less for words and stand-ins."""
-    if len(value) < 6 or value.startswith(("$", "<", "{", "%")) or _stands_in(value):
-        return -9
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    score = (n >= 8) + (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) + (entropy >= 3)
-    return score - 2 * any(c.isspace() for c in value)
-
-
-def _expression(text: str, at: int, known: dict) -> tuple[str, list[tuple[int, int]], bool] | None:
-    """(value, spans of the literals, whether all is constant) of the expression that starts at ``at``."""
-    value, spans, sure = [], [], True
+    """The weight of one literal."""
+    return Value(value).weight()
+
+
+def _report(value: Value, found: set[tuple[int, int]], seen: set[int]) -> None:
+    """Add the spans of a value; ``seen`` are values reported before, so that all calls together visit each once."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, tuple):
+            found.add(v)
+        elif id(v) not in seen:
+            seen.add(id(v))
+            todo += v.parts
+
+
+def _expression(text: str, at: int, known: dict[str, Value]) -> tuple[Value, bool] | None:
+    """The value of the expression that starts at ``at``, and whether all of it is constant."""
+    value, sure = Value(), True
     while m := _TERM.match(text, at):
-        quoted = m.group(3) is None
-        if quoted:
-            g = 1 if m.group(1) is not None else 2
-            value.append(m.group(g))
-            spans.append(m.span(g))
-        elif (name := m.group(3)) in known:
-            value.append(known[name][0])
-            spans += known[name][1]
+        if (g := m.lastindex) < 3:
+            value.add(Value(m.group(g), m.span(g)))
+        elif m.group(3) in known:
+            value.add(known[m.group(3)])
         else:
-            value.append(name)
-            spans.append(m.span(3))
+            value.add(Value(m.group(3), m.span(3)))
             sure = False
         more = _JOIN.match(text, m.end())
         if not more:
             break
         at = more.end()
-    return ("".join(value), spans, sure) if spans else None
+    return (value, sure) if value.parts else None
 
 
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals assigned to sensitive names, constants followed."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
+    reported: set[int] = set()
+    judged: list[Value] = []  # kept, so that an id names one value only
     typed: dict[int, str] = {}  # names of typed targets by the place of their ``=``
-    skip = 0
+    skip = low = 0  # low: behind the last ``=`` or line end, so that looking back costs one pass in all
     for m in _MARK.finditer(text):
         at, end = m.span()
         if at < skip:
@@ -192,7 +261,9 @@ def literals(text: str) -> list[tuple[int, int]]:
                     skip = kind.end()
                     continue
         elif not of_type:
-            name = _name_before_type(text, at)
+            low = max(low, text.rfind("\n", low, at) + 1)
+            name = _name_before_type(text, at, low)
+            low = end
         name = name or _target(text, at)
         if not name:
             continue
@@ -203,11 +274,12 @@ def literals(text: str) -> list[tuple[int, int]]:
         got = _expression(text, start, known)
         if got is None:
             continue
-        value, spans, sure = got
+        value, sure = got
         if sure and _NAME.fullmatch(name):
-            known[name] = (value, spans)
-        if weight and weight + value_weight(value) >= LEAST:
-            found.update(spans)
+            known[name] = value
+        if weight and weight + value.weight() >= LEAST:
+            judged.append(value)
+            _report(value, found, reported)
     return sorted(found)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import time
 from pathlib import Path
 
 from hypothesis import given, settings
@@ -55,6 +56,29 @@ def test_typed_declarations():
         assert found(text.format("q8Zr1Lx0Pm")) == ["q8Zr1Lx0Pm"], text
 
 
+def test_joined_constants_stay_small():
+    """A name doubled on each line stands for 2^n characters; none of them is built, and long chains cost what they are long."""
+    for lines in (64, 3000):
+        text = "a0 = 'k9Zr1Lx0Pm'\n" + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, lines)) + f"password = a{lines - 1}\n"
+        began = time.process_time()
+        assert found(text) == ["k9Zr1Lx0Pm"]
+        assert time.process_time() - began < 1
+    text = "a0 = 'k9'\n" + "".join(f"a{i} = a{i - 1} + 'x{i}'\n" for i in range(1, 2000)) + "".join(f"token = a{i}\n" for i in range(1000, 2000))
+    began = time.process_time()
+    assert len(found(text)) == 2000
+    assert time.process_time() - began < 4
+
+
+def test_long_declarations():
+    fields = ", ".join(f"f{i} int" for i in range(200))
+    assert found("var dbPassword func(" + fields + ") string = 'q8Zr1Lx0Pm'") == found("var dbPassword func(f int) string = 'q8Zr1Lx0Pm'")
+    assert found("DECLARE @password NVARCHAR(" + " " * 400 + "50) = 'q8Zr1Lx0Pm'") == ["q8Zr1Lx0Pm"]
+    began = time.process_time()
+    found("a b(" * 50_000 + "=" + "a b(" * 50_000 + "= x")
+    found("a = b; " * 30_000)
+    assert time.process_time() - began < 3
+
+
 def test_types_are_no_constants():
     assert found('title: str = "a8Zr1Lx0Pm"\npassword: str = other\n') == []
     assert found('title: str = "a8Zr1Lx0Pm"\npassword: str = "q8Zr1Lx0Pm"\n') == ["q8Zr1Lx0Pm"]
