@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, worker_cache
+from .common import Shared, mapped, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -168,12 +168,12 @@ class Codec:
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
 
-def _coder(shared):
+def _coder(path: str, shared: Shared):
     def make():
         held = worker_cache("bpe")
-        if held.get("path") != shared.value[0]:
+        if held.get("path") != path:
             held.clear()
-            held.update(path=shared.value[0], codec=Codec(shared.value[1]))
+            held.update(path=path, codec=Codec(shared.value))
         codec = held["codec"]
 
         def code(texts: pa.Array) -> list[pa.Array]:
@@ -192,8 +192,8 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None)
     null or empty text has no tokens. Repeated rows are encoded each. The ids are text, so that a row stays
     as compact as its document.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((path, Vocabulary.load(path)))
-    return mapped(docs, _coder(shared), "ids string, n_tokens long, decoded string", keep)
+    shared = Shared(docs.sparkSession, Vocabulary.load(path))
+    return mapped(docs, _coder(path, shared), "ids string, n_tokens long, decoded string", keep)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -175,6 +176,20 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndar
     return out, offsets
 
 
+class Shared:
+    """A broadcast value whose classes travel with it: workers need not be able to import this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self._held.value)
+
+    def unpersist(self) -> None:
+        self._held.unpersist()
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as this Python worker, across its tasks. Whoever fills it bounds it."""
     held = sys.modules.setdefault("marshlight_worker_cache", types.ModuleType("marshlight_worker_cache"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialise import materialise, release
-from .common import LOWER, U64, Powers, Rolling, joined_bytes, mixed, pieces, text_or_empty, word_bounds
+from .common import LOWER, U64, Powers, Rolling, Shared, joined_bytes, mixed, pieces, text_or_empty, word_bounds
 from .jaccard import _groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -326,9 +326,8 @@ def baum_welch(sequences: DataFrame, words: Words, states: int = STATES, iterati
     """Parameters after ``iterations`` over all of ``sequences`` (classes), and the log-likelihood before each."""
     overall = overall_classes(words)
     params, fits = first_guess(overall, states), []
-    context = sequences.sparkSession.sparkContext
     for _ in range(iterations):
-        shared = context.broadcast(params)
+        shared = Shared(sequences.sparkSession, params)
         counted = sequences.select("classes").mapInArrow(_learner(shared), "block int, sums binary")
         added = counted.repartition("block").mapInArrow(_adder, "block int, sums binary").collect()
         first, moves, fit = np.zeros(states), np.zeros((states, states)), 0.0
@@ -452,7 +451,7 @@ def score_documents(
     rated = met.mapInArrow(_rater(spark.sparkContext.broadcast((words.discount, words.slot_kinds))), "rid long, base double, known long, within double")
     rare = rated.groupBy("rid").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"), F.sum("within").alias("within"))
     scored = encoded.select("row", "rid", "held_out", "n_tokens", "classes").mapInArrow(
-        _scorer(spark.sparkContext.broadcast((params, words))), f"{kind}, n_tokens long, known long, base double, forward double"
+        _scorer(Shared(spark, (params, words))), f"{kind}, n_tokens long, known long, base double, forward double"
     )
     both = scored.join(rare, "rid", "left")
     of = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialise import materialise, release
-from .common import U64, mapped, mixed, pieces, text_or_empty
+from .common import U64, Shared, mapped, mixed, pieces, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -233,7 +233,7 @@ def _scorer(shared) -> Callable:
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Documents with ``score``, the probability that the text is toxic; null and empty texts have one too."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     return mapped(docs, _scorer(shared), "score double", keep)
 
 
