@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, hmm, jaccard, secrets, sharding, suffix_dedup, toxicity, url_filter
+from . import bpe, decontamination, exact_dedup, hmm, jaccard, packing, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import id_remainder, table
 from .url_sql import verdict_sql
 
@@ -168,3 +168,11 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(docs, keep=["doc_id"])
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op11_packing")
+def _(spark, sf_dir):
+    """All documents packed into sequences of 1024 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0, keep=["doc_id"])
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
