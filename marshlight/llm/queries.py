@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, hmm, jaccard, packing, secrets, sharding, suffix_dedup, toxicity, url_filter
+from . import bpe, decontamination, exact_dedup, hmm, jaccard, packing, prefix_trie, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import id_remainder, table
 from .url_sql import verdict_sql
 
@@ -176,3 +176,41 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0, keep=["doc_id"])
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+#: crc32 of the decimal conv_id, by bits.
+CRC_OF_CONV = """
+    xor(4294967295::UBIGINT, list_reduce(
+      list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      lambda a, b: list_reduce(CAST([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[]), lambda p, q: xor(p >> 1, 3988292384::UBIGINT * (p & 1)))))
+"""
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, r, x) AS w FROM t GROUP BY conv_id),
+    h AS (SELECT *, CAST({CRC_OF_CONV} % 6 AS BIGINT) AS h FROM o),
+    b AS (SELECT h.conv_id, list_concat(coalesce(p.w[1 : h.h], []), h.w[h.h + 1 :]) AS w FROM h LEFT JOIN o p ON p.conv_id = h.conv_id - h.conv_id % 100),
+    e AS (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM b),
+    n AS (
+      SELECT w[1 : d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CASE WHEN d = len(w) THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM e GROUP BY w[1 : d], d
+    ),
+    c AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY p[1 : d - 1]),
+    v AS (
+      SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(n.p[d].x) END AS saved
+      FROM n LEFT JOIN c ON c.p = n.p
+    ),
+    u AS (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS k FROM v),
+    s AS (SELECT p[1 : k] AS p, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY p[1 : k])
+    SELECT v.conv_id, v.d AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+    FROM v JOIN s ON s.p = v.p LEFT JOIN n q ON v.d > 0 AND q.p = v.p[1 : v.d - 1]
+    """,
+)
+def _(spark, sf_dir):
+    """The trie of all conversations, each with an opening of its hundred's first one."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie_nodes(prefix_trie.with_shared_openings(prefix_trie.turn_lists(turns)))
