@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, hmm, jaccard, packing, prefix_trie, secrets, sharding, suffix_dedup, toxicity, url_filter
+from marshlight.operators.materialise import materialise
+
+from . import bpe, conversation_repair, decontamination, exact_dedup, hmm, jaccard, packing, prefix_trie, secrets, sharding, suffix_dedup, toxicity, url_filter
 from .common import id_remainder, table
 from .url_sql import verdict_sql
 
@@ -178,12 +180,13 @@ def _(spark, sf_dir):
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-#: crc32 of the decimal conv_id, by bits.
-CRC_OF_CONV = """
+def crc_sql(text: str) -> str:
+    """crc32 of an ASCII text, by bits."""
+    return f"""
     xor(4294967295::UBIGINT, list_reduce(
-      list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      list_concat([4294967295::UBIGINT], list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS UBIGINT))),
       lambda a, b: list_reduce(CAST([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[]), lambda p, q: xor(p >> 1, 3988292384::UBIGINT * (p & 1)))))
-"""
+    """
 
 
 @query(
@@ -191,7 +194,7 @@ CRC_OF_CONV = """
     f"""
     WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
     o AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, r, x) AS w FROM t GROUP BY conv_id),
-    h AS (SELECT *, CAST({CRC_OF_CONV} % 6 AS BIGINT) AS h FROM o),
+    h AS (SELECT *, CAST({crc_sql('CAST(conv_id AS VARCHAR)')} % 6 AS BIGINT) AS h FROM o),
     b AS (SELECT h.conv_id, list_concat(coalesce(p.w[1 : h.h], []), h.w[h.h + 1 :]) AS w FROM h LEFT JOIN o p ON p.conv_id = h.conv_id - h.conv_id % 100),
     e AS (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM b),
     n AS (
@@ -214,3 +217,71 @@ def _(spark, sf_dir):
     """The trie of all conversations, each with an opening of its hundred's first one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return prefix_trie.trie_nodes(prefix_trie.with_shared_openings(prefix_trie.turn_lists(turns)))
+
+
+@query(
+    "op13_conversation_repair",
+    rf"""
+    WITH RECURSIVE c AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x,
+        {crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+      FROM conversations
+    ),
+    d AS (
+      SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+      FROM c WHERE k <> 0
+    ),
+    o AS (
+      SELECT *, row_number() OVER w AS i, lag(substr(r, 1, 1)) OVER w || substr(r, 1, 1) AS pair, right(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), 1) AS fin,
+        row_number() OVER (PARTITION BY conv_id, r, x ORDER BY turn NULLS FIRST, copy) AS nth
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x, copy)
+    ),
+    f AS (
+      SELECT conv_id, turn, i, r, x, substr(r, 1, 1) AS ini, pair, fin = '' AS blank, fin <> '' AND nth > 1 AS dup, fin <> '' AND nth = 1 AND fin NOT IN ('.', '!', '?') AS cut FROM o
+    ),
+    n AS (
+      SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(sum(blank::INT) AS BIGINT) AS blank, CAST(sum(dup::INT) AS BIGINT) AS duplicate,
+        CAST(sum(cut::INT) AS BIGINT) AS truncated, CAST(sum((pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au'))::INT) AS BIGINT) AS illegal
+      FROM f GROUP BY conv_id
+    ),
+    s AS (
+      SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, struct_pack(cost := CAST(0 AS BIGINT), audit := '', lines := CAST([] AS VARCHAR[])) AS best FROM n
+      UNION ALL
+      SELECT conv_id, i, st2, min(struct_pack(cost := cost, audit := audit, lines := lines)) FROM (
+        SELECT f.conv_id, f.i,
+          CASE WHEN e = 'D' THEN st1 WHEN e = 'R' THEN CASE WHEN st1 = 2 THEN 3 ELSE 2 END ELSE CASE ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS st2,
+          best.cost + 5 * k + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN cut AND e <> 'D' THEN 5 ELSE 0 END AS cost,
+          best.audit || repeat('I', k) || e AS audit,
+          list_concat(best.lines, ins, CASE e WHEN 'D' THEN [] WHEN 'K' THEN [r || ':' || x] ELSE [CASE WHEN st1 = 2 THEN 'assistant:' ELSE 'user:' END || x] END) AS lines
+        FROM (
+          SELECT *, CASE WHEN k = 0 THEN st WHEN (st = 2) = (k = 1) THEN 3 ELSE 2 END AS st1,
+            (CASE WHEN st = 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END)[1 : k] AS ins
+          FROM (SELECT *, unnest([0, 1, 2]) AS k FROM s)
+        ) q JOIN (SELECT *, unnest(['D', 'K', 'R']) AS e FROM f) f ON f.conv_id = q.conv_id AND f.i = q.i + 1
+        WHERE e = 'D' OR (NOT blank AND NOT dup AND (e = 'R' OR (ini = 's' AND st1 = 0) OR (ini = 'u' AND st1 <> 2) OR (ini = 'a' AND st1 = 2)))
+      ) GROUP BY conv_id, i, st2
+    ),
+    z AS (
+      SELECT s.conv_id, min(struct_pack(
+        cost := best.cost + CASE st WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, audit := best.audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+        lines := list_concat(best.lines, CASE st WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END))) AS best
+      FROM s JOIN n ON n.conv_id = s.conv_id AND n.n = s.i GROUP BY s.conv_id
+    )
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+      coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id = a.conv_id LEFT JOIN z ON z.conv_id = a.conv_id
+    """,
+)
+def _(spark, sf_dir):
+    """All conversations, damaged by a rule, with their faults and cheapest repair."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.damaged(turns)
+    plans = materialise(conversation_repair.plan_repairs(rows))
+    digests = conversation_repair.conversation_digests(conversation_repair.repaired_turns(rows, plans))
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    met = every.alias("a").join(plans.alias("p"), F.col("a.conv_id").eqNullSafe(F.col("p.conv_id")), "left")
+    met = met.join(digests.alias("d"), F.col("a.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
+    counts = [F.coalesce(F.col(f"p.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return met.select("a.conv_id", *counts, F.coalesce("p.audit", F.lit("")).alias("audit"), F.coalesce("d.sha256", nothing).alias("repaired_sha256"))
