@@ -1,9 +1,10 @@
 """Ids of whole texts by a byte-level tokenizer file, word by word.
 
-The file's own library gives the ids of every distinct word; the words of a slice are found in numpy, as the
-pattern of byte-level files cuts them (contractions, letters, numbers, other characters, white space, the
-first three kinds with one space before them), and looked up in a cache. Texts that hold a special token, or
-a character whose class may differ between Unicode tables, go to the library as they are.
+The words of a slice are found in numpy, as the pattern of byte-level files cuts them (contractions, letters,
+numbers, other characters, white space, the middle three kinds with one space before them), and looked up in a
+cache. New ones are merged by rank where the file's merges come in the order of the ids they make, as a rank then
+says all that a merge does; otherwise by the file's own library. Texts that hold a special token, or a
+character whose class may differ between Unicode tables, go to that library as they are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 import tokenizers
 from pyspark import cloudpickle
 
@@ -25,8 +27,8 @@ from .common import joined_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words that a worker remembers, and the longest one of them in characters.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words that a worker remembers, and the longest one of them in bytes.
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
 
@@ -76,6 +78,29 @@ def word_starts(points: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return start
 
 
+def _ranked(model: dict) -> tiktoken.Encoding | None:
+    """An encoder of single words by the ranks of their merges; None where these do not come in the order of the ids."""
+    vocab, plain = model.get("vocab"), ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in plain):
+        return None
+    made = [vocab["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    singles = {vocab.get(c) for c in byte_of}
+    if any(a >= b for a, b in zip(made, made[1:])) or None in singles or singles | set(made) != set(vocab.values()):
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+    return tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+
+def _as_bytes(words: pa.LargeStringArray) -> list[bytes]:
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    held = data.to_pybytes() if data is not None else b""
+    return [held[a:b] for a, b in zip(at, at[1:])]
+
+
 class ByteTokens:
     """Encoder of texts by the contents of a tokenizer file, without its truncation, padding and added tokens."""
 
@@ -88,8 +113,9 @@ class ByteTokens:
         self.by_word = (
             read.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         )
+        self.ranked = _ranked(read["model"]) if self.by_word else None
         self.special = [t["content"] for t in read.get("added_tokens", [])]
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,8 +130,9 @@ class ByteTokens:
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         at = np.flatnonzero((raw & 0xC0) != 0x80)  # byte of each code point
         bounds = np.searchsorted(at, offsets)
-        unsure = np.concatenate([[0], np.cumsum(_classes()[points] == _UNSURE)])
-        odd = unsure[bounds[1:]] > unsure[bounds[:-1]]
+        odd = np.zeros(len(texts), bool)
+        unsure = np.flatnonzero(_classes()[points] == _UNSURE)
+        odd[np.searchsorted(bounds, unsure, "right") - 1] = True
         for token in self.special:
             odd |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
         fresh = np.zeros(len(points) + 1, bool)
@@ -123,14 +150,21 @@ class ByteTokens:
         """Ids of the words between ``edges``, and the offsets in them of rows that hold words ``rows[i]`` to ``rows[i + 1]``."""
         words = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
         coded = words.dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [w for w in distinct if w not in self.words]
-        coded_new = self.library.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: array.array("I", e.ids).tobytes() for w, e in zip(new, coded_new)}
-        known = [self.words[w] if w in self.words else fresh[w] for w in distinct]
-        if len(self.words) + len(fresh) > CACHE_WORDS:
+        which = coded.indices.to_numpy()
+        distinct = _as_bytes(coded.dictionary)
+        known = list(map(self.words.get, distinct))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        fresh = [distinct[i].decode() for i in new]
+        if self.ranked is not None:
+            found = map(self.ranked.encode_ordinary, fresh)
+        else:
+            found = (e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False))
+        if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-        self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_CHARS)
+        for i, ids in zip(new, found):
+            known[i] = array.array("I", ids).tobytes()
+            if len(distinct[i]) <= CACHE_BYTES:
+                self.words[distinct[i]] = known[i]
         flat = np.frombuffer(b"".join(known), np.uint32)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         firsts = np.cumsum(sizes) - sizes

@@ -14,9 +14,11 @@ A task packs the rows that it reads, so nothing is shuffled, and holds one pool
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import sys
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +38,22 @@ POOL = 128
 
 def differenced(sizes: list[int], windows: int) -> list[list[int]]:
     """Indices of ``sizes`` by window, by multiway differencing; windows without any are left out."""
-    # A partition: (load, members) of its filled windows, fullest first; members are indices or pairs of members.
+    # A partition: (load, members) of its filled windows, emptiest first; members are indices or pairs of members.
     heap = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    count = len(heap)
+    count, load = len(heap), itemgetter(0)
     while len(heap) > 1:
         one, two = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         meet = len(one) + len(two) - windows  # so many windows are filled in both
-        if meet <= 0:
-            merged = one + two
+        if meet > 0:
+            both = [(a[0] + b[0], (a[1], b[1])) for a, b in zip(one[:meet], reversed(two[:meet]))]
+            one = sorted(one[meet:] + two[meet:] + both, key=load)
+        elif len(two) == 1:
+            bisect.insort(one, two[0], key=load)
         else:
-            merged = one[: len(one) - meet] + two[: len(two) - meet]
-            merged += [(a[0] + b[0], (a[1], b[1])) for a, b in zip(one[len(one) - meet :], reversed(two[len(two) - meet :]))]
-        merged.sort(key=lambda w: w[0], reverse=True)
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
-        heapq.heappush(heap, (-spread, count, merged))
+            one = sorted(one + two, key=load)
+        spread = one[-1][0] - (one[0][0] if len(one) == windows else 0)
+        heapq.heappush(heap, (-spread, count, one))
         count += 1
     return [_members(w[1]) for w in heap[0][2]] if heap else []
 

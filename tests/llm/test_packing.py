@@ -1,6 +1,7 @@
 """Packing: ids against the library, differencing against all partitions, every id in one piece, awkward rows."""
 
 import itertools
+import json
 import random
 import sys
 import zlib
@@ -39,6 +40,30 @@ def test_ids_equal_the_library():
     assert all(list(g) == ids_of(t)[:-1] for g, t in zip(got, texts))
 
 
+def test_every_token_is_its_own_encoding():
+    """Merging by rank alone equals merging by rules where each token of the vocabulary encodes to itself."""
+    assert CODER.ranked is not None
+    texts = {i: t for t, i in LIBRARY.get_vocab().items() if t != "<|endoftext|>"}
+    decoded = {i: LIBRARY.decoder.decode([t]) for i, t in texts.items()}
+    whole = {i: t for i, t in decoded.items() if "\ufffd" not in t}
+    assert len(whole) > 49_000
+    coded = LIBRARY.encode_batch_fast(list(whole.values()), add_special_tokens=False)
+    own = [CODER.ranked.encode_ordinary(t) for t in whole.values()]
+    assert own == [[i] for i in whole]
+    assert sum(e.ids != [i] for i, e in zip(whole, coded)) == sum(len(LIBRARY.pre_tokenizer.pre_tokenize_str(t)) > 1 for t in whole.values())
+
+
+def test_files_without_ranks():
+    """A vocabulary whose merges are not in the order of their ids is left to the library."""
+    spec = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    coder = ByteTokens(json.dumps(spec))
+    assert coder.ranked is None
+    library = tokenizers.Tokenizer.from_str(json.dumps(spec))
+    texts = ["the other heron's reed", " 12  wörds\n"]
+    assert [list(x) for x in coder.encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=40), st.integers(1, 9))
 def test_every_item_in_one_window(sizes, windows):
