@@ -14,9 +14,3 @@ def axis_band(axis: DataFrame, coord: str) -> Column:
     """Scalar subquery: four mean steps of an axis, so that a band holds about four entries."""
     step = (F.max(coord) - F.min(coord)) / F.nullif(F.count(coord) - 1, F.lit(0))
     return axis.agg(F.coalesce(F.nullif(4 * step, F.lit(0.0)), F.lit(1.0))).scalar()
-
-
-def not_below(band: Column, ranges: DataFrame, low: str, high: str, pieces: int = 1024) -> Column:
-    """The band, widened until no range is cut in more than ``pieces`` bands."""
-    longest = ranges.agg(F.coalesce(F.max(F.abs(F.col(high) - F.col(low))), F.lit(0.0))).scalar()
-    return F.greatest(band, longest / pieces)

@@ -258,16 +258,60 @@ def points_at_fraction(lines: DataFrame, fraction: float, low: float = 0.01, hig
     return got.withColumn("angle", angle).drop("_x2", "_y2")
 
 
+#: Segments, or boxes, in one box of the next level.
+FAN = 16
+
+
+def _boxes(seg: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """Boxes around ``FAN ** level`` segments in line, each with one place that is on the line."""
+    x, x2, y, y2 = (F.col(c) for c in ("x", "x2", "y", "y2"))
+    place = F.min_by(F.struct("x", "y"), "pos")
+    return seg.groupBy(*keys, F.floor(F.col("pos") / FAN**level).alias("box")).agg(
+        F.min(F.least(x, x2)).alias("w"), F.max(F.greatest(x, x2)).alias("e"), F.min(F.least(y, y2)).alias("s"), F.max(F.greatest(y, y2)).alias("n"), place.alias("on")
+    )
+
+
+def near_boxes(points: DataFrame, seg: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` with each ``box`` of ``FAN`` segments of their line that may hold the closest place.
+
+    Branch and bound from the largest boxes down: a box is no farther than the place on the line that it knows, and
+    no nearer than its sides; boxes beyond the nearest known place of a point are left out, the others opened.
+    """
+    most = seg.agg(F.max("pos")).first()[0] or 0
+    level = 1
+    while FAN ** (level + 1) <= most:
+        level += 1
+    found = points.withColumn("_p", F.monotonically_increasing_id())
+    found = materialise(found)
+    px, py = F.col("px"), F.col("py")
+    out = F.lit(0.0)
+    dx, dy = F.greatest(F.col("w") - px, px - F.col("e"), out), F.greatest(F.col("s") - py, py - F.col("n"), out)
+    mine = Window.partitionBy("_p")
+    inner = [*points.columns, "_p"]
+    for k in range(level, 0, -1):
+        boxes = _boxes(seg, keys, k)
+        if k == level:
+            met = found.join(boxes, keys)
+        else:
+            boxes = boxes.withColumn("_up", F.floor(F.col("box") / FAN))
+            met = found.withColumnRenamed("box", "_up").join(boxes, [*keys, "_up"]).drop("_up")
+        met = met.withColumns({"_least": F.hypot(dx, dy), "_known": F.hypot(F.col("on.x") - px, F.col("on.y") - py)})
+        met = met.withColumn("_best", F.min("_known").over(mine)).where(F.col("_least") <= F.col("_best") * (1 + 1e-12))
+        found = met.select(*inner, "box")
+    return found
+
+
 def project_on_lines(points: DataFrame, lines: DataFrame, keys: list[str] = LINE) -> DataFrame:
-    """Distance and chainage of the closest place on the line each point ``(keys, px, py)`` names."""
-    seg = segments(lines, keys)
-    j = points.join(seg, keys)
+    """Distance and chainage of the closest place on the line each point ``(keys, px, py)`` names; the first one of equals."""
+    seg = materialise(segments(lines, keys))
+    found = near_boxes(points, seg, keys)
+    j = found.join(seg.withColumn("box", F.floor(F.col("pos") / FAN)), [*keys, "box"])
     ux, uy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x")) * ux + (F.col("py") - F.col("y")) * uy) / (F.col("d") * F.col("d"))))
     dist = F.hypot(F.col("px") - F.col("x") - t * ux, F.col("py") - F.col("y") - t * uy)
     others = [c for c in points.columns if c not in keys]
     best = F.min_by(F.struct(dist.alias("distance"), (F.col("s0") + t * F.col("d")).alias("s_m")), F.struct(dist, F.col("pos")))
-    return j.groupBy(*keys, *others).agg(best.alias("b")).select(*keys, *others, "b.*")
+    return j.groupBy("_p", *keys, *others).agg(best.alias("b")).select(*keys, *others, "b.*")
 
 
 def longest_part(lines: DataFrame, key: str, part: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import polygons as P
+from .cover import SHIFT, cell, in_cells, inside_left
 from .levels import at_point, banded
 from .materialise import materialise, release
 
@@ -31,9 +32,6 @@ GRID = 2.0**36
 NEAR = 2.0 / GRID
 #: A vertex this near to the line between its neighbours is no corner.
 STRAIGHT = 4.0 / GRID
-#: Where cells start, in cells: off any coordinate that data are likely to have.
-SHIFT = 0.3819660112501051
-
 RULES = {
     "union": lambda a, b: (a > 0) | (b > 0),
     "difference": lambda a, b: (a > 0) & (b == 0),
@@ -49,29 +47,8 @@ def oriented_edges(polygons: DataFrame, label: str, layer: int = 0) -> DataFrame
     """Edges ``(label, layer, x1, y1, x2, y2)`` with the inside on the left, whichever way the rings were written."""
     part = F.struct(F.col(label).alias("label"), F.col("region").alias("region"), F.col("part").alias("part"))
     e = P.edges(polygons.withColumns({"part": part, "lon": snapped(F.col("lon")), "lat": snapped(F.col("lat"))}))
-    area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
-    turned = e.groupBy(*P.RING).agg(area.alias("_a")).select(*P.RING, ((F.col("_a") < 0) != (F.col("ring") > 0)).alias("_back"))
-    e = e.join(turned, P.RING).where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
-    way = lambda a, b: F.when(F.col("_back"), F.col(b)).otherwise(F.col(a)).alias(a)
-    return e.select(F.col("part.label").alias("label"), F.lit(layer).alias("layer"), way("x1", "x2"), way("y1", "y2"), way("x2", "x1"), way("y2", "y1"))
-
-
-def _cell(x: Column, size: float) -> Column:
-    return F.floor(x / size - SHIFT)
-
-
-def _in_cells(edges: DataFrame, size: float, ends: tuple[str, str, str, str]) -> DataFrame:
-    """One row per cell ``(iy, ix)`` that an edge passes through or nearly touches."""
-    x1, y1, x2, y2 = (F.col(c) for c in ends)
-    slack = 1e-6 * size
-    rows = F.sequence(_cell(F.least(y1, y2) - slack, size), _cell(F.greatest(y1, y2) + slack, size))
-    e = edges.withColumn("iy", F.explode(rows))
-    x_at = lambda y: F.when(y2 == y1, x1).otherwise(x1 + (y - y1) / (y2 - y1) * (x2 - x1))
-    low = F.greatest(F.least(y1, y2), (F.col("iy") + SHIFT) * size - slack)
-    high = F.least(F.greatest(y1, y2), (F.col("iy") + 1 + SHIFT) * size + slack)
-    flat = F.abs(y2 - y1) <= 2 * slack
-    xa, xb = F.when(flat, x1).otherwise(x_at(low)), F.when(flat, x2).otherwise(x_at(high))
-    return e.withColumn("ix", F.explode(F.sequence(_cell(F.least(xa, xb) - slack, size), _cell(F.greatest(xa, xb) + slack, size))))
+    e = inside_left(e, P.RING).where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    return e.select(F.col("part.label").alias("label"), F.lit(layer).alias("layer"), "x1", "y1", "x2", "y2")
 
 
 def _cell_size(edges: DataFrame) -> float:
@@ -81,7 +58,7 @@ def _cell_size(edges: DataFrame) -> float:
 
 def _split_points(edges: DataFrame, size: float) -> DataFrame:
     """``(id, px, py)``: where edges are crossed or touched by others of their label."""
-    cells = _in_cells(edges, size, ("x1", "y1", "x2", "y2"))
+    cells = in_cells(edges, size)
     a, b = cells.alias("a"), cells.alias("b")
     met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.iy") == F.col("b.iy")) & (F.col("a.ix") == F.col("b.ix")) & (F.col("a.id") < F.col("b.id")))
     c = lambda s, k: F.col(f"{s}.{k}")
@@ -140,16 +117,16 @@ def _covers(edges: DataFrame, size: float) -> DataFrame:
     crossed = edges.where(F.ceil(F.greatest(ay, by) / size - SHIFT) > F.ceil(F.least(ay, by) / size - SHIFT)).withColumn("iy", F.explode(lines))
     x = ax + (line(F.col("iy")) - ay) / (by - ay) * (bx - ax)
     down = -F.signum(by - ay)
-    crossed = crossed.groupBy("label", "iy", _cell(x, size).alias("ix")).agg(*[F.sum(down * F.col(f"d{k}")).alias(f"w{k}") for k in (0, 1)])
+    crossed = crossed.groupBy("label", "iy", cell(x, size).alias("ix")).agg(*[F.sum(down * F.col(f"d{k}")).alias(f"w{k}") for k in (0, 1)])
     middle = edges.withColumns({"mx": (ax + bx) / 2, "my": (ay + by) / 2})
-    middle = middle.withColumns({"iy": _cell(F.col("my"), size), "ix": _cell(F.col("mx"), size)})
+    middle = middle.withColumns({"iy": cell(F.col("my"), size), "ix": cell(F.col("mx"), size)})
     wanted = middle.select("label", "iy", "ix").distinct().withColumns({"w0": F.lit(0.0), "w1": F.lit(0.0), "wanted": F.lit(True)})
     before = Window.partitionBy("label", "iy").orderBy("ix").rangeBetween(Window.unboundedPreceding, -1)
     corner = crossed.withColumn("wanted", F.lit(False)).unionByName(wanted).select(
         "label", "iy", "ix", "wanted", *[F.coalesce(F.sum(f"w{k}").over(before), F.lit(0.0)).alias(f"w{k}") for k in (0, 1)]
     ).where("wanted").drop("wanted")
     # From the corner up its side and then east to the middle, past the edges of the cell.
-    near = _in_cells(edges, size, ("ax", "ay", "bx", "by")).select("label", "iy", "ix", *[F.col(c).alias(f"f_{c}") for c in ("id", "ax", "ay", "bx", "by", "d0", "d1")])
+    near = in_cells(edges, size, ("ax", "ay", "bx", "by")).select("label", "iy", "ix", *[F.col(c).alias(f"f_{c}") for c in ("id", "ax", "ay", "bx", "by", "d0", "d1")])
     met = middle.join(near, ["label", "iy", "ix"])
     fx, fy, gx, gy, mx, my = (F.col(c) for c in ("f_ax", "f_ay", "f_bx", "f_by", "mx", "my"))
     left, bottom = line(F.col("ix")), line(F.col("iy"))

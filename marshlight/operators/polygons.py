@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
-from .bands import axis_band, not_below
+from .cover import SHIFT, cell, cover_at, in_cells, inside_left, rises
+from .levels import at_point, banded, level_of
+from .materialise import materialise
 from .sequence import positions, with_next
 
 RING = ["region", "part", "ring"]
@@ -59,17 +61,15 @@ def area_km2(vertices: DataFrame) -> DataFrame:
 def row_spans(edge_table: DataFrame, rows: DataFrame, row: str = "iy", own: bool = False) -> DataFrame:
     """Inside intervals ``[x0, x1)`` of every region on every grid row (even-odd rule).
 
-    ``rows`` holds ``(row, lat)``. Edges meet rows by an equi-join on latitude bands sized to the
-    row step; with ``own`` the rows carry a region instead and meet only its edges.
+    ``rows`` holds ``(row, lat)``. Rows probe the edges at the level of each edge's own height; with
+    ``own`` the rows carry a region instead and meet only its edges.
     """
     y1, y2, lat = F.col("y1"), F.col("y2"), F.col("lat")
     slanted = edge_table.where(y1 != y2)
     if own:
         met = slanted.join(rows.select(row, "lat", "region"), "region")
     else:
-        band = not_below(axis_band(rows, "lat"), slanted, "y1", "y2")
-        spread = F.explode(F.sequence(F.floor(F.least(y1, y2) / band), F.floor(F.greatest(y1, y2) / band)))
-        met = slanted.withColumn("_band", spread).join(rows.select(row, "lat", F.floor(lat / band).alias("_band")), "_band")
+        met = at_point(rows.select(row, "lat"), "lat", banded(slanted, F.least(y1, y2), F.greatest(y1, y2)))
     hits = met.where((y1 > lat) != (y2 > lat)).withColumn(
         "x0", F.col("x1") + (lat - y1) / (y2 - y1) * (F.col("x2") - F.col("x1"))
     )
@@ -92,18 +92,14 @@ def cells_in_regions(cells: DataFrame, mask: DataFrame, carry: tuple[str, ...] =
 
 def points_in_regions(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Points ``(iy, lon)``, each with a row index of its own, tagged with the regions around them."""
-    s = spans.select("region", F.col("iy").alias("_iy"), "x0", "x1")
-    on = (F.col("iy") == F.col("_iy")) & (F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x1"))
-    return points.join(s, on).drop("_iy", "x0", "x1")
+    s = banded(spans.select("region", "iy", "x0", "x1"), F.col("x0"), F.col("x1"))
+    return at_point(points, "lon", s, on=["iy"]).where((F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x1"))).drop("x0", "x1")
 
 
 def region_mask(spans: DataFrame, cols: DataFrame) -> DataFrame:
-    """The cells ``(region, iy, ix, lat, lon)`` of every region, from spans and the column axis."""
-    band = not_below(axis_band(cols, "lon"), spans, "x0", "x1")
-    spread = F.explode(F.sequence(F.floor(F.col("x0") / band), F.floor(F.col("x1") / band)))
-    on_axis = cols.select("ix", "lon", F.floor(F.col("lon") / band).alias("_band"))
+    """The cells ``(region, iy, ix, lat, lon)`` of every region, from spans and the column axis, at the level of each span's width."""
     return (
-        spans.withColumn("_band", spread).join(on_axis, "_band")
+        at_point(cols.select("ix", "lon"), "lon", banded(spans, F.col("x0"), F.col("x1")))
         .where((F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x1")))
         .select("region", "iy", "ix", "lat", "lon")
     )
@@ -132,47 +128,70 @@ def touched_cells(edge_table: DataFrame, rows: DataFrame, cols: DataFrame, lat0:
     return centre.unionByName(border).distinct()
 
 
-def _under(y: Column, y0: Column, y1: Column) -> Column:
-    """Antiderivative in y of the height above ``y0``, held between 0 and ``y1 - y0``."""
-    h = F.greatest(F.least(y, y1), y0) - y0
-    return h * h / 2 + F.greatest(y - y1, F.lit(0.0)) * (y1 - y0)
+#: An edge is listed in cells down to this part of its extent (a power of two), and in larger ones along its path.
+FINEST = 10
+
+
+def _extent(a: str, b: str, c: str, d: str) -> Column:
+    return F.greatest(F.abs(F.col(b) - F.col(a)), F.abs(F.col(d) - F.col(c)))
+
+
+def edges_in_rects(rects: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """Pairs of rectangles ``(rect, west, south, east, north)`` and edges in a square ``(x0, y0, size)`` that both pass through.
+
+    Squares have the size of the rectangle, or a 1024th of the edge where that is larger; each rectangle lies
+    in four of a size at most, each edge is listed along its path for every size of rectangles. So a long edge
+    or a large rectangle widens nothing for the others. A pair may have several squares, which do not overlap.
+    """
+    r = rects.withColumn("_r", level_of(_extent("west", "east", "south", "north")))
+    e = edge_table.withColumn("_e", level_of(_extent("x1", "x2", "y1", "y2")) - FINEST)
+    sizes = r.agg(F.sort_array(F.collect_set("_r"))).scalar()
+    coarse = e.agg(F.sort_array(F.collect_set("_e"))).scalar()
+    e = e.withColumn("_sizes", sizes).withColumn("_m", F.explode(F.expr("array_distinct(transform(_sizes, l -> greatest(l, _e)))"))).drop("_sizes")
+    e = in_cells(e, F.pow(F.lit(2.0), F.col("_m")))
+    r = r.withColumn("_coarse", coarse).withColumn("_m", F.explode(F.expr("array_distinct(concat(array(_r), filter(_coarse, l -> l > _r)))"))).drop("_coarse")
+    size = F.pow(F.lit(2.0), F.col("_m"))
+    r = r.withColumn("iy", F.explode(F.sequence(cell(F.col("south"), size), cell(F.col("north"), size))))
+    r = r.withColumn("ix", F.explode(F.sequence(cell(F.col("west"), size), cell(F.col("east"), size))))
+    met = r.join(e, ["_m", "iy", "ix"]).where("_m = greatest(_r, _e)")
+    return met.withColumns({"size": size, "x0": (F.col("ix") + SHIFT) * size, "y0": (F.col("iy") + SHIFT) * size}).drop("_m", "_r", "_e")
 
 
 def overlaps(rects: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Exact area shared by rectangles ``(rect, west, south, east, north)`` and regions.
 
-    Each edge adds the signed area below it that falls in the rectangle; no clipped ring is built.
-    An edge meets the rectangles of its longitudes that lie below it, which suits blocks of some
-    degrees; the cells of a fine raster are selected by ``region_mask`` and ``touched_cells``.
-    Edges and rectangles meet by an equi-join on longitude bands as wide as the widest rectangle,
-    counted once per pair.
+    The cover at a rectangle's upper left corner, and the edges that pass through it, say all: no rectangle
+    meets an edge elsewhere, so the rows grow with the borders that are drawn and the pairs that share an area.
     """
-    widest = rects.agg(F.coalesce(F.max(F.col("east") - F.col("west")), F.lit(1.0))).scalar()
-    band = not_below(widest, edge_table, "x1", "x2")
+    e = materialise(inside_left(edge_table, RING).select("region", "x1", "y1", "x2", "y2"))
+    rects = materialise(rects.select("rect", "west", "south", "east", "north"))
     west, east, south, north = (F.col(c) for c in ("west", "east", "south", "north"))
-    x1, x2 = F.col("x1"), F.col("x2")
-    band_of = lambda x: F.floor(x / band)
-    e = edge_table.where(x1 != x2).withColumn("_e0", band_of(F.least(x1, x2)))
-    e = e.withColumn("_band", F.explode(F.sequence("_e0", band_of(F.greatest(x1, x2)))))
-    r = rects.withColumn("_r0", band_of(west)).withColumn("_band", F.explode(F.sequence("_r0", band_of(east))))
-    a, b = F.greatest(F.least(x1, x2), west), F.least(F.greatest(x1, x2), east)
-    y_at = lambda x: F.col("y1") + (x - x1) / (x2 - x1) * (F.col("y2") - F.col("y1"))
-    ya, yb = y_at(a), y_at(b)
-    flat = F.abs(yb - ya) < 1e-12
-    level = F.greatest(F.least((ya + yb) / 2, north), south) - south
-    slope = (_under(yb, south, north) - _under(ya, south, north)) / (yb - ya)
-    piece = F.signum(x1 - x2) * (b - a) * F.when(flat, level).otherwise(slope)
-    pairs = (
-        e.join(r, "_band")
-        .where((F.col("_band") == F.greatest("_e0", "_r0")) & (b > a) & (F.greatest("y1", "y2") > south))
-        .groupBy("rect", *RING).agg(F.sum(piece).alias("a"))
-    )
-    ring_area = F.abs("a") * F.when(F.col("ring") == 0, 1).otherwise(-1)
-    shared = pairs.groupBy("rect", "region").agg(F.sum(ring_area).alias("shared"))
+    x1, y1, x2, y2, x0, y0, size = (F.col(c) for c in ("x1", "y1", "x2", "y2", "x0", "y0", "size"))
+    met = edges_in_rects(rects, e)
+    # Part of the edge within rectangle and square, by its share from the first to the second end.
+    low_x, high_x, low_y, high_y = F.greatest(west, x0), F.least(east, x0 + size), F.greatest(south, y0), F.least(north, y0 + size)
+    dx, dy = x2 - x1, y2 - y1
+
+    def share(start: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        a, b = (low - start) / step, (high - start) / step
+        never = (step == 0) & ((start < low) | (start >= high))
+        return F.when(never, 2.0).when(step == 0, 0.0).otherwise(F.least(a, b)), F.when(step == 0, 1.0).otherwise(F.greatest(a, b))
+
+    ax, bx = share(x1, dx, low_x, high_x)
+    ay, by = share(y1, dy, low_y, high_y)
+    a, b = F.greatest(F.lit(0.0), ax, ay), F.least(F.lit(1.0), bx, by)
+    under = F.when(b > a, -(b - a) * dx * (y1 + (a + b) / 2 * dy - south)).otherwise(0.0)
+    x_top = x1 + (north - y1) / dy * dx
+    here = (x_top >= west) & (x_top < east) & (cell(x_top, size) == F.col("ix")) & (cell(north, size) == F.col("iy"))
+    beyond = F.when(((y1 > north) != (y2 > north)) & here, rises(y1, y2, north) * (east - x_top) * (north - south)).otherwise(0.0)
+    local = met.select("rect", "region", (under + beyond).alias("area"))
+    corners = cover_at(rects.select(F.col("rect").alias("point"), west.alias("px"), north.alias("py")), e)
     full = rects.select("rect", ((east - west) * (north - south)).alias("full"))
-    return shared.join(full, "rect").select(
-        "rect", "region", "shared", (F.col("shared") / F.col("full")).alias("fraction")
-    ).where(F.col("shared") > 1e-12)
+    whole = corners.select(F.col("point").alias("rect"), "region", F.lit(None).cast("double").alias("area"), "cover")
+    both = local.withColumn("cover", F.lit(0).cast("long")).unionByName(whole).groupBy("rect", "region").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"), F.sum("cover").alias("cover"))
+    shared = F.round(F.col("area") + F.col("cover") * F.col("full"), 12)  # sums of parts: halves and wholes come out as such
+    fraction = F.round(shared / F.col("full"), 12)
+    return both.join(full, "rect").select("rect", "region", shared.alias("shared"), fraction.alias("fraction")).where(F.col("shared") > 1e-12)
 
 
 def clip_half_plane(vertices: DataFrame, a: float, b: float, c: float) -> DataFrame:
