@@ -1,28 +1,21 @@
 """Small regressions from distributed sufficient statistics.
 
 A pass over the rows yields one cross-product table per key and fold block, with map-side combine.
-Everything after that, fold scores included, is computed from those tables: the grouped Python
-step sees a few hundred numbers per key, never the rows.
+Everything after that, fold scores included, is computed from those tables, in columns.
 """
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from . import solve as V
+from .materialise import materialise
 from .series import first_per_key
 
-# Grouped functions travel with the query, so workers need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def with_folds(rows: DataFrame, keys: list[str], order: str, folds: int) -> DataFrame:
     """Time-ordered blocks: block i > 0 is the test part of fold i, all blocks before it train it.
@@ -45,59 +38,94 @@ def cross_products(rows: DataFrame, keys: list[str], features: list[str], target
     return rows.groupBy(*keys).agg(F.array(*sums).alias("g"))
 
 
-def moments(rows: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:
-    """Count, means and upper triangle of the central cross products of [features, target], as one array per key.
+def centred_sums(rows: DataFrame, keys: list[str], blocks: list[str], values: str, width: int) -> DataFrame:
+    """Per key and block the matrix of the sums of z_i z_j, with z = [1, values less their mean of the key]; and these means.
+
+    ``values`` is an array of ``width`` numbers. Sums of blocks add up; about the mean of the key they lose no digits
+    to a mean that is large against the spread, as sums of the values themselves would.
+    """
+    mean = rows.groupBy(*keys).agg(F.array(*[F.avg(F.get(values, i)) for i in range(width)]).alias("centre"))
+    met = rows.join(mean, keys) if keys else rows.crossJoin(mean)
+    z = [F.lit(1.0), *[F.get(values, i) - F.get("centre", i) for i in range(width)]]
+    pairs = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+    # Written: inside a lambda the planner would put the array of all sums in place of its name, once per element.
+    sums = materialise(met.groupBy(*keys, "centre", *blocks).agg(F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]).alias("_g")))
+    size = width + 1
+    place = lambda low, high: (low * size - low * (low - 1) / 2 + high - low).cast("int")
+    every = F.sequence(F.lit(0), F.lit(width))
+    matrix = F.transform(every, lambda i: F.transform(every, lambda j: F.get("_g", place(F.least(i, j), F.greatest(i, j)))))
+    return sums.select(*keys, *blocks, "centre", matrix.alias("g"))
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda u, v: u + v))
+
+
+def solved(sums: DataFrame, features: int, standardise: bool) -> DataFrame:
+    """Ridge models of matrices ``g`` as ``centred_sums`` gives them, at strength ``alpha`` above 0; the target is the last value.
+
+    Adds n, scale, factor (of the scaled matrix with the strength on its diagonal), coef, the mean of every value
+    (``mean``, about ``centre``) and the intercept, which is not penalised. Features without spread have no weight.
+    """
+    top = F.get("g", 0)
+    out = sums.withColumns({"n": F.get(top, 0), "mean": F.transform(F.slice(top, F.lit(2), F.lit(features + 1)), lambda v: v / F.get(top, 0))})
+    about = lambda i, j, v: v - F.col("n") * F.get("mean", i) * F.get("mean", j)
+    cut = lambda row: F.slice(row, F.lit(2), F.lit(features + 1))
+    out = out.withColumn("_cross", F.transform(cut(F.col("g")), lambda row, i: F.transform(cut(row), lambda v, j: about(i, j, v))))
+    spread = F.transform(F.slice("_cross", F.lit(1), F.lit(features)), lambda row, i: F.sqrt(F.greatest(F.get(row, i) / F.col("n"), F.lit(0.0))))
+    out = out.withColumn("_spread", spread if standardise else F.array_repeat(F.lit(1.0), features))
+    # Null where a feature has no spread: it is left out of the system.
+    size = lambda s, i: F.greatest(F.lit(1.0), F.abs(F.get("centre", i) + F.get("mean", i))) * 1e-12
+    out = out.withColumn("_by", F.transform("_spread", lambda s, i: F.when(s > size(s, i), s)) if standardise else F.col("_spread"))
+    out = out.withColumn("scale", F.transform("_by", lambda s: F.coalesce(s, F.lit(1.0))))
+    scaled = lambda v, i, j: F.coalesce(v / F.get("_by", i) / F.get("_by", j), F.lit(0.0)) + F.when(i == j, F.col("alpha")).otherwise(0.0)
+    left = lambda rows: F.slice(rows, F.lit(1), F.lit(features))
+    out = out.withColumns({
+        "_matrix": F.transform(left(F.col("_cross")), lambda row, i: F.transform(left(row), lambda v, j: scaled(v, i, j))),
+        "_right": F.transform(left(F.get("_cross", features)), lambda v, i: F.coalesce(v / F.get("_by", i), F.lit(0.0))),
+    })
+    out = out.withColumn("factor", V.cholesky(F.col("_matrix")))
+    out = out.withColumn("_w", V.backward(F.col("factor"), V.forward(F.col("factor"), F.col("_right"))))
+    out = out.withColumn("coef", F.zip_with("_w", "scale", lambda w, s: w / s))
+    means = F.zip_with("centre", "mean", lambda c, m: c + m)
+    intercept = F.get(means, features) - V.dot(F.col("coef"), F.slice(means, F.lit(1), F.lit(features)))
+    return out.withColumn("intercept", intercept).drop("_cross", "_spread", "_by", "_matrix", "_right", "_w")
+
+
+def ridge_cv_sets(
+    rows: DataFrame, keys: list[str], sets: dict[str, list[str]], target: str, order: str, folds: int = 5,
+    alphas: list[float] = (1.0,), standardise: bool = True,
+) -> DataFrame:
+    """Scores ``(keys, predictor_set, alpha, fold, n_test, r2, mse)`` of time-series cross-validation of several predictor sets.
 
-    Means and covariances are updated about the running mean, so a mean that is large against the
-    spread costs no digits, as raw sums would.
+    A set uses the rows that are complete in it. All sets are summed in one pass, with narrow ones filled up with
+    zeros; folds are trained on the added sums of the blocks before them and scored from the sums of their own.
     """
-    z: list[Column] = [*[F.col(f).cast("double") for f in features], F.col(target).cast("double")]
-    n = F.count(F.lit(1)).cast("double")
-    pairs = [F.covar_pop(z[i], z[j]) * n for i in range(len(z)) for j in range(i, len(z))]
-    return rows.groupBy(*keys).agg(F.array(n, *[F.avg(c) for c in z], *pairs).alias("g"))
-
-
-class Moments:
-    """Rows by their number, means and central cross products; the target comes last."""
-
-    def __init__(self, n: float, mean: np.ndarray, cross: np.ndarray):
-        self.n, self.mean, self.cross = n, mean, cross
-
-    @staticmethod
-    def of(g, size: int) -> "Moments":
-        g = np.asarray(g, dtype=float)
-        cross = np.zeros((size, size))
-        cross[np.triu_indices(size)] = g[1 + size :]
-        return Moments(g[0], g[1 : 1 + size], cross + np.triu(cross, 1).T)
-
-    def __add__(self, other: "Moments") -> "Moments":
-        n = self.n + other.n
-        apart = other.mean - self.mean
-        cross = self.cross + other.cross + np.outer(apart, apart) * (self.n * other.n / n)
-        return Moments(n, self.mean + apart * (other.n / n), cross)
-
-
-def _ridge(m: Moments, alpha: float, standardise: bool):
-    """Coefficients on the original scale, with an unpenalised intercept."""
-    mean, my = m.mean[:-1], m.mean[-1]
-    xx, xy = m.cross[:-1, :-1], m.cross[:-1, -1]
-    spread = np.sqrt(np.maximum(np.diag(xx) / m.n, 0.0))
-    flat = spread <= 1e-12 * np.maximum(1.0, np.abs(mean))
-    scale = np.where(flat, 1.0, spread) if standardise else np.ones_like(spread)
-    xx, xy = xx / np.outer(scale, scale), xy / scale
-    if standardise:
-        xx[flat, :], xx[:, flat], xy[flat] = 0.0, 0.0, 0.0
-    inverse = np.linalg.pinv(xx + alpha * np.eye(len(xy)))
-    w = inverse @ xy
-    coef = w / scale
-    return my - coef @ mean, coef, inverse / np.outer(scale, scale), mean
-
-
-def _scored(m: Moments, intercept: float, coef: np.ndarray):
-    """SSE and SST of a block from its moments."""
-    c = np.append(-coef, 1.0)
-    sse = float(max(c @ m.cross @ c + m.n * (m.mean[-1] - intercept - coef @ m.mean[:-1]) ** 2, 0.0))
-    return m.n, sse, float(m.cross[-1, -1])
+    width = max(map(len, sets.values()))
+    known = lambda cols: F.array(*[F.col(c).cast("double") for c in cols])
+    choices = [F.struct(F.lit(name).alias("predictor_set"), known([*cols]).alias("x")) for name, cols in sets.items()]
+    chosen = rows.where(F.col(target).isNotNull()).select(*keys, order, F.col(target).cast("double").alias("_y"), F.explode(F.array(*choices)).alias("_s"))
+    whole = chosen.select(*keys, order, "_s.predictor_set", "_s.x", "_y").where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    filled = F.concat("x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("x")), F.array("_y"))
+    by = [*keys, "predictor_set"]
+    placed = with_folds(whole.withColumn("_z", filled), by, order, folds)
+    sums = centred_sums(placed, by, ["block"], "_z", width + 1)
+    listed = sums.groupBy(*by, "centre").agg(F.sort_array(F.collect_list(F.struct("block", "g"))).alias("_b"))
+    tried = listed.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    first = F.get("_b", 0)["g"]
+    tried = tried.withColumn("g", F.aggregate(F.slice("_b", F.lit(2), F.col("fold") - 1), first, lambda s, b: _added(s, b["g"])))
+    tried = tried.withColumn("_t", F.get("_b", F.col("fold"))["g"]).drop("_b")
+    fit = solved(tried, width, standardise)
+    # Errors about the centre: y - mean_y - coef (x - mean_x) = [shift, -coef, 1] z.
+    shift = V.dot(F.col("coef"), F.slice("mean", F.lit(1), F.lit(width))) - F.get("mean", width)
+    weights = F.concat(F.array(shift), F.transform("coef", lambda c: -c), F.array(F.lit(1.0)))
+    fit = fit.withColumn("_c", weights)
+    sse = F.greatest(V.dot(F.col("_c"), F.transform("_t", lambda row: V.dot(row, F.col("_c")))), F.lit(0.0))
+    n, last = F.get(F.get("_t", 0), 0), F.get("_t", width + 1)
+    sst = F.get(last, width + 1) - F.get(last, 0) * F.get(last, 0) / n
+    fit = fit.withColumns({"_sse": sse, "_sst": sst, "n_test": n.cast("int")})
+    r2 = F.when((F.col("n_test") >= 2) & (F.col("_sst") > 0), 1 - F.col("_sse") / F.col("_sst"))
+    return fit.select(*by, "alpha", "fold", "n_test", r2.alias("r2"), (F.col("_sse") / F.col("n_test")).alias("mse"))
 
 
 def ridge_cv(
@@ -105,32 +133,7 @@ def ridge_cv(
     alphas: list[float] = (1.0,), standardise: bool = True,
 ) -> DataFrame:
     """Scores ``(keys, alpha, fold, n_test, r2, mse)`` of time-series cross-validation."""
-    whole = rows.dropna(subset=[*features, target])
-    grams = moments(with_folds(whole, keys, order, folds), [*keys, "block"], features, target)
-    size, strengths = len(features) + 1, [float(a) for a in alphas]
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        blocks = [Moments.of(g, size) for g in pdf["g"]]
-        head = {k: pdf[k].iloc[0] for k in keys}
-        out = []
-        for alpha in strengths:
-            train = blocks[0]
-            for fold, test in enumerate(blocks):
-                if fold:
-                    intercept, coef, _, _ = _ridge(train, alpha, standardise)
-                    n, sse, sst = _scored(test, intercept, coef)
-                    r2 = 1 - sse / sst if n >= 2 and sst > 0 else None
-                    out.append({**head, "alpha": alpha, "fold": fold, "n_test": int(n), "r2": r2, "mse": sse / n})
-                    train = train + test
-        return pd.DataFrame(out, columns=[*keys, "alpha", "fold", "n_test", "r2", "mse"])
-
-    kinds = [grams.schema[k] for k in keys]
-    schema = StructType(
-        [*kinds, StructField("alpha", DoubleType()), StructField("fold", IntegerType()), StructField("n_test", IntegerType()),
-         StructField("r2", DoubleType()), StructField("mse", DoubleType())]
-    )
-    return grams.groupBy(*keys).applyInPandas(score, schema)
+    return ridge_cv_sets(rows, keys, {"": features}, target, order, folds, alphas, standardise).drop("predictor_set")
 
 
 def mean_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,28 +149,13 @@ def best_strength(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ridge_fit(rows: DataFrame, keys: list[str], features: list[str], target: str, alpha: float = 1.0, standardise: bool = True) -> DataFrame:
-    """Model per key: intercept, coefficients, feature means and the matrix of the hat values."""
-    grams = moments(rows.dropna(subset=[*features, target]), keys, features, target)
-    size = len(features) + 1
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            found = Moments.of(row["g"], size)
-            intercept, coef, inverse, mean = _ridge(found, alpha, standardise)
-            out.append({**{k: row[k] for k in keys}, "n": int(found.n), "intercept": float(intercept), "coef": coef.tolist(), "centre": mean.tolist(), "inverse": inverse.ravel().tolist()})
-        return pd.DataFrame(out, columns=[*keys, "n", "intercept", "coef", "centre", "inverse"])
-
-    numbers = ArrayType(DoubleType())
-    schema = StructType(
-        [*[grams.schema[k] for k in keys], StructField("n", IntegerType()), StructField("intercept", DoubleType()),
-         StructField("coef", numbers), StructField("centre", numbers), StructField("inverse", numbers)]
-    )
-    return grams.mapInPandas(lambda parts: (solve(p) for p in parts), schema)
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    """Model per key: n, intercept, coef, and for hat values the features' means (``centre``), ``scale`` and ``factor``."""
+    whole = rows.dropna(subset=[*features, target])
+    z = F.array(*[F.col(c).cast("double") for c in (*features, target)])
+    sums = centred_sums(whole.withColumn("_z", z), keys, [], "_z", len(features) + 1).withColumn("alpha", F.lit(float(alpha)))
+    fit = solved(sums, len(features), standardise)
+    means = F.slice(F.zip_with("centre", "mean", lambda c, m: c + m), F.lit(1), F.lit(len(features)))
+    return fit.select(*keys, F.col("n").cast("int").alias("n"), "intercept", "coef", means.alias("centre"), "scale", "factor")
 
 
 def predict(rows: DataFrame, model: DataFrame, keys: list[str], features: list[str], name: str = "predicted") -> DataFrame:
@@ -175,7 +163,7 @@ def predict(rows: DataFrame, model: DataFrame, keys: list[str], features: list[s
     x = F.array(*[F.col(f).cast("double") for f in features])
     m = model.select(*keys, "intercept", "coef")
     joined = rows.join(m, keys) if keys else rows.withColumns({c: model.select(c).scalar() for c in ("intercept", "coef")})
-    return joined.withColumn(name, F.col("intercept") + _dot(F.col("coef"), x)).drop("intercept", "coef")
+    return joined.withColumn(name, F.col("intercept") + V.dot(F.col("coef"), x)).drop("intercept", "coef")
 
 
 def leave_one_out(rows: DataFrame, keys: list[str], features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
@@ -193,13 +181,12 @@ def leave_one_out(rows: DataFrame, keys: list[str], features: list[str], target:
     usable = usable.drop("_rows", *[f"_gap_{f}" for f in features])
     model = ridge_fit(usable, keys, features, target, alpha)
     j = usable.join(model, keys)
-    x = F.zip_with(F.array(*features), F.col("centre"), lambda a, b: a - b)
-    p = len(features)
-    row = lambda i: F.slice("inverse", i * p + 1, p)
-    hat = 1 / F.col("n") + sum((F.get(x, i) * _dot(row(i), x) for i in range(p)), F.lit(0.0))
-    fitted = F.col("intercept") + _dot(F.col("coef"), F.array(*features))
+    off = F.zip_with(F.array(*features), F.col("centre"), lambda a, b: a - b)
+    j = j.withColumn("_v", V.forward(F.col("factor"), F.zip_with(off, F.col("scale"), lambda a, b: a / b)))
+    hat = 1 / F.col("n") + V.dot(F.col("_v"), F.col("_v"))
+    fitted = F.col("intercept") + V.dot(F.col("coef"), F.array(*features))
     left = F.col(target) - (F.col(target) - fitted) / (1 - hat)
-    return j.withColumn("predicted", left).drop("n", "intercept", "coef", "centre", "inverse")
+    return j.withColumn("predicted", left).drop("n", "intercept", "coef", "centre", "scale", "factor", "_v")
 
 
 def metrics(df: DataFrame, keys: list[str], observed: str, predicted: str, back: bool = False) -> DataFrame:

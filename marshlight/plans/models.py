@@ -255,16 +255,74 @@ _MODELS = ["Ridge", "RF", "GradBoost"]
 
 
 def _ridge_cv(t):
-    """Mean ridge scores of every predictor set."""
-    rows = _features(t)
+    """Mean ridge scores of every predictor set that the trees are grown on."""
+    return M.mean_scores(M.ridge_cv_sets(_features(t), ["station"], _SETS, "q", "month"), ["station", "predictor_set"])
+
+
+_SEASON = ["month_sin", "month_cos"]
+_LAG_SETS = {
+    "rain": ["mm"], "storage": ["cm"], "inflow": ["qin"], "rain+storage": ["mm", "cm"], "rain+inflow": ["mm", "qin"], "storage+inflow": ["cm", "qin"], "all": ["mm", "cm", "qin"],
+}
+
+
+def _lag_columns(v: str) -> list[str]:
+    return [*[f"{v}_lag{k}" for k in S.LAGS], f"{v}_roll3m", f"{v}_roll6m"]
+
+
+_FULL_SETS = {name: [*_SEASON, *[c for v in drivers for c in _lag_columns(v)]] for name, drivers in _LAG_SETS.items()}
+
+
+def _full_features(t):
+    """Monthly rows per station: target q, all lags and rolling means of rain, storage and inflow, seasonality."""
+    x = t.rain.join(t.storage, "month").join(t.flow.withColumnRenamed("q", "qin"), "month").withColumn("key", F.lit(0))
+    return t.station.join(S.lag_features(x, ["key"], ["mm", "cm", "qin"]).drop("key"), "month")
+
+
+def _lags_sql(drivers: list[str], lags, windows) -> str:
+    made = [f"lag({v}, {k}) OVER w AS {v}_lag{k}" for v in drivers for k in lags]
+    made += [
+        f"CASE WHEN count({v}) OVER {f} >= {n // 2} THEN avg({v}) OVER {f} END AS {v}_roll{n}m"
+        for v in drivers for n in windows for f in [f"(ORDER BY month ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"]
+    ]
+    return ", ".join(made)
+
+
+def _complete_sql(features: str, sets: dict[str, list[str]]) -> str:
+    """Rows complete in each set: station, predictor_set, month, z (features, then the target)."""
+    season = "sin(2 * pi() * month(s.month) / 12) AS month_sin, cos(2 * pi() * month(s.month) / 12) AS month_cos"
     parts = [
-        M.mean_scores(M.ridge_cv(rows, ["station"], cols, "q", "month"), ["station"]).withColumn("predictor_set", F.lit(name))
-        for name, cols in _SETS.items()
+        f"SELECT station, '{name}' AS predictor_set, month, CAST([{', '.join(cols)}, q] AS DOUBLE[]) AS z FROM rows_ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)}" for name, cols in sets.items()
     ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    return f"rows_ AS (SELECT s.station, s.q, {season}, x.* FROM r_station s JOIN ({features}) x ON x.month = s.month), whole AS ({' UNION ALL '.join(parts)})"
+
+
+def ridge_sql(keys: str, folds: int, alphas: list[float], standardise: bool = True) -> str:
+    """CTEs from ``whole`` (keys, month, z) to ``scores`` (keys, alpha, fold, n_test, r2, mse): Cholesky factors and substitutions as folds over lists."""
+    a, b = (", ".join(f"{s}.{k.strip()}" for k in keys.split(",")) for s in "ab")
+    same = " AND ".join(f"b.{k.strip()} = a.{k.strip()}" for k in keys.split(","))
+    scale = "CASE WHEN s <= 1e-12 * greatest(1, abs(m)) THEN NULL ELSE s END" if standardise else "1e0"
+    return f"""
+    placed AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM whole WINDOW w AS (PARTITION BY {keys} ORDER BY month)),
+    fold_ AS (SELECT *, n // {folds + 1} AS size, n - ({folds + 1} - fold) * (n // {folds + 1}) AS a FROM placed, (SELECT unnest(range(1, {folds + 1})) AS fold) WHERE n >= {2 * folds}),
+    long_ AS (SELECT {keys}, fold, pos, pos < a AS train, len(z) AS p, unnest(range(1, len(z) + 1)) AS i, unnest(z) AS v FROM fold_ WHERE pos < a + size),
+    mean_ AS (SELECT {keys}, fold, p, i, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n FROM long_ WHERE train GROUP BY ALL),
+    unit_ AS (SELECT {keys}, fold, p, i, m, CASE WHEN i = p THEN 1e0 ELSE {scale} END AS s FROM mean_),
+    std_ AS (SELECT {a}, a.fold, a.pos, a.train, a.p, a.i, coalesce((v - m) / s, 0) AS u, v FROM long_ a JOIN unit_ b ON {same} AND b.fold = a.fold AND b.i = a.i),
+    cross_ AS (SELECT {a}, a.fold, a.p, a.i, b.i AS j, sum(a.u * b.u) AS c FROM std_ a JOIN std_ b ON {same} AND b.fold = a.fold AND b.pos = a.pos WHERE a.train AND (b.i <= a.i) GROUP BY ALL),
+    rows2_ AS (SELECT {keys}, fold, p, i, list(c ORDER BY j) AS row FROM cross_ GROUP BY ALL),
+    system_ AS (SELECT {keys}, fold, alpha, max(p) - 1 AS p, list(row ORDER BY i) FILTER (i < p) AS matrix, first(row ORDER BY i DESC) AS target FROM rows2_, (SELECT unnest({alphas!r}) AS alpha) GROUP BY ALL),
+    factor_ AS (
+      SELECT {keys}, fold, alpha, p, target, list_reduce(matrix, lambda done, wanted: list_append(done, list_reduce(wanted, lambda r, e: list_append(r,
+        CASE WHEN len(r) < len(done) THEN (e - coalesce(list_dot_product(r, done[len(r) + 1][1 : len(r)]), 0)) / done[len(r) + 1][len(r) + 1] ELSE sqrt(e + alpha - coalesce(list_dot_product(r, r), 0)) END),
+        CAST([] AS DOUBLE[]))), CAST([] AS DOUBLE[][])) AS f FROM system_
+    ),
+    half_ AS (SELECT *, list_reduce(target[1 : p], lambda y, e: list_append(y, (e - coalesce(list_dot_product(y, f[len(y) + 1][1 : len(y)]), 0)) / f[len(y) + 1][len(y) + 1]), CAST([] AS DOUBLE[])) AS y FROM factor_),
+    weight_ AS (SELECT {keys}, fold, alpha, list_reduce(list_reverse(range(1, p + 1)), lambda w, k: list_prepend((y[k] - coalesce(list_dot_product(list_transform(f[k + 1 :], lambda r: r[k]), w), 0)) / f[k][k], w), CAST([] AS DOUBLE[])) AS w FROM half_),
+    guess_ AS (
+      SELECT {a}, a.fold, alpha, pos, sum(CASE WHEN i < p THEN u * w[i] ELSE -u END) AS e, sum(CASE WHEN i = p THEN v END) AS y
+      FROM std_ a JOIN weight_ b ON {same} AND b.fold = a.fold WHERE NOT train GROUP BY ALL
+    ),
+    scores AS (SELECT {keys}, alpha, fold, count(*) AS n_test, CASE WHEN count(*) >= 2 AND var_pop(y) > 0 THEN 1 - avg(e * e) / var_pop(y) END AS r2, avg(e * e) AS mse FROM guess_ GROUP BY ALL)"""
 
 
 def _cv(t):
@@ -278,9 +336,19 @@ def _cv(t):
 _CVOUT = "station:i predictor_set:s cv_r2:f cv_mse:f cv_rmse:f"
 
 
-@query("st_09_time_series_cv", _CVOUT)
+_DRIVERS = "SELECT r.month, mm, cm, f.q AS qin FROM r_rain r JOIN r_storage s ON s.month = r.month JOIN r_flow f ON f.month = r.month"
+
+
+@query(
+    "st_09_time_series_cv",
+    _CVOUT,
+    f"""WITH {_complete_sql(f"SELECT month, {_lags_sql(['mm', 'cm', 'qin'], S.LAGS, (3, 6))} FROM ({_DRIVERS}) WINDOW w AS (ORDER BY month)", _FULL_SETS)},
+        {ridge_sql("station, predictor_set", 5, [1.0])}
+        SELECT station, predictor_set, round(avg(r2), 3) AS cv_r2, avg(mse) AS cv_mse, avg(sqrt(mse)) AS cv_rmse FROM scores GROUP BY station, predictor_set""",
+)
 def _(t):
-    return _ridge_cv(t)
+    """Ridge scores of seven predictor sets with seven lags and two rolling means of each driver."""
+    return M.mean_scores(M.ridge_cv_sets(_full_features(t), ["station"], _FULL_SETS, "q", "month"), ["station", "predictor_set"])
 
 
 @query("st_09c_three_models", "model:s " + _CVOUT)
@@ -314,7 +382,14 @@ def _(t):
     return M.best_strength(M.ridge_cv(t.station.join(t.rain, "month"), ["station"], ["mm"], "q", "month", alphas=[0.1, 1, 10, 100]), ["station"])
 
 
-@query("st_10_ridge_strength", "station:i alpha:f cv_mse:f")
+@query(
+    "st_10_ridge_strength",
+    "station:i alpha:f cv_mse:f",
+    f"""WITH {_complete_sql(f"SELECT month, {_lags_sql(['mm', 'cm'], (1, 2, 3), (3,))} FROM ({_DRIVERS.replace(', f.q AS qin', '').replace(' JOIN r_flow f ON f.month = r.month', '')}) WINDOW w AS (ORDER BY month)", {"both": _SETS["both"]})},
+        {ridge_sql("station", 4, [0.1, 0.3, 1, 3, 10, 30, 100], standardise=False)},
+        m AS (SELECT station, alpha, avg(mse) AS mse FROM scores GROUP BY station, alpha)
+        SELECT station, arg_min(alpha, struct_pack(a := mse, b := alpha)) AS alpha, min(mse) AS cv_mse FROM m GROUP BY station""",
+)
 def _(t):
     scores = M.ridge_cv(_features(t), ["station"], _SETS["both"], "q", "month", folds=4, alphas=[0.1, 0.3, 1, 3, 10, 30, 100], standardise=False)
     return M.best_strength(scores, ["station"])
@@ -373,7 +448,24 @@ def _(t):
     return M.forest_scores(_features(t), _SETS["both"], "q", F.year("month") <= 1999)
 
 
-@query("st_13_reservoir_times", "tau_h:f tau_d:f cv_rmse:f")
+_RESERVOIR = """SELECT o.month, tau, sum((1 - exp(-1 / tau)) * exp(-(o.k - p.k) / tau) * p.v) AS r FROM ({0}) o JOIN ({0}) p ON p.k <= o.k, (SELECT unnest({1}) AS tau) GROUP BY ALL"""
+_TRAINED = "(r - avg(r) FILTER (year(month) <= 1999) OVER (PARTITION BY tau)) / (stddev_pop(r) FILTER (year(month) <= 1999) OVER (PARTITION BY tau) + 1e-9)"
+
+
+def _driven(v: str) -> str:
+    return f"SELECT r.month, {v} AS v, row_number() OVER (ORDER BY r.month) AS k FROM r_rain r JOIN r_storage s ON s.month = r.month"
+
+
+@query(
+    "st_13_reservoir_times",
+    "tau_h:f tau_d:f cv_rmse:f",
+    f"""WITH h AS (SELECT month, tau, {_TRAINED} AS z FROM (SELECT * FROM ({_RESERVOIR.format(_driven("mm"), [2e0, 3e0, 4e0, 5e0, 6e0])}) WHERE month IN (SELECT month FROM r_flow))),
+        d AS (SELECT month, tau, {_TRAINED} AS z FROM (SELECT * FROM ({_RESERVOIR.format(_driven("cm"), [0.5, 1e0, 1.5, 2e0])}) WHERE month IN (SELECT month FROM r_flow))),
+        whole AS (SELECT h.tau AS tau_h, d.tau AS tau_d, h.month, [sin(2 * pi() * month(h.month) / 12), cos(2 * pi() * month(h.month) / 12), h.z, d.z, ln(1 + f.q)] AS z
+                  FROM h JOIN d ON d.month = h.month JOIN r_flow f ON f.month = h.month WHERE year(h.month) <= 1999),
+        {ridge_sql("tau_h, tau_d", 4, [1.0], standardise=False)}
+        SELECT tau_h, tau_d, avg(sqrt(mse)) AS cv_rmse FROM scores GROUP BY tau_h, tau_d ORDER BY cv_rmse, tau_h, tau_d LIMIT 1""",
+)
 def _(t):
     """Time constants with the lowest cross-validated error on the training years."""
     x = t.rain.join(t.storage, "month").withColumn("key", F.lit(0))

@@ -15,6 +15,7 @@ from marshlight.functions import text as T
 from marshlight.operators import regions as A
 from marshlight.operators import regress as M
 from marshlight.operators import series as S
+from marshlight.operators import solve as V
 from marshlight.operators import trees as E
 from marshlight.operators import zonal as Z
 from marshlight.operators.quantiles import exact_quantiles
@@ -95,13 +96,32 @@ def test_ridge_with_a_mean_far_above_the_spread(spark):
     assert far.cv_mse == pytest.approx(want.cv_mse, rel=1e-5) and far.cv_r2 == pytest.approx(want.cv_r2, abs=1e-3)
 
 
-def test_moments_add_up():
+def test_systems_solved_in_columns(spark):
     rng = np.random.default_rng(4)
-    rows = rng.normal(size=(90, 3)) + 50
-    whole = M.Moments(90, rows.mean(axis=0), (rows - rows.mean(axis=0)).T @ (rows - rows.mean(axis=0)))
-    part = lambda r: M.Moments(len(r), r.mean(axis=0), (r - r.mean(axis=0)).T @ (r - r.mean(axis=0)))
-    both = part(rows[:20]) + part(rows[20:])
-    assert both.n == 90 and np.allclose(both.mean, whole.mean) and np.allclose(both.cross, whole.cross)
+    rows, want = [], {}
+    for k, n in enumerate([1, 2, 5, 12]):
+        half = rng.normal(size=(n, n))
+        m, b = half @ half.T + 0.1 * np.eye(n), rng.normal(size=n)
+        rows.append((k, m.tolist(), b.tolist()))
+        want[k] = (np.linalg.cholesky(m), np.linalg.solve(m, b))
+    df = spark.createDataFrame(rows, "k int, m array<array<double>>, b array<double>").withColumn("f", V.cholesky(F.col("m")))
+    for r in df.withColumn("w", V.backward(F.col("f"), V.forward(F.col("f"), F.col("b")))).collect():
+        factor, w = want[r.k]
+        assert all(np.allclose(row, factor[i, : i + 1]) for i, row in enumerate(r.f)) and np.allclose(r.w, w)
+
+
+def test_sets_of_predictors_in_one_pass(spark):
+    """Each set as by itself: its own complete rows, its own folds."""
+    rng = np.random.default_rng(7)
+    rows = [(k, t, *(float(v) if rng.random() > 0.1 else None for v in rng.normal(size=3)), float(rng.normal())) for k in (1, 2) for t in range(60)]
+    df = spark.createDataFrame(rows, "key int, t int, a double, b double, c double, y double")
+    sets = {"a": ["a"], "all": ["a", "b", "c"], "bc": ["b", "c"]}
+    got = {(r.key, r.predictor_set, r.fold): (r.n_test, r.r2, r.mse) for r in M.ridge_cv_sets(df, ["key"], sets, "y", "t").collect()}
+    assert len(got) == 2 * 3 * 5
+    for name, cols in sets.items():
+        for r in M.ridge_cv(df, ["key"], cols, "y", "t").collect():
+            assert got[r.key, name, r.fold] == pytest.approx((r.n_test, r.r2, r.mse), rel=1e-9)
+    assert "Python" not in plan(M.ridge_cv_sets(df, ["key"], sets, "y", "t"))
 
 
 def test_trees_find_steps_and_respect_leaf_sizes():
