@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_spine, month_start, season_cos, season_sin, water_year
 from ..functions.raster import finite
+from .quantiles import exact_quantiles
 from .sequence import trailing_frame
 
 FLOOD_MONTHS = (3, 4, 5, 6, 7)
@@ -207,11 +208,11 @@ def arrival_months(
 ) -> DataFrame:
     """First flood-season month of each water year above a level; years that never reach it drop out.
 
-    The level is a quantile of the key's whole monthly series, or a fraction of the year's peak.
+    The level is a quantile of the key's whole series, found without holding it in one buffer, or a fraction of the year's peak.
     """
     seen = df.where(F.col(value).isNotNull()).withColumn("water_year", water_year(month, start_month))
     if fraction_of_peak is None:
-        level = seen.groupBy(*keys).agg(F.percentile(value, F.lit(quantile)).alias("_level"))
+        level = exact_quantiles(seen, keys, value, {"_level": quantile})
         tagged = seen.join(level, keys)
     else:
         level = seen.groupBy(*keys, "water_year").agg((F.max(value) * fraction_of_peak).alias("_level"))
@@ -286,10 +287,9 @@ def product_ranking(products: DataFrame, value: str, product: str = "dataset") -
 
 def by_month_box(df: DataFrame, value: str, month: str = "month") -> DataFrame:
     """Quartiles and mean per calendar month (one value per year and month)."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(F.month(month).alias("calendar_month")).agg(
-        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.avg(value).alias("mean")
-    )
+    by = df.withColumn("calendar_month", F.month(month))
+    boxes = exact_quantiles(by, ["calendar_month"], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return by.groupBy("calendar_month").agg(F.avg(value).alias("mean")).join(boxes, "calendar_month", "left").select("calendar_month", "q1", "median", "q3", "mean")
 
 
 def most_common(df: DataFrame, keys: list[str], label: str) -> DataFrame:

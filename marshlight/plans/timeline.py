@@ -258,28 +258,35 @@ def _(t):
     return S.ensemble_median(t.et, "mm")
 
 
-def _four(t):
-    pick = lambda name: t.et.where(F.col("dataset") == name).select("month", "mm")
-    return {"a": pick("1-URGENT"), "b": pick("2-HIGH").where("month(month) <> 6"), "c": t.rain, "d": t.storage.select("month", F.col("cm").alias("mm"))}
+#: Products of evaporation by the names that their columns get.
+_PRODUCTS = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unspecified": "4-NOT SPECIFIED", "low": "5-LOW"}
+_COLUMNS = [*_PRODUCTS, "rain", "storage", "inflow"]
 
 
-_WIDE = """(SELECT month, max(mm) FILTER (n = 'a') AS a, max(mm) FILTER (n = 'b') AS b, max(mm) FILTER (n = 'c') AS c, max(mm) FILTER (n = 'd') AS d FROM (
-  SELECT month, mm, 'a' AS n FROM r_et WHERE dataset = '1-URGENT' UNION ALL SELECT month, mm, 'b' FROM r_et WHERE dataset = '2-HIGH' AND month(month) <> 6
-  UNION ALL SELECT month, mm, 'c' FROM r_rain UNION ALL SELECT month, cm, 'd' FROM r_storage) GROUP BY month)"""
+def _tables(t):
+    """Every monthly table, with the months that each has."""
+    products = {name: t.et.where(F.col("dataset") == d).select("month", "mm") for name, d in _PRODUCTS.items()}
+    return products | {"rain": t.rain, "storage": t.storage.select("month", F.col("cm").alias("mm")), "inflow": t.flow.select("month", F.col("q").alias("mm"))}
 
 
-@query("jn_01_outer_align", "month:d a:f b:f c:f d:f", f"SELECT * FROM {_WIDE}")
+_WIDE = f"""(SELECT month, {', '.join(f"max(mm) FILTER (n = '{c}') AS {c}" for c in _COLUMNS)} FROM (
+  {' UNION ALL '.join(f"SELECT month, mm, '{n}' AS n FROM r_et WHERE dataset = '{d}'" for n, d in _PRODUCTS.items())}
+  UNION ALL SELECT month, mm, 'rain' FROM r_rain UNION ALL SELECT month, cm, 'storage' FROM r_storage UNION ALL SELECT month, q, 'inflow' FROM r_flow) GROUP BY month)"""
+_NUMBERS = " ".join(f"{c}:f" for c in _COLUMNS)
+
+
+@query("jn_01_outer_align", f"month:d {_NUMBERS}", f"SELECT * FROM {_WIDE}")
 def _(t):
-    return J.align(_four(t), "month", "mm")
+    return J.align(_tables(t), "month", "mm")
 
 
 @query(
     "jn_02_outer_merge_years",
-    "year:i a:f b:f c:f d:f",
-    f"""SELECT year(month) AS year, avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(d) AS d FROM {_WIDE} GROUP BY ALL""",
+    f"year:i {_NUMBERS}",
+    f"""SELECT year(month) AS year, {', '.join(f'avg({c}) AS {c}' for c in _COLUMNS)} FROM {_WIDE} GROUP BY ALL""",
 )
 def _(t):
-    return J.align({n: S.annual_mean(d, [], "mm") for n, d in _four(t).items()}, "year", "mm").orderBy("year")
+    return J.align({n: S.annual_mean(d, [], "mm") for n, d in _tables(t).items()}, "year", "mm").orderBy("year")
 
 
 @query(
@@ -358,12 +365,12 @@ def _(t):
     "ag_33_correlation_matrix",
     "part:s a:s b:s r:f",
     f"""WITH x AS (SELECT 'all' AS part, * FROM {_WIDE} UNION ALL SELECT CASE WHEN month(month) < 9 THEN 'early' ELSE 'late' END, * FROM {_WIDE})
-        {' UNION ALL '.join(f"SELECT part, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) AS r FROM x GROUP BY part" for a in 'abcd' for b in 'abcd')}""",
+        {' UNION ALL '.join(f"SELECT part, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) AS r FROM x GROUP BY part" for a in _COLUMNS for b in _COLUMNS)}""",
 )
 def _(t):
-    wide = J.align(_four(t), "month", "mm")
+    wide = J.align(_tables(t), "month", "mm")
     half = wide.withColumn("part", F.when(F.month("month") < 9, "early").otherwise("late"))
-    return S.correlation_matrix(wide.withColumn("part", F.lit("all")).unionByName(half), list("abcd"), ["part"])
+    return S.correlation_matrix(wide.withColumn("part", F.lit("all")).unionByName(half), _COLUMNS, ["part"])
 
 
 @query(
