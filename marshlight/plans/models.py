@@ -508,7 +508,35 @@ def _(t):
     return M.knock_out(rows, {"mm": 0.01, "cm": 0.002}, 0.3, {"rain": ["mm"], "storage": ["cm"]})
 
 
-@query("st_17_spline_gap_fill", "station:i month:d q:f filled:f")
+def _basis_sql(x: str) -> list[str]:
+    """Values at x of the three splines between the knots t1 and t2."""
+    left, right = "((t2 - t0) * (t2 - t1))", "((t3 - t1) * (t2 - t1))"
+    return [f"(t2 - {x}) * (t2 - {x}) / {left}", f"(({x} - t0) * (t2 - {x}) / {left} + (t3 - {x}) * ({x} - t1) / {right})", f"({x} - t1) * ({x} - t1) / {right}"]
+
+
+_MIDDLE = ["(lag(x, 2) OVER w + lag(x) OVER w) / 2e0", "(lag(x) OVER w + x) / 2e0", "(x + lead(x) OVER w) / 2e0", "(lead(x) OVER w + lead(x, 2) OVER w) / 2e0"]
+_KNOTS = ", ".join(f"CASE WHEN i + {k} >= n THEN max(x) OVER v WHEN i + {k} <= 2 THEN min(x) OVER v ELSE {m} END AS t{k}" for k, m in enumerate(_MIDDLE))
+
+
+@query(
+    "st_17_spline_gap_fill",
+    "station:i month:d q:f filled:f",
+    f"""WITH RECURSIVE s AS (
+         SELECT station, month, q, CAST(row_number() OVER w - 1 AS DOUBLE) AS x, count(q) OVER w - 1 AS i, count(q) OVER (PARTITION BY station) AS n
+         FROM {_SPINE} WINDOW w AS (PARTITION BY station ORDER BY month)),
+       g AS (SELECT *, sum((q IS NULL)::INT) OVER (PARTITION BY station, i) AS gap FROM s),
+       p AS (SELECT station, i, n, x, q AS y, {_KNOTS} FROM s WHERE q IS NOT NULL AND n >= 3 WINDOW w AS (PARTITION BY station ORDER BY x), v AS (PARTITION BY station)),
+       e AS (SELECT *, {', '.join(f"CASE WHEN i = 0 OR i = n - 1 THEN {end} ELSE {v} END AS {name}" for name, end, v in zip("abc", ("0e0", "1e0", "0e0"), _basis_sql("x")))} FROM p),
+       f AS (SELECT station, i, 0e0 AS cp, y AS dp FROM e WHERE i = 0
+             UNION ALL SELECT e.station, e.i, c / (b - a * cp), (y - a * dp) / (b - a * cp) FROM f JOIN e ON e.station = f.station AND e.i = f.i + 1),
+       r AS (SELECT f.station, f.i, dp AS w FROM f JOIN e ON e.station = f.station AND e.i = f.i AND f.i = n - 1
+             UNION ALL SELECT f.station, f.i, dp - cp * w FROM r JOIN f ON f.station = r.station AND f.i = r.i - 1),
+       o AS (SELECT p.*, lag(w) OVER (PARTITION BY p.station ORDER BY p.i) AS wl, w, lead(w) OVER (PARTITION BY p.station ORDER BY p.i) AS wr FROM p JOIN r ON r.station = p.station AND r.i = p.i),
+       h AS (SELECT g.*, CASE WHEN g.x < (a.x + b.x) / 2 THEN g.i ELSE g.i + 1 END AS near FROM g JOIN p a ON a.station = g.station AND a.i = g.i JOIN p b ON b.station = g.station AND b.i = g.i + 1
+             WHERE q IS NULL AND gap <= 2 AND g.n >= 3)
+       SELECT g.station, g.month, g.q, coalesce(g.q, {' + '.join(f"{w} * {v}" for w, v in zip(("wl", "w", "wr"), _basis_sql("h.x")))}) AS filled
+       FROM g LEFT JOIN h ON h.station = g.station AND h.month = g.month LEFT JOIN o ON o.station = h.station AND o.i = greatest(1, least(h.near, h.n - 2))""",
+)
 def _(t):
     return G.fill_gaps(S.on_month_spine(_sparse(t), ["station"]), ["station"], "q")
 

@@ -6,6 +6,7 @@ import shutil
 
 import numpy as np
 import pytest
+from conftest import plan
 from pyspark.sql import functions as F
 
 from marshlight.operators import budget as U
@@ -126,11 +127,58 @@ def test_spline_reproduces_a_parabola(spark):
             assert v == pytest.approx(y[i], abs=1e-8)
 
 
-def test_spline_interpolates_its_sites():
-    rng = np.random.default_rng(5)
-    x = np.array([0.0, 1, 2, 4, 5, 7, 8, 9])
-    y = rng.normal(size=8)
-    assert G.quadratic_spline(x, y, x) == pytest.approx(y)
+def dense_spline(x, y, at):
+    """Quadratic B-splines by the recurrence from degree 0, and one dense solve."""
+    middle = (x[1:] + x[:-1]) / 2
+    knots = np.concatenate([np.repeat(x[0], 3), middle[1:-1], np.repeat(x[-1], 3)])
+
+    def values(q):
+        inside = np.clip(np.searchsorted(knots, q, side="right") - 1, 2, len(x) - 1)
+        v = np.eye(len(knots) - 1)[inside]
+        for d in (1, 2):
+            rise, fall = knots[d:-1] - knots[: -d - 1], knots[d + 1 :] - knots[1:-d]
+            up = np.divide(q[:, None] - knots[: -d - 1], rise, out=np.zeros((len(q), len(rise))), where=rise > 0)
+            down = np.divide(knots[d + 1 :] - q[:, None], fall, out=np.zeros((len(q), len(fall))), where=fall > 0)
+            v = up * v[:, :-1] + down * v[:, 1:]
+        return v
+
+    return values(at) @ np.linalg.solve(values(x), y)
+
+
+def test_spline_equals_a_dense_solve(spark):
+    """Short and long series, gaps anywhere, chunks of seven readings."""
+    rng = np.random.default_rng(1)
+    rows, series = [], {}
+    for k, n in enumerate([2, 3, 4, 5, 9, 40, 300]):
+        y, gone = rng.normal(size=n).cumsum(), rng.random(n) < 0.25
+        if n < 6:
+            gone = np.arange(n) == (1 if n > 3 else -1)
+        series[k] = np.where(gone, np.nan, y)
+        rows += [(k, m, None if g else float(v)) for m, v, g in zip(months(n), y, gone)]
+    filled = G.fill_gaps(spark.createDataFrame(rows, "k int, month date, q double"), ["k"], "q", 2, chunk=7).orderBy("k", "month").collect()
+    count = 0
+    for k, y in series.items():
+        known = np.flatnonzero(~np.isnan(y))
+        got = [r.filled for r in filled if r.k == k]
+        assert len(got) == len(y) and all(got[i] == y[i] for i in known)
+        for i in np.flatnonzero(np.isnan(y)):
+            before, after = known[known < i], known[known > i]
+            if len(known) >= 3 and len(before) and len(after) and after[0] - before[-1] <= 3:
+                assert got[i] == pytest.approx(dense_spline(known.astype(float), y[known], np.array([float(i)]))[0], abs=1e-9)
+                count += 1
+            else:
+                assert got[i] is None
+    assert count > 50
+
+
+def test_a_long_system_is_solved_in_chunks(spark):
+    n = 40_000
+    f = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("i"), *[F.lit(v).alias(c) for c, v in (("a", 0.25), ("b", 0.5), ("c", 0.2))], (F.sin(F.col("id") / 9) + 0.1).alias("y")).repartition(6)
+    got = np.array([r.w for r in G.spline_weights(f, ["k"], 1000).orderBy("i").collect()])
+    y = np.sin(np.arange(n) / 9) + 0.1
+    left = 0.5 * got + 0.25 * np.concatenate([[0], got[:-1]]) + 0.2 * np.concatenate([got[1:], [0]])
+    assert np.abs(left - y).max() < 1e-9
+    assert "Python" not in plan(G.spline_weights(f, ["k"], 1000))
 
 
 @pytest.mark.parametrize("n", [5, 6, 12, 31])
