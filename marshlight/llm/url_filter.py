@@ -84,8 +84,9 @@ def train(labelled: DataFrame, order: int, limit: int) -> Model:
     grams = spots.select("verdict", F.explode(F.array(*[F.col(f"g{k}") for k in range(order + 1)])).alias("gram")).where("gram is not null")
     of = lambda v: F.sum((F.col("verdict") == v).cast("long"))
     counts = materialise(grams.groupBy("gram").agg(of("allow").alias("na"), of("block").alias("nb")))
-    total = counts.where(F.length("gram") == 1).agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
-    kept = counts.where(F.col("na") + F.col("nb") >= max(1, -(-total // limit))).withColumn("k", F.length("gram") - 1)
+    totals = counts.where(F.length("gram") == 1).agg(F.sum("na"), F.sum("nb")).first()
+    least = [max(1, -(-2 * (n or 0) // limit)) for n in totals]  # of each class's own positions, so that the rarer one keeps its strings
+    kept = counts.where((F.col("na") >= least[0]) | (F.col("nb") >= least[1])).withColumn("k", F.length("gram") - 1)
     kept = kept.withColumn("ctx", F.substr("gram", F.lit(1), F.col("k")))
     many = lambda c: F.sum((F.col(c) > 0).cast("long"))
     stats = materialise(kept.groupBy("ctx").agg(F.sum("na").alias("ta"), many("na").alias("da"), F.sum("nb").alias("tb"), many("nb").alias("db")))
@@ -146,18 +147,21 @@ def calibrated(scored: DataFrame) -> float:
 def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = 4, limit: int = 20_000) -> DataFrame:
     """Rows with host, path, rule (null without one), score and verdict ('allow' or 'block').
 
-    A null URL, or one without ``://``, has an empty host and path and is judged by the method on the
-    empty string. Repeated rows stay as they are, each judged alike. Without labelled URLs all scores are
+    The method judges the whole URL, its host in lower case and the rest as it stands, query and fragment included. A
+    null URL, or one without ``://``, has an empty host and path; a null one is judged as the empty string. Repeated rows stay as they are, each judged alike. Without labelled URLs all scores are
     0 and the verdict is 'allow'. One in 16 of labelled texts, three times over, calibrates: those whose
     MD5 starts with 0, 1 or 2. Columns named like those added are replaced; the others stay.
     """
     added = ["host", "path", "rule", "score", "verdict"]
     kept = [c for c in pages.columns if c not in added]
     host, path = url_parts(F.col("url").cast("string"))
-    found = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
+    found = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("chars"))
+    at = F.locate("://", F.col("chars"))
+    whole = F.concat(F.substr("chars", F.lit(1), at + 2), F.col("host"), F.substr("chars", at + 3 + F.length("host")))
+    found = found.withColumn("chars", F.when(at > 0, whole).otherwise(F.col("chars")))
     found = found.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     found = found.select(
-        F.monotonically_increasing_id().alias("rid"), "row", "host", "path", "found.rule", "found.verdict", F.concat("host", "path").alias("chars")
+        F.monotonically_increasing_id().alias("rid"), "row", "host", "path", "found.rule", "found.verdict", "chars"
     )
     staged = materialise(found)
     learns = ~F.substr(F.md5("chars"), F.lit(1), F.lit(1)).isin("0", "1", "2")
