@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Runs of 3, 4 and 5 characters of the lower-cased text (white space as one space, a space at both ends)
+Runs of 4 to 8 characters of the lower-cased text (white space as one space, a space at both ends)
 are hashed to ``SLOTS`` features; a feature is present or absent in a text. Over all labelled training rows
 the documents of each class that hold a feature are counted; with ``p`` and ``q`` the smoothed counts,
-each divided by its class's size, the feature's ratio is ``r = ln(p / q)``. The ``features`` whose counts
-differ most between the classes (log-likelihood ratio test) make up the model: logistic regression on the
-inputs ``r`` where present, 0 elsewhere, with an L2 penalty.
+each divided by its class's size, the feature's ratio is ``r = ln(p / q)``. All features that are commoner among
+toxic documents beyond chance (log-likelihood ratio test above ``LEAST_TEST``) make up the model, however many they
+are, so that a rare language keeps its own. It is a logistic regression with an L2 penalty on the inputs
+r / sqrt(m) where present, m the features of the model that a text holds, 0 elsewhere: a long text does not add
+up hundreds of weak signs. Both classes weigh the same.
 
 Counting uses all labelled rows. The regression is fitted in one task on about ``sample`` rows drawn by a
-hash of their number, a documented bound; each row holds at most ``features`` numbers. Scoring is a map over whole texts.
+hash of id and text, a documented bound. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ from .common import U64, Shared, mapped, mixed, pieces, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTHS = (3, 4, 5)
+LENGTHS = (4, 5, 6, 7, 8)
 SLOTS = 1 << 20
-FEATURES = 4096
+#: Of the test for a feature to enter the model: a chance of one in 600 for a single one.
+LEAST_TEST = 10.0
 SAMPLE = 20_000
 THRESHOLD = 0.7
 PENALTY = 1e-4
-STEPS = 300
+STEPS = 400
 #: Present features that a fitting step holds at a time.
 CHUNK = 1 << 21
 #: Slots that one row of a task's counts holds.
@@ -52,7 +55,7 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Odd multipliers of the characters of an n-gram, by place.
-_FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
+_FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
 def _grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -129,10 +132,10 @@ class Model:
     bias: float
 
 
-def ratios(counts: DataFrame, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen slots and their log-count ratios; at most ``features`` rows reach the driver.
+def ratios(counts: DataFrame, features: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen slots and their log-count ratios; at most ``SLOTS`` rows reach the driver.
 
-    Ties in the test go to the smaller slot.
+    All that pass the test, or only the ``features`` with the highest values of it; ties go to the smaller slot.
     """
     sizes = counts.where("slot < 0").first()
     if sizes is None:
@@ -144,9 +147,9 @@ def ratios(counts: DataFrame, features: int) -> tuple[np.ndarray, np.ndarray]:
     part = lambda x, row, col: F.when(x > 0, x * F.log(x * n / (row * col))).otherwise(0.0)
     test = part(a, seen, F.lit(pos)) + part(b, seen, F.lit(neg)) + part(c, n - seen, F.lit(pos)) + part(d, n - seen, F.lit(neg))
     ratio = F.log(((a + 1) / (pos + 1)) / ((b + 1) / (neg + 1)))
-    top = counts.where("slot >= 0").select("slot", test.alias("test"), ratio.alias("r")).orderBy(F.desc("test"), "slot").limit(features).collect()
-    top.sort(key=lambda r: r["slot"])
-    return np.array([r["slot"] for r in top], np.int64), np.array([r["r"] for r in top])
+    top = counts.where("slot >= 0").select("slot", (2 * test).alias("test"), ratio.alias("r")).where((F.col("test") > LEAST_TEST) & (F.col("r") > 0))
+    top = (top if features is None else top.orderBy(F.desc("test"), "slot").limit(features)).toArrow().sort_by("slot")
+    return top["slot"].to_numpy().astype(np.int64), top["r"].to_numpy()
 
 
 def _fitter(slots: np.ndarray, ratio: np.ndarray) -> Callable:
@@ -170,6 +173,11 @@ def _fitter(slots: np.ndarray, ratio: np.ndarray) -> Callable:
     return run
 
 
+def _size(rows: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows one over the root of the number of its features."""
+    return 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
+
+
 def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights (times the ratios) and bias of the penalised logistic regression, by Adam steps over all rows.
 
@@ -177,18 +185,20 @@ def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: np.ndarra
     """
     n, m = len(labels), len(ratio)
     theta, mean, square = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1)
-    rate = labels.mean()
-    theta[m] = np.log((rate + 1e-6) / (1 - rate + 1e-6))
+    toxic = labels.sum()
+    share = np.where(labels == 1, n / 2 / max(toxic, 1), n / 2 / max(n - toxic, 1)) / n if 0 < toxic < n else np.full(n, 1 / n)
+    size = _size(rows, n)
     parts = [slice(a, a + CHUNK) for a in range(0, len(rows), CHUNK)]
     for t in range(1, STEPS + 1):
         scaled = ratio * theta[:m]
         z = np.full(n, theta[m])
         for p in parts:
-            z += np.bincount(rows[p], scaled[cols[p]], n)
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
+            z += np.bincount(rows[p], scaled[cols[p]], n) * size
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * share
+        pulled = error * size
         slope = np.zeros(m)
         for p in parts:
-            slope += np.bincount(cols[p], error[rows[p]], m)
+            slope += np.bincount(cols[p], pulled[rows[p]], m)
         grad = np.append(slope * ratio + PENALTY * theta[:m], error.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
@@ -196,15 +206,16 @@ def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, ratio: np.ndarra
     return theta[:m] * ratio, float(theta[m])
 
 
-def train(labelled: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> Model:
-    """From rows of (text, toxic: 0 or 1). Without rows every text scores one half."""
-    rows = labelled.select(F.monotonically_increasing_id().alias("rid"), text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
+def train(labelled: DataFrame, features: int | None = None, sample: int = SAMPLE) -> Model:
+    """From rows of (text, toxic: 0 or 1) and perhaps _id, which the draw of the sample uses. Without rows every text scores one half."""
+    drawn_by = F.xxhash64(*[c for c in ("_id", "text") if c in labelled.columns])
+    rows = labelled.select(drawn_by.alias("draw"), text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
     staged = materialise(rows.where("toxic in (0, 1)"))
     partial = staged.select("text", "toxic").mapInArrow(_counter, "block int, toxic binary, clean binary")
     counts = materialise(partial.repartition("block").mapInArrow(_adder, "slot int, toxic long, clean long"))
     slots, ratio = ratios(counts, features)
     share = min(1.0, sample / max(1, staged.count()))
-    drawn = staged.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "toxic")
+    drawn = staged.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "toxic")
     got = drawn.repartition(1).mapInArrow(_fitter(slots, ratio), "weight double").collect() if len(slots) else []
     release(staged, counts)
     if not got:
@@ -223,7 +234,7 @@ def _scorer(shared) -> Callable:
 
         def score(texts: pa.Array) -> list[pa.Array]:
             row, slot = _features(texts, wanted)
-            z = np.bincount(row, weight[slot], len(texts)) + model.bias
+            z = np.bincount(row, weight[slot], len(texts)) * _size(row, len(texts)) + model.bias
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))]
 
         return score
@@ -232,17 +243,21 @@ def _scorer(shared) -> Callable:
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Documents with ``score``, the probability that the text is toxic; null and empty texts have one too."""
+    """Documents with ``score``, the probability that the text is toxic.
+
+    Null and empty texts have no features and score by the bias alone. Repeated rows score alike. A text is read
+    whole, however long; only its number of features in the model counts, not its length.
+    """
     shared = Shared(docs.sparkSession, model)
     return mapped(docs, _scorer(shared), "score double", keep)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, usable) -> DataFrame:
-    """(text, toxic) of the documents whose id is ``usable`` and labelled.
+    """(_id, text, toxic) of the documents whose id is ``usable`` and labelled.
 
     An id labelled more than once is toxic if any label says so; null labels and ids are left out. The join
     is by sorting at any size of the labels.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id"))
     known = known.agg(F.max("toxic").alias("toxic")).where(usable("_id"))
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(usable("_id")).join(known.hint("merge"), "_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(usable("_id")).join(known.hint("merge"), "_id").select("_id", "text", "toxic")

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import awkward, awkward_rows, documents, empty, sentence  # noqa: E402
@@ -40,13 +41,52 @@ def test_ratios_and_scores_by_hand(spark):
     model = toxicity.train(df, features=40)
     assert len(model.slots) == 40 and list(model.slots) == sorted(model.slots)
     weight = dict(zip(model.slots.tolist(), model.weights))
+    by_text = {t: toxicity._features(pa.array([t]), np.ones(toxicity.SLOTS, bool))[1].tolist() for t, _ in rows}
+    toxic = {s for t, y in rows if y for s in by_text[t]}
+    assert set(weight) <= toxic
     for text, label in rows:
-        z = model.bias + sum(weight.get(s, 0.0) for s in toxicity._features(pa.array([text]), np.ones(toxicity.SLOTS, bool))[1].tolist())
+        held = [weight[s] for s in by_text[text] if s in weight]
+        z = model.bias + sum(held) / max(len(held), 1) ** 0.5
         got = toxicity.score_documents(documents(spark, [(1, text)]), model).first()["score"]
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
         assert (got >= 0.7) == bool(label)
 
 
+def test_counts_and_ratios_against_sets(spark):
+    """Every feature of the model, its ratio and its test, from sets of n-grams."""
+    rng = random.Random(3)
+    rows = [(sentence(rng, 20) + (" snarkfish" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(200)]
+    staged = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    counts = staged.mapInArrow(toxicity._counter, "block int, toxic binary, clean binary").repartition("block").mapInArrow(toxicity._adder, "slot int, toxic long, clean long")
+    slots, ratio = toxicity.ratios(counts)
+    held = {}
+    for text, y in rows:
+        for s in set(toxicity._features(pa.array([text]), np.ones(toxicity.SLOTS, bool))[1].tolist()):
+            held.setdefault(s, [0, 0])[y] += 1
+    want = {}
+    for s, (b, a) in held.items():
+        cells = [(a, 50), (b, 150), (50 - a, 50), (150 - b, 150)]
+        seen = [a + b, a + b, 200 - a - b, 200 - a - b]
+        test = 2 * sum(x * np.log(x * 200 / (n * m)) for (x, n), m in zip(cells, seen) if x)
+        r = np.log((a + 1) / 51 / ((b + 1) / 151))
+        if test > toxicity.LEAST_TEST and r > 0:
+            want[s] = r
+    assert dict(zip(slots.tolist(), ratio.tolist())).keys() == want.keys() and len(want) > 30
+    assert all(abs(want[s] - r) < 1e-9 for s, r in zip(slots.tolist(), ratio.tolist()))
+
+
+def test_held_out_labels_by_language(spark):
+    """On labelled rows that were not learned from: nine of ten toxic ones found, in each language most, and clean ones left alone."""
+    folder = "/root/testdata/sf0.1"
+    scored = queries.QUERIES["op4_toxicity"](spark, folder).where("held_out")
+    known = scored.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    counts = {(r["lang"], r["toxic"]): (r["hits"], r["n"]) for r in known.groupBy("lang", "toxic").agg(F.sum("predicted").alias("hits"), F.count("doc_id").alias("n")).collect()}
+    print("found of toxic, called toxic of clean:", counts)
+    total = lambda y: [sum(v[k] for (_, t), v in counts.items() if t == y) for k in (0, 1)]
+    assert total(1)[0] >= 0.9 * total(1)[1] and total(0)[0] <= 0.01 * total(0)[1]
+    assert all(h >= 0.8 * n for (_, y), (h, n) in counts.items() if y)
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(7)
     bad = ["grumblewort", "snarkfish", "blightbag"]
