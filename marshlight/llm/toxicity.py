@@ -3,14 +3,14 @@
 Runs of 4 to 8 characters of the lower-cased text (white space as one space, a space at both ends)
 are hashed to ``SLOTS`` features; a feature is present or absent in a text. Over all labelled training rows
 the documents of each class that hold a feature are counted; with ``p`` and ``q`` the smoothed counts,
-each divided by its class's size, the feature's ratio is ``r = ln(p / q)``. All features that are commoner among
-toxic documents beyond chance (log-likelihood ratio test above ``LEAST_TEST``) make up the model, however many they
+each divided by its class's size, the feature's ratio is ``r = ln(p / q)``. All features that are twice as common among
+toxic documents, beyond chance (log-likelihood ratio test above ``LEAST_TEST``), make up the model, however many they
 are, so that a rare language keeps its own. It is a logistic regression with an L2 penalty on the inputs
 r / sqrt(m) where present, m the features of the model that a text holds, 0 elsewhere: a long text does not add
 up hundreds of weak signs. Both classes weigh the same.
 
 Counting uses all labelled rows. The regression is fitted in one task on about ``sample`` rows drawn by a
-hash of id and text, a documented bound. Scoring is a map over whole texts.
+hash of id and text, or fewer where these would hold more than ``PAIRS`` features of the model: documented bounds. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -35,7 +35,11 @@ LENGTHS = (4, 5, 6, 7, 8)
 SLOTS = 1 << 20
 #: Of the test for a feature to enter the model: a chance of one in 600 for a single one.
 LEAST_TEST = 10.0
+#: And it has to be twice as common among toxic documents, as a logarithm.
+LEAST_RATIO = float(np.log(2))
+#: Bounds of the fitted sample: labelled rows, and their features that are in the model.
 SAMPLE = 20_000
+PAIRS = 4_000_000
 THRESHOLD = 0.7
 PENALTY = 1e-4
 STEPS = 400
@@ -147,7 +151,7 @@ def ratios(counts: DataFrame, features: int | None = None) -> tuple[np.ndarray,
     part = lambda x, row, col: F.when(x > 0, x * F.log(x * n / (row * col))).otherwise(0.0)
     test = part(a, seen, F.lit(pos)) + part(b, seen, F.lit(neg)) + part(c, n - seen, F.lit(pos)) + part(d, n - seen, F.lit(neg))
     ratio = F.log(((a + 1) / (pos + 1)) / ((b + 1) / (neg + 1)))
-    top = counts.where("slot >= 0").select("slot", (2 * test).alias("test"), ratio.alias("r")).where((F.col("test") > LEAST_TEST) & (F.col("r") > 0))
+    top = counts.where("slot >= 0").select("slot", (2 * test).alias("test"), ratio.alias("r")).where((F.col("test") > LEAST_TEST) & (F.col("r") > LEAST_RATIO))
     top = (top if features is None else top.orderBy(F.desc("test"), "slot").limit(features)).toArrow().sort_by("slot")
     return top["slot"].to_numpy().astype(np.int64), top["r"].to_numpy()
 
@@ -214,7 +218,9 @@ def train(labelled: DataFrame, features: int | None = None, sample: int = SAMPLE
     partial = staged.select("text", "toxic").mapInArrow(_counter, "block int, toxic binary, clean binary")
     counts = materialise(partial.repartition("block").mapInArrow(_adder, "slot int, toxic long, clean long"))
     slots, ratio = ratios(counts, features)
-    share = min(1.0, sample / max(1, staged.count()))
+    held = counts.where("slot >= 0").join(staged.sparkSession.createDataFrame(pa.table({"slot": pa.array(slots, pa.int32())})), "slot") if len(slots) else None
+    pairs = held.agg(F.sum(F.col("toxic") + F.col("clean"))).first()[0] or 0 if held is not None else 0
+    share = min(1.0, sample / max(1, staged.count()), PAIRS / max(1, pairs))
     drawn = staged.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "toxic")
     got = drawn.repartition(1).mapInArrow(_fitter(slots, ratio), "weight double").collect() if len(slots) else []
     release(staged, counts)

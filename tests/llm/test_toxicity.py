@@ -69,7 +69,7 @@ def test_counts_and_ratios_against_sets(spark):
         seen = [a + b, a + b, 200 - a - b, 200 - a - b]
         test = 2 * sum(x * np.log(x * 200 / (n * m)) for (x, n), m in zip(cells, seen) if x)
         r = np.log((a + 1) / 51 / ((b + 1) / 151))
-        if test > toxicity.LEAST_TEST and r > 0:
+        if test > toxicity.LEAST_TEST and r > toxicity.LEAST_RATIO:
             want[s] = r
     assert dict(zip(slots.tolist(), ratio.tolist())).keys() == want.keys() and len(want) > 30
     assert all(abs(want[s] - r) < 1e-9 for s, r in zip(slots.tolist(), ratio.tolist()))
