@@ -11,7 +11,7 @@ sys.path.insert(0, {str(ROOT)!r})
 import __spark_entry__ as entry
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
-for name in ("st_17_spline_gap_fill", "st_11_leave_one_out", "st_09b_cv_one_predictor"):
+for name in ("st_12_forests", "st_11_leave_one_out", "geo_08d_split_by_buffered_lines"):
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 """
 
