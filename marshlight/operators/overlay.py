@@ -283,9 +283,9 @@ def _boxes(polygons: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def without_lines(polygons: DataFrame, lines: DataFrame, key: str, half: float, sides: int = 32) -> DataFrame:
-    """What the buffers of ``lines`` leave of each region: ``(region, split_i, ring, area, length, corners, seq and vertices)`` as pieces.
+    """What the buffers of ``lines`` leave of each region, one row per ring: ``(region, split_i, ring, area, length, corners)``.
 
-    Returns one row per ring, ``split_i`` numbering the pieces of a region from 0 by their least vertex (west, then
+    ``split_i`` numbers the pieces of a region from 0 by their least vertex (west, then
     south); a region left whole or in one piece has -1, one that lies within the buffers has no row.
     """
     cutter = line_buffer(lines, key, half, sides).withColumnRenamed("region", "line")
