@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections import Counter
 
 import pyarrow as pa
 from pyspark import cloudpickle

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialise import materialise, release
-from .common import U64, Shared, mapped, mixed, pieces, text_or_empty
+from .common import U64, Shared, mapped, pieces, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
