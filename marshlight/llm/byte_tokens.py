@@ -10,7 +10,6 @@ character whose class may differ between Unicode tables, go to that library as t
 from __future__ import annotations
 
 import array
-import functools
 import json
 import sys
 import unicodedata
@@ -23,7 +22,7 @@ import tiktoken
 import tokenizers
 from pyspark import cloudpickle
 
-from .common import joined_bytes
+from .common import joined_bytes, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,8 +32,15 @@ CACHE_WORDS, CACHE_BYTES = 400_000, 64
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
 
 
-@functools.cache
 def _classes() -> np.ndarray:
+    """The table of ``_class_table``, made once in a worker."""
+    held = worker_cache("byte_classes")
+    if "table" not in held:
+        held["table"] = _class_table()
+    return held["table"]
+
+
+def _class_table() -> np.ndarray:
     """Class of each code point of the basic plane; those beyond it, and those that tables disagree on, are unsure."""
     out = np.full(0x110000, _UNSURE, np.int8)
     out[:0xD800] = out[0xE000:0x10000] = _OTHER
