@@ -12,6 +12,7 @@ What remains is chained into rings. Every step is a join or a sum over edges:
   it and how far that is, which in the end names the ring and the place in it.
 
 Coordinates are put on a grid of 2^-36 units, so that a point has the same coordinates on all edges through it.
+Edges that lie on each other from end to end are one edge from the start, so copies of a polygon meet nothing twice.
 """
 
 from __future__ import annotations
@@ -51,8 +52,9 @@ def oriented_edges(polygons: DataFrame, label: str, layer: int = 0) -> DataFrame
     return e.select(F.col("part.label").alias("label"), F.lit(layer).alias("layer"), "x1", "y1", "x2", "y2")
 
 
-def _cell_size(edges: DataFrame) -> float:
-    extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+def _cell_size(edges: DataFrame, ends: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> float:
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    extent = F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))
     return edges.agg(2 * F.avg(extent)).first()[0] or 1.0
 
 
@@ -84,28 +86,33 @@ def _split_points(edges: DataFrame, size: float) -> DataFrame:
     return found.select(F.explode(points).alias("p")).select("p.*").distinct()
 
 
+def _merged(edges: DataFrame, d0: Column, d1: Column) -> DataFrame:
+    """``(label, ax, ay, bx, by, d0, d1, id)``: equal edges added up to one that points east (or north), without those beside which nothing changes."""
+    ahead = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    first = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    way = F.when(ahead, 1).otherwise(-1)
+    added = edges.groupBy(
+        "label", first("x1", "x2").alias("ax"), first("y1", "y2").alias("ay"), first("x2", "x1").alias("bx"), first("y2", "y1").alias("by")
+    ).agg(F.sum(way * d0).alias("d0"), F.sum(way * d1).alias("d1"))
+    return added.where("d0 <> 0 or d1 <> 0").withColumn("id", F.monotonically_increasing_id())
+
+
 def noded(edges: DataFrame) -> tuple[DataFrame, float]:
     """Edges that meet at their ends only, ``(id, label, ax, ay, bx, by, d0, d1)``, and the cell size for them.
 
     They point east (or north), ``d0`` and ``d1`` say by how much the cover of each layer is larger on their left. Edges
     beside which nothing changes are left out.
     """
-    edges = materialise(edges.withColumn("id", F.monotonically_increasing_id()))
+    edges = materialise(_merged(edges, F.when(F.col("layer") == 0, 1).otherwise(0), F.when(F.col("layer") == 1, 1).otherwise(0)).toDF("label", "x1", "y1", "x2", "y2", "d0", "d1", "id"))
     size = _cell_size(edges)
     ends = edges.select("id", F.explode(F.array(*[F.struct(F.col(f"x{k}").alias("px"), F.col(f"y{k}").alias("py")) for k in (1, 2)])).alias("p")).select("id", "p.*")
     points = ends.unionByName(_split_points(edges, size)).distinct().join(edges, "id")
     along = (F.col("px") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("py") - F.col("y1")) * (F.col("y2") - F.col("y1"))
     order = Window.partitionBy("id").orderBy(along)
-    pieces = points.select("label", "layer", "px", "py", F.lead("px").over(order).alias("qx"), F.lead("py").over(order).alias("qy")).where("qx is not null")
-    ahead = (F.col("px") < F.col("qx")) | ((F.col("px") == F.col("qx")) & (F.col("py") < F.col("qy")))
-    first = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
-    way = F.when(ahead, 1).otherwise(-1)
-    added = pieces.groupBy(
-        "label", first("px", "qx").alias("ax"), first("py", "qy").alias("ay"), first("qx", "px").alias("bx"), first("qy", "py").alias("by")
-    ).agg(*[F.sum(F.when(F.col("layer") == k, way).otherwise(0)).alias(f"d{k}") for k in (0, 1)])
-    out = materialise(added.where("d0 <> 0 or d1 <> 0").withColumn("id", F.monotonically_increasing_id()))
+    pieces = points.select("label", "d0", "d1", F.col("px").alias("x1"), F.col("py").alias("y1"), F.lead("px").over(order).alias("x2"), F.lead("py").over(order).alias("y2")).where("x2 is not null")
+    out = materialise(_merged(pieces, F.col("d0"), F.col("d1")))
     release(edges)
-    return out, size
+    return out, _cell_size(out, ("ax", "ay", "bx", "by"))  # pieces may be far shorter than the edges they come from
 
 
 def _covers(edges: DataFrame, size: float) -> DataFrame:
@@ -130,8 +137,8 @@ def _covers(edges: DataFrame, size: float) -> DataFrame:
     met = middle.join(near, ["label", "iy", "ix"])
     fx, fy, gx, gy, mx, my = (F.col(c) for c in ("f_ax", "f_ay", "f_bx", "f_by", "mx", "my"))
     left, bottom = line(F.col("ix")), line(F.col("iy"))
-    y_at = fy + (left - fx) / (gx - fx) * (gy - fy)
-    x_at = fx + (my - fy) / (gy - fy) * (gx - fx)
+    y_at = fy + F.try_divide(left - fx, gx - fx) * (gy - fy)
+    x_at = fx + F.try_divide(my - fy, gy - fy) * (gx - fx)
     up = F.when((fx > left) != (gx > left), F.when((y_at > bottom) & (y_at <= my), 1)).otherwise(0)
     east = F.when(((fy > my) != (gy > my)) & (F.col("f_id") != F.col("id")), F.when((x_at > left) & (x_at < mx), -F.signum(gy - fy))).otherwise(0)
     passed = F.coalesce(up, F.lit(0)) + F.coalesce(east, F.lit(0.0))

@@ -256,3 +256,27 @@ def test_cover_of_points(spark):
     edges = C.inside_left(P.edges(table(spark, polygons)), P.RING)
     got = {(r.point, r.region) for r in C.cover_at(spark.createDataFrame(points, "point long, px double, py double"), edges).collect()}
     assert got == {(i, k) for i, x, y in points for k, rings in polygons.items() if inside(rings[0], x, y)}
+
+
+def test_copies_meet_once(spark, monkeypatch):
+    """Forty copies of polygons and of cutting lines are one edge each before any edges meet, with the results of one copy."""
+    seen = []
+    split = O._split_points
+    monkeypatch.setattr(O, "_split_points", lambda edges, size: seen.append(edges.count()) or split(edges, size))
+    rng = random.Random(8)
+    few = {i: [star(rng, rng.uniform(0, 4), rng.uniform(0, 4), 1)[:: rng.choice([1, -1])]] for i in range(12)}
+    many = {100 * k + i: [rings[0][:: rng.choice([1, -1])]] for k in range(40) for i, rings in few.items()}
+    one, forty = united(spark, few), united(spark, many)
+    assert [[(pytest.approx(a, abs=1e-8), pytest.approx(n, abs=1e-8), c) for a, n, c in rings] for rings in one] == forty
+    assert seen[0] == seen[1]
+
+
+def test_pairs_follow_the_pieces(spark):
+    """Where long edges are cut into short pieces, cells are as small as the pieces."""
+    bars = {i: [box(i, 0, i + 0.5, 64)] for i in range(64)} | {100 + i: [box(0, i, 64, i + 0.5)] for i in range(64)}
+    cut, size = O.noded(O.oriented_edges(table(spark, bars).withColumn("label", F.lit(1)), "label"))
+    pieces = cut.count()
+    from marshlight.operators.cover import in_cells
+
+    pairs = in_cells(cut, size, ("ax", "ay", "bx", "by")).groupBy("iy", "ix").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert pieces > 20_000 and pairs < 40 * pieces
