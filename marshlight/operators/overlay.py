@@ -265,24 +265,44 @@ def vertices(chained: DataFrame) -> DataFrame:
     )
 
 
-def line_buffer(lines: DataFrame, key: str, half: float, sides: int = 32) -> DataFrame:
-    """Polygons ``(region, part, ring, seq, lon, lat)`` that together cover all within ``half`` of each line, region the line.
-
-    One rectangle per segment and one polygon of ``sides`` corners on the circle around each vertex, so joins and caps are round to
-    within half * (1 - cos(pi / sides)). They overlap: overlay counts that once.
-    """
+def _stretches(lines: DataFrame, key: str) -> DataFrame:
+    """Segments of each line, ``(key, seq, lon, lat, lon2, lat2)``."""
     order = Window.partitionBy(key).orderBy("seq")
-    v = lines.select(F.col(key).alias("region"), "seq", "lon", "lat")
-    s = lines.select(F.col(key).alias("region"), "seq", "lon", "lat", F.lead("lon").over(order).alias("lon2"), F.lead("lat").over(order).alias("lat2"))
-    s = s.where("lon2 <> lon or lat2 <> lat")
+    s = lines.select(key, "seq", "lon", "lat", F.lead("lon").over(order).alias("lon2"), F.lead("lat").over(order).alias("lat2"))
+    return s.where("lon2 <> lon or lat2 <> lat")
+
+
+def _around(spots: DataFrame, stretches: DataFrame, half: float, sides: int) -> DataFrame:
+    """Other columns with ``(k, lon, lat)``: the corners of the disc around each spot and of the box along each stretch."""
     dx, dy = F.col("lon2") - F.col("lon"), F.col("lat2") - F.col("lat")
     size = F.sqrt(dx * dx + dy * dy)
     nx, ny = -dy / size * half, dx / size * half
     corner = lambda end, sign: F.struct((F.col(f"lon{end}") + sign * nx).alias("lon"), (F.col(f"lat{end}") + sign * ny).alias("lat"))
-    boxes = s.select("region", F.struct(F.lit(0).alias("kind"), "seq").alias("part"), F.posexplode(F.array(corner("", -1), corner("2", -1), corner("2", 1), corner("", 1))).alias("k", "p"))
+    kept = lambda df: [c for c in df.columns if c not in ("lon", "lat", "lon2", "lat2")]
+    boxes = stretches.select(*kept(stretches), F.posexplode(F.array(corner("", -1), corner("2", -1), corner("2", 1), corner("", 1))).alias("k", "p"))
     turns = [F.struct((F.col("lon") + half * math.cos(2 * math.pi * i / sides)).alias("lon"), (F.col("lat") + half * math.sin(2 * math.pi * i / sides)).alias("lat")) for i in range(sides)]
-    discs = v.select("region", F.struct(F.lit(1).alias("kind"), "seq").alias("part"), F.posexplode(F.array(*turns)).alias("k", "p"))
-    return boxes.unionByName(discs).select("region", "part", F.lit(0).alias("ring"), F.col("k").alias("seq"), "p.lon", "p.lat")
+    discs = spots.select(*kept(spots), F.posexplode(F.array(*turns)).alias("k", "p"))
+    return boxes.unionByName(discs).select("*", "p.lon", "p.lat").drop("p")
+
+
+def line_buffer(lines: DataFrame, key: str, half: float, sides: int = 32) -> DataFrame:
+    """Polygons ``(region, part, ring, seq, lon, lat)`` that together cover all within ``half`` of each line, region the line.
+
+    One rectangle per segment and one polygon of ``sides`` corners on the circle around each vertex, so joins and caps are round to
+    within half * (1 - cos(pi / sides)). They overlap: overlay counts that once.
+    """
+    part = lambda kind: F.struct(F.lit(kind).alias("kind"), "seq").alias("part")
+    stretches = _stretches(lines, key).select(F.col(key).alias("region"), part(0), "lon", "lat", "lon2", "lat2")
+    spots = lines.select(F.col(key).alias("region"), part(1), "lon", "lat")
+    return _around(spots, stretches, half, sides).select("region", "part", F.lit(0).alias("ring"), F.col("k").alias("seq"), "lon", "lat")
+
+
+def _united_buffer(lines: DataFrame, key: str, half: float, sides: int) -> DataFrame:
+    """The same without telling lines apart, ``(part, ring, seq, lon, lat)``: what lies in one place in several lines is there once."""
+    kept = _stretches(lines, key).select("lon", "lat", "lon2", "lat2").distinct()
+    stretches = kept.select(F.struct(F.lit(0).alias("kind"), "lon", "lat", "lon2", "lat2").alias("part"), "lon", "lat", "lon2", "lat2")
+    spots = lines.select("lon", "lat").distinct().select(F.struct(F.lit(1).alias("kind"), "lon", "lat", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).alias("part"), "lon", "lat")
+    return _around(spots, stretches, half, sides).select("part", F.lit(0).alias("ring"), F.col("k").alias("seq"), "lon", "lat")
 
 
 def _boxes(polygons: DataFrame, keys: list[str]) -> DataFrame:
@@ -295,11 +315,9 @@ def without_lines(polygons: DataFrame, lines: DataFrame, key: str, half: float,
     ``split_i`` numbers the pieces of a region from 0 by their least vertex (west, then
     south); a region left whole or in one piece has -1, one that lies within the buffers has no row.
     """
-    cutter = line_buffer(lines, key, half, sides).withColumnRenamed("region", "line")
-    parts = _boxes(cutter, ["line", "part"])
-    regions = _boxes(polygons, ["region"])
-    met = _overlapping(parts, regions)
-    cut = cutter.join(met, ["line", "part"]).withColumns({"part": F.struct("line", "part")})
+    cutter = materialise(_united_buffer(lines, key, half, sides))
+    met = _overlapping(_boxes(cutter, ["part"]), _boxes(polygons, ["region"]))
+    cut = cutter.join(met, "part")
     edges = oriented_edges(polygons, "region").unionByName(oriented_edges(cut.select("region", "part", "ring", "seq", "lon", "lat"), "region", layer=1))
     chained = materialise(rings(boundary(edges, "difference")))
     found = pieces(chained)
@@ -311,11 +329,11 @@ def without_lines(polygons: DataFrame, lines: DataFrame, key: str, half: float,
 
 
 def _overlapping(parts: DataFrame, regions: DataFrame) -> DataFrame:
-    """``(line, part, region)`` whose boxes overlap: a box of one side meets those of the other in the cells that both cover."""
+    """``(part, region)`` whose boxes overlap: a box of one side meets those of the other in the cells that both cover."""
     size = regions.agg(F.greatest(F.avg(F.col("e") - F.col("w")), F.avg(F.col("n") - F.col("s")))).first()[0] or 1.0
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
     celled = lambda df: df.withColumn("cx", span("w", "e")).withColumn("cy", span("s", "n"))
     a, b = celled(parts).alias("a"), celled(regions).alias("b")
     on = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     apart = (F.col("a.w") > F.col("b.e")) | (F.col("b.w") > F.col("a.e")) | (F.col("a.s") > F.col("b.n")) | (F.col("b.s") > F.col("a.n"))
-    return a.join(b, on).where(~apart).select("line", "part", "region").distinct()
+    return a.join(b, on).where(~apart).select("part", "region").distinct()

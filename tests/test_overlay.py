@@ -269,6 +269,10 @@ def test_copies_meet_once(spark, monkeypatch):
     one, forty = united(spark, few), united(spark, many)
     assert [[(pytest.approx(a, abs=1e-8), pytest.approx(n, abs=1e-8), c) for a, n, c in rings] for rings in one] == forty
     assert seen[0] == seen[1]
+    lines = [(i, k, float(k), 0.3 * i + 0.2 * (k % 2)) for i in range(5) for k in range(4)]
+    lines = [spark.createDataFrame([(100 * c + i, k, x, y) for c in range(n) for i, k, x, y in lines], "line_id long, seq int, lon double, lat double") for n in (1, 40)]
+    cut = [sorted((r.region, r.split_i, round(r.area, 8), round(r.length, 8), r.corners) for r in O.without_lines(table(spark, few), x, "line_id", 0.05, 16).collect()) for x in lines]
+    assert cut[0] == cut[1] and seen[2] == seen[3]
 
 
 def test_pairs_follow_the_pieces(spark):
