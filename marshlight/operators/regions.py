@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import overlay as O
 from . import polygons as P
 
 
@@ -37,34 +38,11 @@ def dissolve(polygons: DataFrame, label: str) -> DataFrame:
 def union_area(polygons: DataFrame, label: str) -> DataFrame:
     """Planar area ``(region, area)`` of the union of all polygons of a label, overlaps counted once.
 
-    Between two neighbouring latitudes at which a vertex lies or two edges cross, every outline is
-    straight and none cross, so the united width is linear and its middle value gives the area of the
-    strip exactly. Edges meet each other, and strips meet edges, by an equi-join on bands of latitude.
+    The sum over the edges of its outline, which need not be chained into rings for that.
     """
-    e = P.edges(polygons.withColumn("part", F.struct(F.col(label).alias("label"), "region", "part"))).where(F.col("y1") != F.col("y2"))
-    e = e.select(F.col("part.label").alias("label"), "part", "x1", "y1", "x2", "y2", ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("slope"))
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    band = e.agg(F.coalesce(F.nullif(4 * F.avg(high - low), F.lit(0.0)), F.lit(1.0))).scalar()
-    banded = e.withColumn("band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
-    a, b = banded.alias("a"), banded.alias("b")
-    at = lambda s: F.col(f"{s}.x1") - F.col(f"{s}.y1") * F.col(f"{s}.slope")
-    y = F.try_divide(at("b") - at("a"), F.col("a.slope") - F.col("b.slope"))
-    within = lambda s: (y > F.least(f"{s}.y1", f"{s}.y2")) & (y < F.greatest(f"{s}.y1", f"{s}.y2"))
-    apart = (F.col("a.label") == F.col("b.label")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.part") < F.col("b.part"))
-    crossed = a.join(b, apart).where(within("a") & within("b")).select(F.col("a.label").alias("label"), y.alias("y"))
-    marks = e.select("label", F.explode(F.array("y1", "y2")).alias("y")).union(crossed).distinct()
-    strips = marks.withColumn("top", F.lead("y").over(Window.partitionBy("label").orderBy("y"))).where("top is not null")
-    strips = strips.select("label", F.col("y").alias("bottom"), "top", ((F.col("y") + F.col("top")) / 2).alias("middle"))
-    strips = strips.withColumn("band", F.floor(F.col("middle") / band))
-    met = banded.join(strips, ["label", "band"]).where((low < F.col("middle")) & (high > F.col("middle")))
-    met = met.withColumn("x", F.col("x1") + (F.col("middle") - F.col("y1")) * F.col("slope"))
-    strip = ["label", "bottom"]
-    along = Window.partitionBy(*strip, "part").orderBy("x")
-    spans = met.select(*strip, "top", F.col("x").alias("x0"), F.lead("x").over(along).alias("x1"), F.row_number().over(along).alias("k")).where("k % 2 = 1")
-    before = Window.partitionBy(*strip).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.greatest("x0", F.coalesce(F.max("x1").over(before), F.col("x0")))
-    fresh = spans.withColumn("width", F.greatest(F.col("x1") - reached, F.lit(0.0)))
-    return fresh.groupBy(F.col("label").alias("region")).agg(F.sum(F.col("width") * (F.col("top") - F.col("bottom"))).alias("area"))
+    around = O.boundary(O.oriented_edges(polygons, label))
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    return around.groupBy(F.col("label").alias("region")).agg((F.sum(cross) / 2).alias("area"))
 
 
 def edge_alignment(boxes: DataFrame, keys: list[str], edge: str = "east", tolerance: float = 1e-6) -> DataFrame:

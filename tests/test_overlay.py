@@ -284,3 +284,26 @@ def test_pairs_follow_the_pieces(spark):
 
     pairs = in_cells(cut, size, ("ax", "ay", "bx", "by")).groupBy("iy", "ix").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
     assert pieces > 20_000 and pairs < 40 * pieces
+
+
+def test_area_of_a_union_against_strips(spark):
+    """Area of a union from thin strips, each with its covered width at the middle."""
+    rng = random.Random(5)
+    polygons = {}
+    for i in range(20):
+        x, y = rng.uniform(0, 3), rng.uniform(0, 3)
+        polygons[i] = [[(x + rng.uniform(-1, 1), y + rng.uniform(-1, 1)) for _ in range(3)]]
+    polygons |= {100 + i: rings for i, rings in polygons.items()}
+    got = A.union_area(table(spark, polygons).withColumn("label", F.lit(1)), "label").first().area
+    total, n = 0.0, 4000
+    for s in range(n):
+        y = -2 + 7 * (s + 0.5) / n
+        spans = []
+        for (ring,) in polygons.values():
+            xs = sorted(a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in zip(ring, ring[1:] + ring[:1]) if (a[1] > y) != (b[1] > y))
+            spans += zip(xs[::2], xs[1::2])
+        reach = -math.inf
+        for x0, x1 in sorted(spans):
+            total += max(0.0, x1 - max(x0, reach)) * 7 / n
+            reach = max(reach, x1)
+    assert got == pytest.approx(total, rel=1e-4)
