@@ -74,9 +74,9 @@ def cover_at(points: DataFrame, edges: DataFrame) -> DataFrame:
     far = at_point(placed, "ix", banded(spans, F.col("low").cast("double"), F.col("high") + 0.75), on=["iy"]).where("ix >= low and ix <= high")
     near = placed.join(in_cells(edges, size).select("region", "iy", "ix", "x1", "y1", "x2", "y2"), ["iy", "ix"])
     left, bottom = (F.col("ix") + SHIFT) * size, (F.col("iy") + SHIFT) * size
-    y_at = y1 + (left - x1) / (x2 - x1) * (y2 - y1)
+    y_at = y1 + F.try_divide(left - x1, x2 - x1) * (y2 - y1)
     up = F.when(((x1 > left) != (x2 > left)) & (y_at > bottom) & (y_at <= F.col("py")), F.signum(x2 - x1)).otherwise(0.0)
-    x_at = x1 + (F.col("py") - y1) / (y2 - y1) * (x2 - x1)
+    x_at = x1 + F.try_divide(F.col("py") - y1, y2 - y1) * (x2 - x1)
     east = F.when(((y1 > F.col("py")) != (y2 > F.col("py"))) & (x_at > left) & (x_at < F.col("px")), rises(y1, y2, F.col("py"))).otherwise(0)
     local = near.select("point", "region", (up + east).alias("cover"))
     both = far.select("point", "region", "cover").unionByName(local)

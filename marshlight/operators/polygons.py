@@ -173,7 +173,7 @@ def overlaps(rects: DataFrame, edge_table: DataFrame) -> DataFrame:
     dx, dy = x2 - x1, y2 - y1
 
     def share(start: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        a, b = (low - start) / step, (high - start) / step
+        a, b = F.try_divide(low - start, step), F.try_divide(high - start, step)
         never = (step == 0) & ((start < low) | (start >= high))
         return F.when(never, 2.0).when(step == 0, 0.0).otherwise(F.least(a, b)), F.when(step == 0, 1.0).otherwise(F.greatest(a, b))
 
@@ -181,7 +181,7 @@ def overlaps(rects: DataFrame, edge_table: DataFrame) -> DataFrame:
     ay, by = share(y1, dy, low_y, high_y)
     a, b = F.greatest(F.lit(0.0), ax, ay), F.least(F.lit(1.0), bx, by)
     under = F.when(b > a, -(b - a) * dx * (y1 + (a + b) / 2 * dy - south)).otherwise(0.0)
-    x_top = x1 + (north - y1) / dy * dx
+    x_top = x1 + F.try_divide(north - y1, dy) * dx
     here = (x_top >= west) & (x_top < east) & (cell(x_top, size) == F.col("ix")) & (cell(north, size) == F.col("iy"))
     beyond = F.when(((y1 > north) != (y2 > north)) & here, rises(y1, y2, north) * (east - x_top) * (north - south)).otherwise(0.0)
     local = met.select("rect", "region", (under + beyond).alias("area"))
