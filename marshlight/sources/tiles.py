@@ -44,6 +44,9 @@ def choose_variable(catalogue: DataFrame) -> DataFrame:
 
     Water and mask in the name count, two dimensions or time plus two count, coordinates lose;
     equal scores prefer the shallower group path, then the earlier entry.
+
+    Only variables that can be chosen are kept, and they are dealt by file before the best is taken: texts are compared in
+    sorted order, which a task that reads a large split would otherwise need for all of it.
     """
     canon = canonical_name("var")
     low = F.lower("var")
@@ -57,11 +60,11 @@ def choose_variable(catalogue: DataFrame) -> DataFrame:
         - F.when(low.isin("lat", "latitude", "y", "lon", "longitude", "x", "time"), 4).otherwise(0)
         + F.when(F.col("is_numeric"), 1).otherwise(0)
     )
-    scored = catalogue.where(n > 0).withColumn("score", points)
+    scored = catalogue.where(n > 0).withColumn("score", points).where("score >= 0").select("file", "grp", "var", "dims", "score", "entry").repartition("file")
     best = F.max_by(
         F.struct("grp", "var", "dims", "score"), F.struct(F.col("score"), -F.length("grp"), -F.col("entry"))
     )
-    return scored.groupBy("file").agg(best.alias("b")).where("b.score >= 0").select("file", "b.*")
+    return scored.groupBy("file").agg(best.alias("b")).select("file", "b.*")
 
 
 def resolve_name(names: DataFrame, wanted: str | None = None) -> DataFrame:
@@ -75,7 +78,7 @@ def resolve_name(names: DataFrame, wanted: str | None = None) -> DataFrame:
     named = F.lit(False) if wanted is None else F.col("var") == wanted
     alike = F.lit(False) if wanted is None else canon == canonical_name(F.lit(wanted))
     rank = F.when(named, 0).when(alike, 1).when(canon.contains("water") | canon.contains("mask"), 2).when(n.isin(2, 3), 3)
-    ranked = names.withColumn("rank", rank).where(F.col("rank").isNotNull())
+    ranked = names.withColumn("rank", rank).where(F.col("rank").isNotNull()).select("file", "var", "rank", "entry").repartition("file")
     return ranked.groupBy("file").agg(F.min_by("var", F.struct("rank", "entry")).alias("var"))
 
 

@@ -275,3 +275,17 @@ def test_tiles_from_files(spark, tmp_path):
     assert stacked.where("value is null").count() == 3
     merged = X.merge_tiles(stacked).orderBy("ix").collect()
     assert [(str(r.time), r.ix, r.value) for r in merged] == [("2001-01-05", 0, 1.0), ("2001-01-05", 1, None)]
+
+
+def test_variables_are_dealt_before_they_are_sorted(spark, tmp_path):
+    """No task that reads a split sorts it; a file whose variables all score below 0 has no choice."""
+    from conftest import plan
+
+    path = str(tmp_path / "catalogue")
+    rows = [("a", "/x/", "depth", ["lat", "lon"], True, 0), ("a", "/", "depth", ["lat", "lon"], True, 1), ("a", "/", "lat", ["lat"], True, 2), ("b", "/", "lon", ["lon"], True, 0)]
+    spark.createDataFrame(rows, "file string, grp string, var string, dims array<string>, is_numeric boolean, entry int").write.parquet(path)
+    catalogue = spark.read.parquet(path)
+    for made in (X.choose_variable(catalogue), X.resolve_name(catalogue, "depth")):
+        above, below = plan(made).split("Exchange", 1)
+        assert "SortAggregate" in above and "Sort" not in below
+    assert [(r.file, r.grp, r["var"], r.score) for r in X.choose_variable(catalogue).collect()] == [("a", "/", "depth", 4)]
